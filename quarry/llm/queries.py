@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import op01_prefix_targets, op04_feistel_shards, op05_guess_cost_secrets, op07_transport_streams, op09_low_discrepancy_mix, op10_nnls_packing
+from quarry.llm import op01_prefix_targets, op04_feistel_shards, op05_guess_cost_secrets, op06_kneser_ney_quality, op07_transport_streams, op09_low_discrepancy_mix, op10_nnls_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_targets": op01_prefix_targets.query,
     "op4_feistel_shards": op04_feistel_shards.query,
     "op5_guess_cost_secrets": op05_guess_cost_secrets.query,
+    "op6_kneser_ney_quality": op06_kneser_ney_quality.query,
     "op7_transport_streams": op07_transport_streams.query,
     "op9_low_discrepancy_mix": op09_low_discrepancy_mix.query,
     "op10_nnls_packing": op10_nnls_packing.query,
