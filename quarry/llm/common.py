@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,14 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names; a folder of its own only in local mode without that setting."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of this process only in local mode without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(folder)
+        return folder
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -102,3 +112,42 @@ class Out:
         out = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
         self.rows, self.weight = [], 0
         return out
+
+
+def grouped(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows that are equal in their first columns."""
+    at, rows = None, []
+    for row in rows_of(batches):
+        if row[:n_keys] != at:
+            if rows:
+                yield at, rows
+            at, rows = row[:n_keys], []
+        rows.append(row[n_keys:])
+    if rows:
+        yield at, rows
+
+
+def blocked(rows: DataFrame, size: str, block: int) -> DataFrame:
+    """``rows`` once for each pair of blocks (i, j) of its group that its own block, hashed from the key, takes part in.
+
+    ``size`` is the number of rows in the row's group; groups of up to ``block`` rows have one block."""
+    own = rows.withColumn("__n", F.ceil(F.col(size) / block).cast("int")).withColumn("__own", F.pmod(F.xxhash64("key"), F.col("__n")).cast("int"))
+    both = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return both.withColumn("i", F.least("__own", "__other")).withColumn("j", F.greatest("__own", "__other")).drop("__n", "__own", "__other", size)
+
+
+def forest(linked: np.ndarray) -> list[int]:
+    """For each row of a symmetric matrix of links, the smallest row that it reaches."""
+    root = list(range(len(linked)))
+    left = np.ones(len(linked), bool)
+    for start in range(len(linked)):
+        if not left[start]:
+            continue
+        front = np.zeros(len(linked), bool)
+        front[start] = True
+        while front.any():  # all that start reaches, a ring at a time
+            left &= ~front
+            for x in np.flatnonzero(front):
+                root[x] = start
+            front = linked[front].any(axis=0) & left
+    return root

@@ -26,14 +26,14 @@ Members of a dense group of g different texts are compared in (g / block)^2 / 2
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, checkpoint, components, rows_of, table
+from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, table
 
 N, LEAST, SIZE, LIMIT, BLOCK, COMPARED = 5, 0.8, 128, 256, 256, 2048
 #: Estimates from SIZE tokens: joined as candidates from NEAR on (5 standard deviations below LEAST), done from SAME on.
@@ -154,26 +154,13 @@ def _paths(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(1).take(pa.array(rows_))], names=["path", "key"])
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows that are equal in their first columns."""
-    at, rows = None, []
-    for row in rows_of(batches):
-        if row[:n_keys] != at:
-            if rows:
-                yield at, rows
-            at, rows = row[:n_keys], []
-        rows.append(row[n_keys:])
-    if rows:
-        yield at, rows
-
-
 _EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate edges inside nodes (path, i, j, key, sketch); i and j are the node's blocks that are compared."""
     out = Out(_EDGES)
-    for _, rows in _grouped(batches, 3):
+    for _, rows in grouped(batches, 3):
         keys = [r[0] for r in rows]
         sets = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), SIZE)
         left = np.arange(len(rows))
@@ -187,14 +174,6 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.batch()
 
 
-def blocked(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
-    """``rows`` once for each pair of blocks (i, j) of its group that its own block, hashed from the key, takes part in."""
-    n = F.ceil(F.col(size) / block).cast("int")
-    own = rows.withColumn("__n", n).withColumn("__own", F.pmod(F.xxhash64("key"), F.col("__n")).cast("int"))
-    both = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return both.withColumn("i", F.least("__own", "__other")).withColumn("j", F.greatest("__own", "__other")).drop("__n", "__own", "__other", size)
-
-
 def candidates(sets: DataFrame, least: float, depth: int, recall: float) -> DataFrame:
     """Edges (a, b) of text keys that may be links. ``sets``: key, tokens."""
     runs, edges = runs_needed(least, depth, recall), None
@@ -207,7 +186,7 @@ def candidates(sets: DataFrame, least: float, depth: int, recall: float) -> Data
         small = nodes if k == depth - 1 else nodes.where(F.col("n") <= LIMIT)
         once = small.groupBy("n", "same", "same2").agg(F.min("path").alias("path")).select("path", "n")
         own = rows.join(once, "path").join(sketches, "key").select("path", "key", "sketch", "n")
-        own = blocked(own, "path", "n", COMPARED).select("path", "i", "j", "key", "sketch")
+        own = blocked(own, "n", COMPARED).select("path", "i", "j", "key", "sketch")
         found = own.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "key").mapInArrow(_compare, "a binary, b binary")
         found = checkpoint(found.distinct())
         edges = found if edges is None else edges.unionByName(found)
@@ -253,7 +232,7 @@ def overlaps(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
 def _verify(batches: Iterable[pa.RecordBatch], n: int, least: float) -> Iterator[pa.RecordBatch]:
     """Links inside candidate groups (root, i, j, own block, key, copies, text): counts and a forest."""
     out = Out(_LINKS)
-    for (_, i, j), rows in _grouped(batches, 3):
+    for (_, i, j), rows in grouped(batches, 3):
         blocks, keys, copies = np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows])
         sets = [shingles(r[3], n) for r in rows]
         sizes = np.array([len(s) for s in sets])
@@ -263,21 +242,9 @@ def _verify(batches: Iterable[pa.RecordBatch], n: int, least: float) -> Iterator
         np.fill_diagonal(linked, False)
         if i != j:  # pairs inside a block belong to that block's own pair
             linked &= blocks[:, None] != blocks[None, :]
-        root = list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip(*np.nonzero(np.triu(linked)), strict=True):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                root[max(ra, rb)] = min(ra, rb)
-        counts = linked @ copies
+        counts, roots = linked @ copies, forest(linked)
         for k in np.flatnonzero(linked.any(axis=1)):
-            if out.add((keys[k], int(counts[k]), keys[find(k)])):
+            if out.add((keys[k], int(counts[k]), keys[roots[k]])):
                 yield out.batch()
     if out.rows:
         yield out.batch()
@@ -294,7 +261,7 @@ def classes(docs: DataFrame, n: int = N, least: float = LEAST, depth: int = 3, r
     few = F.broadcast(members) if members.count() <= BROADCAST_KEYS else members
     # equal texts are the same text: one of them is enough, whichever it is
     whole = texts.select("key", "text").join(few, "key").dropDuplicates(["key"])
-    own = blocked(whole.withColumn("own", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int")), "root", "size", BLOCK)
+    own = blocked(whole.withColumn("own", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int")), "size", BLOCK)
     own = own.select("root", "i", "j", "own", "key", "copies", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
     linked = checkpoint(own.mapInArrow(lambda batches: _verify(batches, n, least), "key binary, links long, root binary"))
     counts = linked.groupBy("key").agg(F.sum("links").alias("links"))

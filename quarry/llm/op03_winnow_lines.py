@@ -14,7 +14,7 @@ Lines are compared without white space at their ends; lines without words are no
 deleted run. In a text that repeats itself the first lines stay. Exact copies are runs too: later copies with ``min_words`` words or
 more lose all lines. Rows equal in doc_id and text are one document, and get one result. A null doc_id is the last one. A null text has no
 lines and stays null; a text without words stays as it is. Texts of any length are read whole, one at a time. An empty table gives an
-empty result. Other columns are kept by dedup(), which compares n_chars to nothing and leaves it.
+empty result. Other columns are kept by dedup().
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import op01_prefix_targets, op02_chosen_path_join, op03_winnow_lines, op04_feistel_shards, op05_guess_cost_secrets, op06_kneser_ney_quality, op07_transport_streams, op09_low_discrepancy_mix, op10_nnls_packing
+from quarry.llm import op01_prefix_targets, op02_chosen_path_join, op03_winnow_lines, op04_feistel_shards, op05_guess_cost_secrets, op06_kneser_ney_quality, op07_transport_streams, op08_itq_neardup, op09_low_discrepancy_mix, op10_nnls_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_targets": op01_prefix_targets.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_guess_cost_secrets": op05_guess_cost_secrets.query,
     "op6_kneser_ney_quality": op06_kneser_ney_quality.query,
     "op7_transport_streams": op07_transport_streams.query,
+    "op8_itq_neardup": op08_itq_neardup.query,
     "op9_low_discrepancy_mix": op09_low_discrepancy_mix.query,
     "op10_nnls_packing": op10_nnls_packing.query,
 }
