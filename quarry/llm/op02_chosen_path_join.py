@@ -8,9 +8,8 @@ Texts are sets of shingles of ``n`` words; pairs with a Jaccard similarity of ``
    ``LIMIT`` sets are compared; larger ones are split again, up to ``depth`` times, and what is then still large is compared in blocks.
 3. Runs are repeated until the chance to miss a pair at the threshold (a branching process with mean 1) is below 1 - ``recall``.
    Nodes that hold the same sets are compared once.
-4. In a node, the first set left is compared with all that are left by their tokens; sets near the threshold or above are joined to it, and
-   those nearly equal to it are done: what is similar to them is, by the triangle inequality of the Jaccard distance, joined already. Joined
-   sets make up candidate groups.
+4. In a node, sets are compared by their tokens; those near the threshold or above make up candidate groups. A group is grown from a set:
+   each set that joins is compared with those that are left.
 5. Inside candidate groups all pairs are compared exactly, on the shingles of the whole texts, in blocks; a block gives out a count of
    links per text and a forest of its links, not pairs. Classes are the connected components of all links.
 
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, table
 
 N, LEAST, SIZE, LIMIT, BLOCK, COMPARED = 5, 0.8, 128, 256, 256, 2048
-#: Estimates from SIZE tokens: joined as candidates from NEAR on (5 standard deviations below LEAST), done from SAME on.
-NEAR, SAME = 0.62, 0.97
+#: Estimates from SIZE tokens: joined as candidates from NEAR on (5 standard deviations below LEAST).
+NEAR = 0.62
 #: Candidate texts are found by a broadcast up to so many, and by a shuffle beyond.
 BROADCAST_KEYS = 300_000
 PIECE = 1 << 20
@@ -158,18 +157,24 @@ _EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges inside nodes (path, i, j, key, sketch); i and j are the node's blocks that are compared."""
+    """Candidate groups inside nodes (path, i, j, key, sketch), as edges to a member; i and j are the node's blocks that are compared.
+
+    What is joined is compared with the sets still left only, so a dense group costs little more than its size, and gives an edge per set."""
     out = Out(_EDGES)
     for _, rows in grouped(batches, 3):
         keys = [r[0] for r in rows]
         sets = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), SIZE)
         left = np.arange(len(rows))
         while len(left) > 1:
-            alike = (sets[left[1:]] == sets[left[0]]).mean(axis=1)
-            for k in left[1:][alike >= NEAR]:
-                if out.add((keys[left[0]], keys[k])):
-                    yield out.batch()
-            left = left[1:][alike < SAME]
+            seed, left = left[0], left[1:]
+            front = [seed]
+            while front and len(left):
+                alike = (sets[left] == sets[front.pop()]).mean(axis=1) >= NEAR
+                found, left = left[alike], left[~alike]
+                front.extend(found)
+                for k in found:
+                    if out.add((keys[seed], keys[k])):
+                        yield out.batch()
     if out.rows:
         yield out.batch()
 
@@ -184,7 +189,7 @@ def candidates(sets: DataFrame, least: float, depth: int, recall: float) -> Data
         rows = checkpoint(level.mapInArrow(lambda batches: _paths(batches, least), "path long, key binary"))
         nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("same"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("same2")).where("n > 1")
         small = nodes if k == depth - 1 else nodes.where(F.col("n") <= LIMIT)
-        once = small.groupBy("n", "same", "same2").agg(F.min("path").alias("path")).select("path", "n")
+        once = checkpoint(small.groupBy("n", "same", "same2").agg(F.min("path").alias("path")).select("path", "n"))
         own = rows.join(once, "path").join(sketches, "key").select("path", "key", "sketch", "n")
         own = blocked(own, "n", COMPARED).select("path", "i", "j", "key", "sketch")
         found = own.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "key").mapInArrow(_compare, "a binary, b binary")
