@@ -2,8 +2,8 @@
 
 One model per language, trained on all trusted texts (label quality 1 and not toxic). Each text's log-perplexity per
 character and per word must lie in the band of the trusted texts of its language and about its length; junk of rare characters lies
-above, and repeated words lie to either side in words. The band reaches from median - ``stretch`` * (median - low quantile) to
-median + ``stretch`` * (high quantile - median).
+above, and repeated words lie to either side in words. The band reaches from median - wide * (median - low quantile) to
+median + wide * (high quantile - median); wide is ``stretch`` * (1 + ``doubt`` / sqrt(n)) for n trusted texts, as quantiles of few are uncertain.
 
 Counts come from all trusted text: tasks count densely and give out sums; symbols, trigrams, continuation counts, counts of counts,
 discounts and probabilities are DataFrame aggregates and equi-joins, sharded by language and context. A language has at most
@@ -208,7 +208,7 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").join(ids, "doc_id", "left_semi").select("lang", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: float = 2.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: float = 2.0, doubt: float = 5.0) -> Model:
     spark = docs.sparkSession
     trusted = trusted_texts(docs, labels)
     characters = trusted.mapInArrow(_count_characters, "lang string, symbol long, n long").groupBy("lang", "symbol").agg(F.sum("n").alias("n"))
@@ -224,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: flo
     bucket = F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1))))
     near = judged.select("lang", "c", "w", F.explode(F.array(F.lit(0), bucket - 1, bucket, bucket + 1)).alias("bucket")).where("bucket >= 0")
     cuts = F.array(F.lit(1 - quantile), F.lit(0.5), F.lit(quantile))
-    rows = near.groupBy("lang", "bucket").agg(F.percentile("c", cuts).alias("c"), F.percentile("w", cuts).alias("w")).collect()  # some 30 rows a language
-    bands = {(r["lang"], r["bucket"]): tuple(m + side * stretch * abs(q - m) for low, m, high in (r["c"], r["w"]) for side, q in ((-1, low), (1, high))) for r in rows}
+    rows = near.groupBy("lang", "bucket").agg(F.percentile("c", cuts).alias("c"), F.percentile("w", cuts).alias("w"), F.count(F.lit(1)).alias("n")).collect()  # some 30 rows a language
+    bands = {(r["lang"], r["bucket"]): tuple(m + side * stretch * (1 + doubt / r["n"] ** 0.5) * abs(q - m) for low, m, high in (r["c"], r["w"]) for side, q in ((-1, low), (1, high))) for r in rows}
     return Model(spark, sparse, bands)
 
 
