@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.metrics import count_similarity, jaccard
-from quarry.operators.graph import components
+from quarry.operators.graph import checkpoint, components
 
 
 @dataclass(frozen=True)
@@ -264,10 +264,16 @@ def similar_pairs(functions: DataFrame, opts: Options = Options()) -> DataFrame:
 
     Tests are compared with tests only."""
     few = functions.count() < opts.all_pairs_below
-    pairs = candidate_pairs(functions, opts)
-    side = lambda i, t: functions.select(F.col("idx").alias(i), F.col("tree").alias(t), F.col("signature").alias(f"s{t}"), F.col("is_test").alias(f"t{t}"))
-    both = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").where("ta = tb")
-    scored = with_bounds(both, opts, full=few).withColumn("body_similarity", body_similarity(opts)).where(F.col("body_similarity") >= opts.body_threshold)
+    keyed = functions.withColumn("__tree", F.md5(F.concat_ws("\x1e", F.array_join("tree.labels", "\x1f"), F.array_join(F.transform("tree.sizes", lambda n: n.cast("string")), ","))))
+    side = lambda i, t: keyed.select(F.col("idx").alias(i), F.col("__tree").alias(t), F.col("signature").alias(f"s{t}"), F.col("is_test").alias(f"t{t}"))
+    both = checkpoint(candidate_pairs(functions, opts).join(side("i", "a"), "i").join(side("j", "b"), "j").where("ta = tb"))
+    # equal trees score 1; of the others each pair of different trees is scored once, however many functions have them
+    trees = keyed.select("__tree", "tree").dropDuplicates(["__tree"])
+    different = both.where("a <> b").select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct()
+    different = different.join(trees.select(F.col("__tree").alias("ka"), F.col("tree").alias("a")), "ka").join(trees.select(F.col("__tree").alias("kb"), F.col("tree").alias("b")), "kb")
+    bodies = with_bounds(different, opts, full=few).select("ka", "kb", body_similarity(opts).alias("scored"))
+    scored = both.join(bodies, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left").withColumn("body_similarity", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("scored")))
+    scored = scored.where(F.col("body_similarity") >= opts.body_threshold)
     scored = scored.withColumn("signature_similarity", signature_similarity(F.col("sa"), F.col("sb")))
     scored = scored.withColumn("similarity", blended(F.col("body_similarity"), F.col("signature_similarity"), opts))
     return scored.where(F.col("similarity") >= opts.threshold).select("i", "j", "similarity", "body_similarity", "signature_similarity")
