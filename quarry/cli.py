@@ -28,6 +28,7 @@ def arguments(args: list[str]) -> argparse.Namespace:
     p.add_argument("--min-lines", type=int, default=5)
     p.add_argument("--min-score", type=int)
     p.add_argument("--since")
+    p.add_argument("--entry-glob", action="append", default=[])
     p.add_argument("--exclude", action="append", default=[])
     p.add_argument("--diff-only", action="store_true")
     tests = p.add_mutually_exclusive_group()
@@ -57,7 +58,7 @@ def run(spark: SparkSession, o: argparse.Namespace) -> dict:
     if o.analysis == "coupling":
         return analyses.coupled(tree)
     if o.analysis == "context-span":
-        return {"modules": analyses.context_spans(tree)}
+        return {"modules": analyses.context_spans(tree, o.entry_glob)}
     if o.analysis == "function-graph":
         nodes, edges, summary = analyses.call_graph(tree, **tests)
         return {"schema_version": 1, "summary": summary, "nodes": nodes, "edges": edges}

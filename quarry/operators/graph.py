@@ -34,6 +34,17 @@ def closure(edges: DataFrame, source: str = "src", target: str = "dst") -> DataF
         known = checkpoint(known.unionByName(new))
 
 
+def reachable_from(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """The nodes that ``starts`` (node) reach over edges (src, dst), themselves included; a round looks at new nodes only."""
+    edges = checkpoint(edges.select("src", "dst").where("src <> dst").distinct())
+    known = front = checkpoint(starts.select("node").distinct())
+    while not front.isEmpty():
+        found = edges.join(front, edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = checkpoint(found.join(known, "node", "left_anti"))
+        known = checkpoint(known.unionByName(front))
+    return known
+
+
 def core(edges: DataFrame) -> DataFrame:
     """The edges (src, dst) that are left when nodes without predecessors or successors are taken away again and again: cycles and ways between them."""
     now = checkpoint(edges.select("src", "dst").where("src <> dst").distinct())

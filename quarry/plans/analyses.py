@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import metrics, paths
 from quarry.operators import callgraph, cohesion, complexity, coupling, diff, hotspot, imports, similarity, wrapper
-from quarry.operators.graph import checkpoint
+from quarry.operators.graph import checkpoint, reachable_from
 from quarry.sources.facts import extract
 
 
@@ -107,7 +107,8 @@ def module_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     go = go.join(modules.select(F.col("path").alias("suffix")).distinct(), "suffix").groupBy("key").agg(F.max_by("suffix", F.length("suffix")).alias("module"), F.first("name").alias("symbol"))
     hit = imports.longest_prefix(refs.where(lang != "go").select("key", "segments"), modules.select(F.col("path").alias("module")), "key")
     resolved = hit.unionByName(go).withColumnRenamed("module", "to")
-    edges = refs.select("key", F.col("module").alias("from")).join(resolved, "key").select("from", "to", F.when(F.col("symbol") == "", F.col("to")).otherwise(F.col("symbol")).alias("symbol"), F.lit("use").alias("kind"))
+    kind = F.when(F.col("kind").isin(*coupling.KINDS), F.col("kind")).otherwise("use")
+    edges = refs.select("key", F.col("module").alias("from"), kind.alias("kind")).join(resolved, "key").select("from", "to", F.when(F.col("symbol") == "", F.col("to")).otherwise(F.col("symbol")).alias("symbol"), "kind")
     return checkpoint(coupling.normalised(edges)), modules
 
 
@@ -116,6 +117,17 @@ def coupled(files: DataFrame) -> dict[str, DataFrame]:
     return {"modules": coupling.ranked(coupling.module_metrics(edges, modules)), "edges": coupling.ordered(edges), "pairs": coupling.pairs(edges).orderBy(F.desc("shared_symbols"), "a", "b"), "cycles": coupling.cycles(edges).orderBy(F.desc("size"), "members")}
 
 
-def context_spans(files: DataFrame) -> DataFrame:
+def entered(files: DataFrame, entries: list[str]) -> DataFrame:
+    """The files that imports reach from files matching the globs. No match is an error."""
     edges, modules = module_edges(files)
+    starts = modules.where(paths.excluded(F.col("file"), entries)).select(F.col("path").alias("node")).distinct()
+    if starts.isEmpty():
+        raise ValueError(f"no file matches {entries}")
+    reached = reachable_from(edges.select(F.col("from").alias("src"), F.col("to").alias("dst")), starts)
+    return files.join(reached.withColumnRenamed("node", "module"), "module", "left_semi").select(*files.columns)
+
+
+def context_spans(files: DataFrame, entries: list[str] | None = None) -> DataFrame:
+    """With entry globs, of the modules that imports reach from them only."""
+    edges, modules = module_edges(entered(files, entries) if entries else files)
     return coupling.context_spans(edges, modules).orderBy(F.desc("transitive"), F.desc("files"), F.desc("direct"), "path")

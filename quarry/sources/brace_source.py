@@ -696,8 +696,27 @@ def rust(kind: str, source: str, module: str) -> list[tuple]:
     crate = module.split("::")[0]
     whole = lambda p: [crate, *p[1:]] if p[0] == "crate" else p
     seen = [{"alias": a, "target": "::".join(whole(p)), "exported": p[-1]} for p, a, _ in found]
+    functions = list(rust_functions(items, module))
     imports = [(module, 0, p, [a], "use", n) for p, a, n in found]
-    return _rows(kind, "rust", items, module, list(rust_functions(items, module)), imports, seen)
+    if kind == "imports":
+        imports += rust_references(functions, {a: whole(p) for p, a, _ in found}, module)
+    return _rows(kind, "rust", items, module, functions, imports, seen)
+
+
+def rust_references(functions: list[Function], aliases: dict[str, list[str]], module: str) -> list[tuple]:
+    """References to other modules besides imports: path calls, types of signatures, implemented traits; aliases are spelled out."""
+
+    def spelled(path: list[str]) -> list[str] | None:
+        return [*aliases[path[0]], *path[1:]] if path[0] in aliases else path if len(path) > 1 else None
+
+    out = []
+    for f in functions:
+        out += [(module, 0, p, [path[-1]], "call", line) for path, behind, _, line in call_sites(f.body.items, "rust") if not behind and (p := spelled(path))]
+        named = [t for part in split(f.params.items) for t in texts(part) if t.kind == "name"] + [t for t in texts(f.result) if t.kind == "name"]
+        out += [(module, 0, aliases[t.text], [t.text], "type", t.line) for t in named if t.text in aliases]
+        if f.kind == "trait" and f.trait in aliases:
+            out.append((module, 0, aliases[f.trait], [f.trait], "impl_for", f.line))
+    return out
 
 
 def typescript(kind: str, source: str, module: str) -> list[tuple]:

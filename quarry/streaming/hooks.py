@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import patch_paths
-from quarry.operators import cohesion, complexity
+from quarry.operators import cohesion, complexity, hotspot
 from quarry.plans import analyses
 from quarry.sources import files as sources
 
@@ -57,6 +57,13 @@ def after_edit(files: DataFrame) -> dict[str, DataFrame]:
     return {"similarity": clusters, "wrappers": analyses.wrappers(files)}
 
 
+def session_start(files: DataFrame, churn: DataFrame | None = None, top: int = 5) -> dict[str, DataFrame]:
+    """The hottest files and the most coupled modules and pairs of a tree; without a repository there are no hot files."""
+    found = analyses.coupled(files)
+    hot = {"hotspots": hotspot.ranked(analyses.hotspots(files, churn)).where("score > 0").limit(top)} if churn is not None else {}
+    return hot | {"modules": found["modules"].where("ifc > 0").limit(top), "pairs": found["pairs"].limit(top)}
+
+
 def answer(event: str, message: str) -> dict:
     """What an event's process would print; nothing to say is an empty object."""
     if not message:

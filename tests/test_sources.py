@@ -130,3 +130,18 @@ def test_unreadable_texts_are_listed(spark, tree):
     found = files.read_tree(spark, str(tree))
     assert [r["file"] for r in unparsed(found).collect()] == ["pkg/broken.py"]
     assert extract(found, "units").where(F.col("file") == "pkg/broken.py").count() == 0
+
+
+def test_rust_coupling_and_entries(spark):
+    texts = {
+        "lib.rs": "pub mod a;\npub mod b;\n", "a.rs": "pub struct Foo;\npub trait Show {}\npub fn helper() {}\n",
+        "b.rs": "use crate::a::{helper, Foo};\nuse crate::a;\npub fn run(x: Foo) { helper(); a::helper(); }\nimpl a::Show for Bar { fn show(&self) {} }\n", "main.ts": "import { x } from './util';\nfunction f() { return x(); }\n", "util.ts": "export function x() { return 1; }\n", "lone.ts": "export const y = 1;\n",
+    }
+    found = files.described(spark.createDataFrame(list(texts.items()), "file string, source string"))
+    edges = {(r["from"], r["to"], r["symbol"], r["kind"]) for r in analyses.coupled(found)["edges"].collect()}
+    assert {("crate::b", "crate::a", "Foo", "use"), ("crate::b", "crate::a", "Foo", "type"), ("crate::b", "crate::a", "helper", "use"), ("crate::b", "crate::a", "helper", "call"), ("main", "util", "x", "use")} <= edges
+    assert {r["path"]: r["transitive"] for r in analyses.context_spans(found, ["main.ts"]).collect()} == {"main": 1, "util": 0}
+    with pytest.raises(ValueError):
+        analyses.context_spans(found, ["none.ts"])
+    parts = hooks.session_start(found)
+    assert parts["modules"].columns and parts["pairs"].first()["shared_symbols"] >= 2
