@@ -95,10 +95,11 @@ def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc, key and the line ranges to delete of each document that has any: ranges array<long>, first * 2^32 + last."""
     found = docs.where("text is not null").select(*_identity(docs), "text").mapInArrow(lambda batches: _find(batches, least), FINGERPRINTS)
     found = checkpoint(found)
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # the sides with one row per hash are cut off, so that a join's other side can be split where a hash is frequent
+    often = checkpoint(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     # a row for each window whose fingerprint occurs more than once
     places = found.join(often, "h").select("doc", "key", F.explode("windows").alias("x")).select("x.w", "doc", "key", "x.s", "x.e")
-    first = places.groupBy("w").agg(F.min(F.struct("doc", "key", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
+    first = checkpoint(places.groupBy("w").agg(F.min(F.struct("doc", "key", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first"))
     later = places.join(first, "w").where("first.doc <> doc or first.key <> key or first.s < s")
     own = (F.col("first.doc") == F.col("doc")) & (F.col("first.key") == F.col("key"))
     later = later.withColumn("s", F.when(own, F.greatest("s", F.col("first.e") + 1)).otherwise(F.col("s"))).where("s <= e")
