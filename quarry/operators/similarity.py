@@ -69,9 +69,8 @@ def coefficients(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def minhash(found: Column, n: int) -> Column:
-    """n minima of hashes of the shingles; of no shingles, the prime."""
-    x = F.transform(found, shingle_hash)
+def minhash(x: Column, n: int) -> Column:
+    """n minima of hashes of the numbers in ``x``; of none, the prime."""
 
     def least(a: int, b: int) -> Column:
         return F.coalesce(F.array_min(F.transform(x, lambda v: (v * a + b) % PRIME)), F.lit(PRIME).cast("long"))
@@ -79,10 +78,16 @@ def minhash(found: Column, n: int) -> Column:
     return F.array(*[least(a, b) for a, b in coefficients(n)])
 
 
-def bands(signed: DataFrame, n_bands: int, rows: int) -> DataFrame:
+def signed(functions: DataFrame, labels: Column, n: int) -> DataFrame:
+    """(idx, signature). Shingles are hashed in a projection of their own: once, not once per minimum."""
+    hashed = functions.select("idx", F.transform(shingles(labels), shingle_hash).alias("x"))
+    return hashed.select("idx", minhash(F.col("x"), n).alias("signature"))
+
+
+def bands(signatures: DataFrame, n_bands: int, rows: int) -> DataFrame:
     """(idx, band, part): each signature's bands; a band's own numbers are its key."""
     parts = F.array(*[F.slice("signature", i * rows + 1, rows) for i in range(n_bands)])
-    return signed.select("idx", F.posexplode(parts).alias("band", "part"))
+    return signatures.select("idx", F.posexplode(parts).alias("band", "part"))
 
 
 def band_pairs(banded: DataFrame) -> DataFrame:
@@ -103,8 +108,7 @@ def candidate_pairs(functions: DataFrame, opts: Options) -> DataFrame:
         ids = functions.select(F.col("idx").alias("i"))
         return ids.join(ids.withColumnRenamed("i", "j"), F.col("i") < F.col("j"))
     rows = opts.hashes // opts.bands
-    signed = functions.select("idx", minhash(shingles(F.col("tree.labels")), rows * opts.bands).alias("signature"))
-    found = band_pairs(bands(signed, opts.bands, rows))
+    found = band_pairs(checkpoint(bands(signed(functions, F.col("tree.labels"), rows * opts.bands), opts.bands, rows)))
     if (count := found.count()) > opts.max_pairs:
         raise ValueError(f"{n} functions make {count} candidate pairs, more than {opts.max_pairs}")
     return found

@@ -419,7 +419,7 @@ def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signed(t: Tables) -> DataFrame:
-    return _documents_as_trees(t).select("idx", similarity.minhash(similarity.shingles(F.col("labels")), _OPTIONS.hashes).alias("signature"))
+    return similarity.signed(_documents_as_trees(t), F.col("labels"), _OPTIONS.hashes)
 
 
 @query(f"WITH {_WORDS}, {_signatures_sql(_OPTIONS.hashes)} SELECT doc_id, array_to_string(signature, ',') AS signature FROM sig")
