@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a missing id where ids are ordered: last of all.
 LAST_ID = 9223372036854775807
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+SLICE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,9 +90,11 @@ def _mark(edges: DataFrame) -> tuple[int, int, int]:
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of Arrow batches, one after the other."""
+    """The rows of Arrow batches, one after the other; few at a time are Python objects."""
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for i in range(0, batch.num_rows, SLICE):
+            part = batch.slice(i, SLICE)
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
 class Out:

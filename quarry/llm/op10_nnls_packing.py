@@ -33,7 +33,7 @@ from quarry.llm.common import Out, checkpoint, rows_of, running_start, table
 
 WINDOW, SEPARATOR = 1024, 0
 #: How many words a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -52,8 +52,12 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.json_path, self.exact = json_path, None
-        self.alone, self.after_space = _Words(self.encode, ""), _Words(self.encode, " ")
         self.line_end = self.whole("\n")
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin with no words: what a task remembers does not stay in its worker."""
+        self.alone, self.after_space = _Words(self.encode, ""), _Words(self.encode, " ")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.encode(text)).tobytes()
@@ -115,6 +119,7 @@ def _cut(batches: Iterable[pa.RecordBatch], how: tuple[str, str, str], window: i
             piece = ids[4 * start : 4 * (start + window)]
             if out.add((doc_id, crc, start, len(piece) // 4, zlib.crc32(piece), n)):
                 yield out.batch()
+    encode.forget()
     if out.rows:
         yield out.batch()
 
