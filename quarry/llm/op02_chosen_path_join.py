@@ -110,14 +110,16 @@ def tokens(found: np.ndarray) -> np.ndarray:
     return low
 
 
-_EMBEDDED = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("tokens", pa.binary())])
+_EMBEDDED = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.binary())])
 
 
 def _embed(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     out = Out(_EMBEDDED)
     for key, doc, text in rows_of(batches):
-        found = _shingles(text, n)
-        if len(found) and out.add((key, doc, tokens(found).tobytes())):
+        if not len(found := _shingles(text, n)):
+            continue
+        low = tokens(found)
+        if out.add((key, doc, low.tobytes(), low.astype(np.uint8).tobytes())):
             yield out.batch()
     if out.rows:
         yield out.batch()
@@ -180,11 +182,11 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(sets: DataFrame, least: float, depth: int, recall: float) -> DataFrame:
-    """Edges (a, b) of text keys that may be links. ``sets``: key, tokens."""
+    """Edges (a, b) of text keys that may be links. ``sets``: key, tokens, sketch (the low byte of each token)."""
     runs, edges = runs_needed(least, depth, recall), None
     seeds = [int(x) for x in mix(np.arange(1, runs + 1, dtype=np.uint64) * _ODD).view(np.int64)]
     level = sets.select(F.explode(F.array(*map(F.lit, seeds))).alias("path"), "key", "tokens")
-    sketches = sets.select("key", _sketch(F.col("tokens")).alias("sketch"))
+    sketches = sets.select("key", "sketch")
     for k in range(depth):
         rows = checkpoint(level.mapInArrow(lambda batches: _paths(batches, least), "path long, key binary"))
         nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("same"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("same2")).where("n > 1")
@@ -196,15 +198,11 @@ def candidates(sets: DataFrame, least: float, depth: int, recall: float) -> Data
         found = checkpoint(found.distinct())
         edges = found if edges is None else edges.unionByName(found)
         if k < depth - 1:
-            level = rows.join(nodes.where(F.col("n") > LIMIT).select("path"), "path").join(sets, "key").select("path", "key", "tokens")
+            large = checkpoint(nodes.where(F.col("n") > LIMIT).select("path"))
+            level = rows.join(large, "path").join(sets.select("key", "tokens"), "key").select("path", "key", "tokens")
     return edges.distinct()
 
 
-def _sketch(found: Column) -> Column:
-    """The low byte of each token."""
-    return F.udf(lambda x: x[::4], "binary", useArrow=True)(found)
-
-
 _LINKS = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
 
@@ -258,10 +256,11 @@ def _verify(batches: Iterable[pa.RecordBatch], n: int, least: float) -> Iterator
 def classes(docs: DataFrame, n: int = N, least: float = LEAST, depth: int = 3, recall: float = 0.995) -> DataFrame:
     """One row per different text: key, first (its smallest doc_id), class_id, n_links (of each row with that text), any_words."""
     texts = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    embedded = texts.select("key", "doc", "text").mapInArrow(lambda batches: _embed(batches, n), "key binary, doc long, tokens binary")
-    sets = checkpoint(embedded.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens")))
-    groups = components(candidates(sets.select("key", "tokens"), least, depth, recall))
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    embedded = texts.select("key", "doc", "text").mapInArrow(lambda batches: _embed(batches, n), "key binary, doc long, tokens binary, sketch binary")
+    sets = checkpoint(embedded.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch")))
+    groups = components(candidates(sets.select("key", "tokens", "sketch"), least, depth, recall))
+    # tables with one row per node or root are cut off: the other side of their joins can then be split where one is large
+    sizes = checkpoint(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
     members = checkpoint(groups.withColumnRenamed("node", "key").join(sizes, "root").join(sets.select("key", "copies"), "key"))
     few = F.broadcast(members) if members.count() <= BROADCAST_KEYS else members
     # equal texts are the same text: one of them is enough, whichever it is
@@ -273,7 +272,7 @@ def classes(docs: DataFrame, n: int = N, least: float = LEAST, depth: int = 3, r
     joined = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     rows = sets.select("key", "first", "copies").join(counts, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")
     rows = checkpoint(rows.select("key", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root")))
-    smallest = rows.groupBy("root").agg(F.min_by(F.struct("first", "key"), F.struct(F.col("first").isNull(), "first", "key")).alias("low"))
+    smallest = checkpoint(rows.groupBy("root").agg(F.min_by(F.struct("first", "key"), F.struct(F.col("first").isNull(), "first", "key")).alias("low")))
     return rows.join(smallest, "root").select("key", "first", F.col("low.first").alias("class_id"), "n_links", (F.col("low.key") == F.col("key")).alias("lowest"))
 
 
