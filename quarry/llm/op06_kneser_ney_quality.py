@@ -1,14 +1,18 @@
-"""Quality classifier: the perplexity of texts under an interpolated modified Kneser-Ney model of character trigrams.
+"""Quality classifier: the perplexity of texts under an interpolated modified Kneser-Ney model of character n-grams.
 
-One model per language, trained on all trusted texts (label quality 1 and not toxic). Each text's log-perplexity per
+Models are per language, trained on all trusted texts (label quality 1 and not toxic). Each text's log-perplexity per
 character and per word must lie in the band of the trusted texts of its language and about its length; junk of rare characters lies
 above, and repeated words lie to either side in words. The band reaches from median - wide * (median - low quantile) to
 median + wide * (high quantile - median); wide is ``stretch`` * (1 + ``doubt`` / sqrt(n)) for n trusted texts, as quantiles of few are uncertain.
 
-Counts come from all trusted text: tasks count densely and give out sums; symbols, trigrams, continuation counts, counts of counts,
-discounts and probabilities are DataFrame aggregates and equi-joins, sharded by language and context. A language has at most
-``SYMBOLS`` symbols (its most frequent characters; the rest share one), so a finished model has at most SYMBOLS^3 rows a language: that
-bound is why models are collected and broadcast. Texts never leave their task: a filter needs no shuffle.
+Scores come from n-grams of ``ORDER`` characters, all characters and all counts (U+0000 and U+FDD1 count as one character, U+FDD0 as the beginning).
+Trusted texts are dealt into two halves by a hash of the text; a half's model scores the other half and what is not trusted, so that no text
+is scored by its own counts. Counts, continuation counts, discounts and probabilities are sharded DataFrames that grow with the text;
+scoring joins them with the n-grams of each block of documents, and a block's texts then meet the costs of its n-grams. Only discounts, alphabet
+sizes and bands, a few numbers a language, pass through the driver.
+
+``fit`` and ``Model`` are the small form, for judging by a column: one model of trigrams a language, of its SYMBOLS - 2 most frequent characters, the
+rest sharing a symbol, which is broadcast. The query and kept() do not use it.
 
 A null text is an empty one. Texts without a character have no perplexity and are not kept. A null language is the language "". A
 language without any trusted text has no model: its texts have no perplexity and are kept. Rows with the same id are judged each by
@@ -19,21 +23,30 @@ empty results; without labels nothing is trusted. Other columns are kept by kept
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, checkpoint, table
+from quarry.llm.common import Out, checkpoint, rows_of, table
 
 #: Symbols of a language: 0 begins a text, 1 is any other character.
 SYMBOLS = 96
 #: Trusted ids are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 4_000_000
 SLICE = 1 << 20
+#: Length of n-grams; numbers of ORDER symbols below RADIX fit 63 bits, and a part of a text has fewer characters than RADIX.
+ORDER, RADIX, PART = 4, 55_000, 32_768
+#: Stand for what is before a text, and for the character 0.
+PAD, NUL = 0xFDD0, "\ufdd1"
+#: n-grams that a task holds, and characters of a block of texts that meets its costs.
+MOST, BLOCK_CHARS = 5_000_000, 32_000_000
 
 
 def codes(text: str) -> np.ndarray:
@@ -100,19 +113,27 @@ def _count_trigrams(batches: Iterable[pa.RecordBatch], alphabets: dict[str, list
     yield _sums(counts)
 
 
-def _level(counts: DataFrame, lower: DataFrame | None, shorter: Column) -> tuple[DataFrame, DataFrame]:
+def by_lang(values: dict, kind: str) -> Column:
+    """The value of a row's ``lang``, from one value a language."""
+    entries = [F.lit(x) if not isinstance(x, list) else F.array(*map(F.lit, x)) for pair in values.items() for x in pair]
+    return F.element_at(F.create_map(*entries), F.col("lang")) if entries else F.lit(None).cast(kind)
+
+
+def _level(counts: DataFrame, lower: DataFrame | None, shorter: Column, size: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Interpolated probabilities (lang, context, symbol, p) of what was seen, and back-off weights (lang, context, back).
 
-    ``counts``: lang, context, symbol, n. ``lower``: the probabilities of the next lower level, whose contexts are ``shorter``."""
+    ``counts``: lang, context, symbol, n. ``lower``: the probabilities of the next lower level, whose contexts are ``shorter``.
+    The lowest backs off to 1 of the alphabet's ``size``, or of SYMBOLS."""
     of = [F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     found = [F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k) for k in (1, 2, 3)]
     discounts = counts.groupBy("lang").agg(*of).select("lang", *[F.greatest(F.lit(0.05), F.least(d, F.lit(k - 0.05))).alias(f"d{k}") for k, d in enumerate(found, 1)])
-    taken = counts.join(discounts, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+    found = {r["lang"]: [r["d1"], r["d2"], r["d3"]] for r in discounts.collect()}  # a row a language
+    taken = counts.withColumn("d", F.element_at(by_lang(found, "array<double>"), F.least("n", F.lit(3)).cast("int")))
     back = taken.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("back"))
     own = taken.join(back, ["lang", "context"]).select("lang", "context", "symbol", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "back")
     if lower is None:
-        return own.select("lang", "context", "symbol", (F.col("own") + F.col("back") / SYMBOLS).alias("p")), back.drop("total")
+        return own.select("lang", "context", "symbol", (F.col("own") + F.col("back") / (F.lit(SYMBOLS) if size is None else size)).alias("p")), back.drop("total")
     below = lower.select("lang", F.col("context").alias("shorter"), "symbol", F.col("p").alias("below"))
     joined = own.withColumn("shorter", shorter).join(below, ["lang", "shorter", "symbol"])
     return joined.select("lang", "context", "symbol", (F.col("own") + F.col("back") * F.col("below")).alias("p")), back.drop("total")
@@ -208,6 +229,15 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").join(ids, "doc_id", "left_semi").select("lang", "text")
 
 
+def bands_of(judged: DataFrame, quantile: float = 0.99, stretch: float = 2.0, doubt: float = 5.0) -> dict[tuple[str, int], tuple[float, ...]]:
+    """Bands by language and length from trusted texts (lang, n_words, c, w); bucket 0 holds all lengths."""
+    bucket = F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1))))
+    near = judged.select("lang", "c", "w", F.explode(F.array(F.lit(0), bucket - 1, bucket, bucket + 1)).alias("bucket")).where("bucket >= 0")
+    cuts = F.array(F.lit(1 - quantile), F.lit(0.5), F.lit(quantile))
+    rows = near.groupBy("lang", "bucket").agg(F.percentile("c", cuts).alias("c"), F.percentile("w", cuts).alias("w"), F.count(F.lit(1)).alias("n")).collect()  # some 30 rows a language
+    return {(r["lang"], r["bucket"]): tuple(m + side * stretch * (1 + doubt / r["n"] ** 0.5) * abs(q - m) for low, m, high in (r["c"], r["w"]) for side, q in ((-1, low), (1, high))) for r in rows}
+
+
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: float = 2.0, doubt: float = 5.0) -> Model:
     spark = docs.sparkSession
     trusted = trusted_texts(docs, labels)
@@ -221,21 +251,289 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: flo
         sparse[lang] = (alphabets[lang], {level: tuple(part[c].to_numpy() for c in ("context", "symbol", "value")) for level, part in rows.groupby("level")})
     first = Model(spark, sparse, {})
     judged = trusted.select("lang", first.judged(F.col("lang"), F.col("text")).alias("j")).select("lang", F.col("j.n_words").alias("n_words"), F.round("j.log_ppl_char", 3).alias("c"), F.round(F.log("j.log_ppl_word"), 3).alias("w"))
-    bucket = F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1))))
-    near = judged.select("lang", "c", "w", F.explode(F.array(F.lit(0), bucket - 1, bucket, bucket + 1)).alias("bucket")).where("bucket >= 0")
-    cuts = F.array(F.lit(1 - quantile), F.lit(0.5), F.lit(quantile))
-    rows = near.groupBy("lang", "bucket").agg(F.percentile("c", cuts).alias("c"), F.percentile("w", cuts).alias("w"), F.count(F.lit(1)).alias("n")).collect()  # some 30 rows a language
-    bands = {(r["lang"], r["bucket"]): tuple(m + side * stretch * (1 + doubt / r["n"] ** 0.5) * abs(q - m) for low, m, high in (r["c"], r["w"]) for side, q in ((-1, low), (1, high))) for r in rows}
+    bands = bands_of(judged, quantile, stretch, doubt)
     return Model(spark, sparse, bands)
 
 
+class _Cells:
+    """Counts of n-grams by (block, lang) as numbers of base ``RADIX``, over symbols that are given to characters as they come."""
+
+    def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
+        self.lookup, self.characters = np.zeros(0x110000, np.int64), [PAD]
+        self.lookup[PAD] = 1  # symbols count from 1 here, from 0 in numbers
+        self.cells: dict[tuple[int, str], list] = {}
+        self.held = 0
+
+    def add(self, cell: tuple[int, str], part: np.ndarray) -> None:
+        fresh = np.unique(part[self.lookup[part] == 0])
+        self.lookup[fresh] = np.arange(len(fresh)) + len(self.characters) + 1
+        self.characters += fresh.tolist()
+        have = self.cells.setdefault(cell, [np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0])
+        have[2].append(numbers(self.lookup[part] - 1, RADIX, None))
+        have[3] += len(part)
+        self.held += len(part)
+        if have[3] >= SLICE // 4:
+            self.merge(have)
+
+    def merge(self, have: list) -> None:
+        found, n = np.unique(np.concatenate(have[2]), return_counts=True)
+        both, where = np.unique(np.concatenate([have[0], found]), return_inverse=True)
+        self.held += len(both) - len(have[0]) - have[3]
+        have[:] = [both, np.bincount(where, np.concatenate([have[1], n])).astype(np.int64), [], 0]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The counts so far, which are then forgotten."""
+        characters = np.array(self.characters, np.uint32)
+        for (block, lang), have in self.cells.items():
+            if have[2]:
+                self.merge(have)
+            for i in range(0, len(have[0]), 1 << 14):
+                rest, n = have[0][i : i + (1 << 14)], have[1][i : i + (1 << 14)]
+                digits = np.empty((len(rest), ORDER), np.uint32)
+                for k in range(ORDER - 1, -1, -1):
+                    rest, digit = np.divmod(rest, RADIX)
+                    digits[:, k] = characters[digit]
+                grams = digits.view(f"<U{ORDER}").ravel().tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(n), pa.int32()), pa.array([lang] * len(n), pa.string()), pa.array(grams, pa.string()), pa.array(n)], names=["block", "lang", "gram", "n"])
+        self.reset()
+
+
+def padded(text: str) -> np.ndarray:
+    """Code points, with the beginning's sign before them."""
+    return np.concatenate([np.full(ORDER - 1, PAD, np.uint32), codes(text.replace("\0", NUL))])
+
+
+def numbers(x: np.ndarray, radix: int, heads: np.ndarray | None) -> np.ndarray:
+    """A number for each n-gram of symbols; ``heads`` (first three symbols, in order) stand in where all symbols are too many for 63 bits."""
+    n = len(x) - ORDER + 1
+    out = (x[:n] * radix + x[1 : n + 1]) * radix + x[2 : n + 2]
+    out = out if heads is None else np.searchsorted(heads, out)
+    for k in range(3, ORDER):
+        out = out * radix + x[k : n + k]
+    return out
+
+
+def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, lang, text) to (block, lang, gram, n), each once or a few times a task."""
+    cells = _Cells()
+    for block, lang, text in rows_of(batches):
+        x = padded(text)
+        for i in range(0, len(x) - ORDER + 1, PART):
+            part = x[i : i + PART + ORDER - 1]
+            if len(cells.characters) + len(part) > RADIX and len(cells.characters) + len(np.unique(part)) > RADIX:
+                yield from cells.batches()
+            cells.add((block, lang), part)
+            if cells.held > MOST:
+                yield from cells.batches()
+    yield from cells.batches()
+
+
+def grams_of(texts: DataFrame) -> DataFrame:
+    """(block, lang, gram, n) of ``texts`` (block, lang, text); a gram may come in several rows."""
+    return texts.select(F.col("block").cast("int").alias("block"), "lang", "text").mapInArrow(_count_grams, "block int, lang string, gram string, n long")
+
+
+def _pack_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _count_grams, with many n-grams of a block and language in one row, compressed and without counts."""
+    for part in _count_grams(batches):
+        packed = zlib.compress("".join(part.column(2).to_pylist()).encode("utf-8"), 1)
+        yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), part.column(1).slice(0, 1), pa.array([packed], pa.binary())], names=["block", "lang", "packed"])
+
+
+def _unpack_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, lang, packed in rows_of(batches):
+        chars = zlib.decompress(packed).decode("utf-8")
+        grams = [chars[i : i + ORDER] for i in range(0, len(chars), ORDER)]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int32()), pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["block", "lang", "gram"])
+
+
+def gram_levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1 on: probabilities (lang, context, symbol, p) of what was seen, and back-off weights (lang, context, back).
+
+    ``counts``: lang, gram, n. All characters count and all counts stay; both tables grow with the text and stay sharded."""
+    raw = {ORDER: counts.select("lang", F.substring("gram", 1, ORDER - 1).alias("context"), F.substring("gram", ORDER, 1).alias("symbol"), "n")}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = F.substring("context", 2, k - 1) if k > 1 else F.lit("")
+        raw[k] = checkpoint(raw[k + 1].groupBy("lang", shorter.alias("context"), "symbol").agg(F.count(F.lit(1)).alias("n")))
+    out: list[tuple[DataFrame, DataFrame]] = []
+    for k in range(1, ORDER + 1):
+        lower = out[-1][0] if out else None
+        p, back = _level(raw[k], lower, F.substring("context", 2, k - 2) if k > 2 else F.lit(""), alphabet(raw[1]))
+        out.append((checkpoint(p), checkpoint(back)))
+    return out
+
+
+def alphabet(one: DataFrame) -> Column:
+    """The different characters of a language and one for all that were never seen."""
+    return by_lang({r["lang"]: r["n"] + 1 for r in one.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}, "long")
+
+
+def costs(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(lang, gram, cost): negative logarithms of the probabilities of different ``grams`` (lang, gram), by joins with the model order by order."""
+    size = alphabet(levels[0][0])
+    wanted = {ORDER: grams.select("lang", F.substring("gram", 1, ORDER - 1).alias("context"), F.substring("gram", ORDER, 1).alias("symbol"))}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = checkpoint(wanted[k + 1].select("lang", (F.substring("context", 2, k - 1) if k > 1 else F.lit("")).alias("context"), "symbol").distinct())
+    found = None
+    for k, (p, back) in enumerate(levels, 1):
+        rows = wanted[k].join(p, ["lang", "context", "symbol"], "left").join(back, ["lang", "context"], "left")
+        if found is None:
+            rows = rows.withColumn("below", 1 / size)
+        else:
+            below = found.select("lang", F.col("context").alias("shorter"), "symbol", F.col("p").alias("below"))
+            rows = rows.withColumn("shorter", F.substring("context", 2, k - 2) if k > 2 else F.lit("")).join(below, ["lang", "shorter", "symbol"])
+        found = checkpoint(rows.select("lang", "context", "symbol", F.coalesce("p", F.coalesce("back", F.lit(1.0)) * F.col("below")).alias("p")))
+    return found.select("lang", F.concat("context", "symbol").alias("gram"), (-F.log("p")).alias("cost"))
+
+
+def text_key(lang: Column, text: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(lang, F.lit("")), F.coalesce(text, F.lit("")))))
+
+
+_TEXTS = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("size", pa.int64()), ("packed", pa.binary())])
+_CODEC = pa.Codec("zstd", compression_level=6)
+
+
+def _pack_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a block and language, about a million bytes together compressed; equal ones once a task."""
+    out, seen, held, total = Out(_TEXTS), set(), {}, 0
+
+    def pack(cell: tuple[int, str]) -> bool:
+        raw = pickle.dumps(held.pop(cell)[0], protocol=5)
+        packed = _CODEC.compress(raw, asbytes=True)
+        return out.add((*cell, len(raw), packed), len(packed))
+
+    for block, key, lang, text in rows_of(batches):
+        if key in seen:
+            continue
+        seen.add(key)
+        have = held.setdefault((block, lang), [[], 0])
+        have[0].append((key, text))
+        have[1] += len(text)
+        total += len(text)
+        full = [(block, lang)] if have[1] >= SLICE else list(held) if total >= 32 * SLICE else []
+        for cell in full:
+            total -= held[cell][1]
+            if pack(cell):
+                yield out.batch()
+    for cell in list(held):
+        if pack(cell):
+            yield out.batch()
+    if out.rows:
+        yield out.batch()
+
+
+def _score_block(texts: pa.Table, table_: pa.Table) -> pa.Table:
+    """Scores of a block's texts (block, lang, size, packed) by the costs of its n-grams (block, lang, gram, cost)."""
+    out, seen = Out(_SCORES), set()
+    by_lang: dict[str, list[int]] = {}
+    for i, lang in enumerate(texts.column("lang").to_pylist()):
+        by_lang.setdefault(lang, []).append(i)
+    for lang, at in by_lang.items():
+        own = table_.filter(pc.equal(table_.column("lang"), lang))
+        if not own.num_rows:
+            continue  # a language without a model
+        digits = codes("".join(own.column("gram").to_pylist())).reshape(-1, ORDER)
+        characters = np.unique(np.append(digits, np.uint32(PAD)))
+        symbols = np.full(0x110000, -1, np.int64)
+        symbols[characters] = np.arange(len(characters))
+        radix, x = len(characters), symbols[digits]
+        heads = np.unique((x[:, 0] * radix + x[:, 1]) * radix + x[:, 2]) if radix > RADIX else None
+        n = numbers(x.ravel(), radix, heads)[::ORDER] if heads is None else np.concatenate([numbers(row, radix, heads) for row in x])
+        order = np.argsort(n)
+        n, cost = n[order], own.column("cost").to_numpy()[order]
+        for key, text in (pair for i in at for pair in pickle.loads(_CODEC.decompress(texts.column("packed")[i].as_py(), texts.column("size")[i].as_py(), asbytes=True))):
+            if key in seen:
+                continue
+            seen.add(key)
+            y, parts = symbols[padded(text)], []
+            for j in range(0, len(y) - ORDER + 1, SLICE):
+                wanted = numbers(y[j : j + SLICE + ORDER - 1], radix, heads)
+                place = np.minimum(np.searchsorted(n, wanted), len(n) - 1)
+                if (n[place] != wanted).any():
+                    raise RuntimeError("an n-gram of a text has no cost in its block")
+                parts.append(float(cost[place].sum(dtype=np.float64)))
+            out.add((key, len(text), len(text.split()), math.fsum(parts)))
+    return pa.Table.from_batches([out.batch()], _SCORES)
+
+
+_SCORES = pa.schema([("key", pa.binary()), ("n_chars", pa.int64()), ("n_words", pa.int64()), ("total", pa.float64())])
+
+
+def blocks(docs: DataFrame) -> Column:
+    """The block of a row (doc_id, text): neighbours in doc_id, about ``BLOCK_CHARS`` characters; many rows with one id are dealt by their texts."""
+    place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    n = math.ceil(size / BLOCK_CHARS)
+    cuts = docs.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else []  # a number a block
+    if not cuts:
+        return F.lit(0)
+    all_cuts = F.array(*[F.lit(c).cast("long") for c in cuts])
+    low, high = F.size(F.filter(all_cuts, lambda c: c < place)), F.size(F.filter(all_cuts, lambda c: c <= place))
+    return F.when(high - low > 1, low + F.pmod(F.xxhash64("text"), high - low).cast("int")).otherwise(high)
+
+
+def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(key, n_chars, n_words, total): the negative log-likelihoods of the different texts of ``docs`` whose language has a model.
+
+    Trusted texts (lang, text) of either half, dealt by a hash of the text, make a model; a text is scored by that of the other half, so that
+    none is scored by counts of itself. Where the other half is empty, its own half's model serves. Models are joined with the n-grams of each
+    block of texts; then texts meet their block's costs."""
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    name = lambda h: F.concat("lang", F.lit("#"), h.cast("string"))
+    learned = trusted.select(name(half).alias("lang"), "text", F.lit(0).alias("block"))
+    counts = checkpoint(grams_of(learned).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    levels = gram_levels(counts)
+    models = [r["lang"] for r in levels[0][1].select("lang").distinct().collect()]  # two a language
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").withColumn("key", text_key(F.col("lang"), F.col("text")))
+    other, own = (F.when(name(h).isin(models), name(h)) for h in (1 - half, half))
+    rows = rows.select("doc_id", "key", F.coalesce(other, own).alias("lang"), "text").where("lang is not null")
+    rows = rows.withColumn("block", blocks(rows).cast("int"))
+    packed = checkpoint(rows.select("block", "lang", "text").mapInArrow(_pack_grams, "block int, lang string, packed binary"))
+    met = packed.mapInArrow(_unpack_grams, "block int, lang string, gram string").repartition("lang", "gram").distinct()  # dealt once, for the join too
+    priced = met.join(costs(met.select("lang", "gram").distinct(), levels), ["lang", "gram"]).select("block", "lang", "gram", F.col("cost").cast("float").alias("cost"))
+    texts = rows.select("block", "key", "lang", "text").mapInArrow(_pack_texts, "block int, lang string, size long, packed binary")
+    found = texts.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(_score_block, "key binary, n_chars long, n_words long, total double")
+    return checkpoint(found.dropDuplicates(["key"]))
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """(key, log_ppl_char, log_ppl_word, kept) of the different texts whose language has a model."""
+    trusted = trusted_texts(docs, labels)
+    found = scores(docs, trusted)
+    known = trusted.select("lang", text_key(F.col("lang"), F.col("text")).alias("key"))
+    lang = checkpoint(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), text_key(F.col("lang"), F.col("text")).alias("key")).dropDuplicates(["key"]))
+    rows = found.join(lang, "key").select("key", "lang", "n_words", (F.col("total") / F.col("n_chars")).alias("c"), (F.col("total") / F.greatest("n_words", F.lit(1))).alias("w"))
+    judged = rows.join(known.select("key"), "key").select("lang", "n_words", F.col("c"), F.log("w").alias("w"))
+    bands = bands_of(judged, **how)
+    limits = docs.sparkSession.createDataFrame([(lang_, bucket, *map(float, b)) for (lang_, bucket), b in bands.items()], "lang string, bucket int, c0 double, c1 double, w0 double, w1 double")
+    own, whole = F.broadcast(limits), F.broadcast(limits.where("bucket = 0").select("lang", *[F.col(x).alias(f"all_{x}") for x in ("c0", "c1", "w0", "w1")]))
+    limit = lambda x: F.coalesce(x, f"all_{x}")
+    inside = F.col("c").between(limit("c0"), limit("c1")) & F.log("w").between(limit("w0"), limit("w1"))
+    out = rows.withColumn("bucket", F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1))))).join(own, ["lang", "bucket"], "left").join(whole, "lang", "left")
+    return checkpoint(out.select("key", "n_words", F.col("c").alias("log_ppl_char"), F.col("w").alias("log_ppl_word"), F.coalesce(inside, F.lit(True)).alias("kept")))
+
+
 def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
-    model = fit(docs, labels, **how)
-    return docs.where(model.judged(F.col("lang"), F.col("text"))["kept"])
+    bad = checkpoint(verdicts(docs, labels, **how).where("not kept").select(F.col("key").alias("__bad")))
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
+    return docs.where("text <> ''").join(bad, text_key(F.col("lang"), F.col("text")) == F.col("__bad"), "left_anti")
+
+
+def _words(text: Column) -> Column:
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(t.split())).astype("int64")
+
+    words.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(words, "long")(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return docs.select(F.col("doc_id").cast("long"), "lang", model.judged(F.col("lang"), F.col("text")).alias("j")).select("doc_id", "lang", "j.n_chars", "j.n_words", "j.log_ppl_char", "j.log_ppl_word", "j.kept")
+    found = verdicts(docs, table(spark, sf_dir, "labels")).drop("n_words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), _words(F.coalesce("text", F.lit(""))).alias("n_words"), text_key(F.col("lang"), F.col("text")).alias("key"))
+    return rows.join(found, "key", "left").select("doc_id", "lang", "n_chars", "n_words", "log_ppl_char", "log_ppl_word", F.coalesce("kept", F.col("n_chars") > 0).alias("kept"))

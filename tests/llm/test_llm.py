@@ -272,6 +272,59 @@ def test_op6_matches_a_plain_model(spark):
         assert op6.score(text, symbols, table)[2] == pytest.approx(wanted, rel=1e-4)
 
 
+def plain_costs(texts, order=op6.ORDER):
+    """-log p of a text under modified Kneser-Ney over all characters of ``texts``, by dictionaries."""
+    begin = chr(op6.PAD) * (order - 1)
+    levels = [Counter((begin + t)[i : i + order] for t in texts for i in range(len(t)))]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    size = len(levels[-1]) + 1
+
+    def level(counted, lower):
+        n = [sum(v == k for v in counted.values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = [0] + [min(k - 0.05, max(0.05, k - (k + 1) * y * n[k + 1] / n[k] if n[1] and n[k] else 0.5 * k)) for k in (1, 2, 3)]
+        total, mass = Counter(), Counter()
+        for g, k in counted.items():
+            total[g[:-1]] += k
+            mass[g[:-1]] += d[min(k, 3)]
+        return lambda g: (counted[g] - d[min(counted[g], 3)] if counted[g] else 0) / total[g[:-1]] + mass[g[:-1]] / total[g[:-1]] * lower(g[1:]) if total[g[:-1]] else lower(g[1:])
+
+    p = lambda g: 1 / size
+    for counted in reversed(levels):
+        p = level(counted, p)
+    return lambda t: -sum(np.log(p((begin + t)[i : i + order])) for i in range(len(t)))
+
+
+def test_op6_counts_and_scores_have_no_cap(spark):
+    r = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(300)] + list("ab \0\U0001f600")
+    texts = ["".join(r.choices(letters, k=r.randint(1, 400))) for _ in range(24)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts + texts[:3])], "doc_id long, text string, lang string").repartition(3)
+    trusted = docs.where("doc_id < 16")
+    grams = {(r_["lang"], r_["gram"]): r_["n"] for r_ in op6.grams_of(trusted.withColumn("block", F.lit(0))).groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()}
+    begin, seen = chr(op6.PAD) * (op6.ORDER - 1), lambda t: t.replace("\0", op6.NUL)
+    assert grams == Counter(("x", (begin + seen(t))[i : i + op6.ORDER]) for t in texts[:16] for i in range(len(t)))
+    assert len({g[-1] for _, g in grams}) > op6.SYMBOLS
+    half = {r_["text"]: r_["h"] for r_ in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("h")).collect()}
+    models = [plain_costs([seen(t) for t in texts[:16] if half[t] == h]) for h in (0, 1)]
+    found = {bytes(r_["key"]): r_ for r_ in op6.scores(docs, trusted.select("lang", "text")).collect()}
+    assert len(found) == len(texts)
+    for t in texts:
+        row = found[hashlib.md5(f"x\0{t}".encode()).digest()]
+        assert (row["n_chars"], row["n_words"]) == (len(t), len(t.split())) and row["total"] == pytest.approx(models[1 - half[t]](seen(t)), rel=1e-6)
+
+
+def test_op6_scores_the_same_in_many_blocks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trusted = docs.where("doc_id % 3 = 0").select("lang", "text")
+    whole = {bytes(r["key"]): r["total"] for r in op6.scores(docs, trusted).collect()}
+    monkeypatch.setattr(op6, "BLOCK_CHARS", 20_000)
+    same_ids = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(7)).otherwise(F.col("doc_id")))
+    parts = {bytes(r["key"]): r["total"] for r in op6.scores(same_ids, trusted).collect()}
+    assert same_ids.select(op6.blocks(same_ids).alias("b")).distinct().count() > 10 and parts == pytest.approx(whole)
+
+
 def test_op6_without_labels_or_rows(spark, docs, none, labels):
     nothing = labels.where("doc_id = 12345")
     assert op6.kept(docs, nothing).count() == sum(bool(r[1]) for r in edge_rows())
