@@ -3,7 +3,8 @@
 Models are per language, trained on all trusted texts (label quality 1 and not toxic). Each text's log-perplexity per
 character and per word must lie in the band of the trusted texts of its language and about its length; junk of rare characters lies
 above, and repeated words lie to either side in words. The band reaches from median - wide * (median - low quantile) to
-median + wide * (high quantile - median); wide is ``stretch`` * (1 + ``doubt`` / sqrt(n)) for n trusted texts, as quantiles of few are uncertain.
+median + wide * (high quantile - median); wide is ``stretch`` * (1 + ``doubt`` / sqrt(n)) for n different trusted texts, as quantiles of few
+are uncertain. Neither distance counts as less than ``LEAST_SPREAD``, and a length with fewer than ``FEW`` texts near it has its language's band.
 
 Scores come from n-grams of ``ORDER`` characters, all characters and all counts (U+0000 and U+FDD1 count as one character, U+FDD0 as the beginning).
 Trusted texts are dealt into two halves by a hash of the text; a half's model scores the other half and what is not trusted, so that no text
@@ -41,6 +42,9 @@ SYMBOLS = 96
 #: Trusted ids are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 4_000_000
 SLICE = 1 << 20
+#: Different trusted texts from which on a length has its own band, how many buckets of length they may be away, and the least distance
+#: from the median to a quantile, in nats a character and in logarithms of nats a word.
+FEW, REACH, LEAST_SPREAD = 30, (1, 2, 4), 0.03
 #: Length of n-grams; numbers of ORDER symbols below RADIX fit 63 bits, and a part of a text has fewer characters than RADIX.
 ORDER, RADIX, PART = 4, 55_000, 32_768
 #: Stand for what is before a text, and for the character 0.
@@ -230,12 +234,21 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def bands_of(judged: DataFrame, quantile: float = 0.99, stretch: float = 2.0, doubt: float = 5.0) -> dict[tuple[str, int], tuple[float, ...]]:
-    """Bands by language and length from trusted texts (lang, n_words, c, w); bucket 0 holds all lengths."""
+    """Bands by language and length from different trusted texts (lang, n_words, c, w); bucket 0 holds all lengths.
+
+    A bucket's band is that of the texts up to 1, 2 or 4 buckets away, the nearest that are ``FEW`` or more; it has none if they are fewer."""
     bucket = F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1))))
-    near = judged.select("lang", "c", "w", F.explode(F.array(F.lit(0), bucket - 1, bucket, bucket + 1)).alias("bucket")).where("bucket >= 0")
+    places = F.array(F.struct(F.lit(0).alias("reach"), F.lit(0).alias("bucket")), *[F.struct(F.lit(reach).alias("reach"), (bucket + k).alias("bucket")) for reach in REACH for k in range(-reach, reach + 1)])
+    near = judged.select("lang", "c", "w", F.explode(places).alias("at")).select("lang", "c", "w", "at.*").where("reach = 0 or bucket > 0")
     cuts = F.array(F.lit(1 - quantile), F.lit(0.5), F.lit(quantile))
-    rows = near.groupBy("lang", "bucket").agg(F.percentile("c", cuts).alias("c"), F.percentile("w", cuts).alias("w"), F.count(F.lit(1)).alias("n")).collect()  # some 30 rows a language
-    return {(r["lang"], r["bucket"]): tuple(m + side * stretch * (1 + doubt / r["n"] ** 0.5) * abs(q - m) for low, m, high in (r["c"], r["w"]) for side, q in ((-1, low), (1, high))) for r in rows}
+    rows = near.groupBy("lang", "reach", "bucket").agg(F.percentile("c", cuts).alias("c"), F.percentile("w", cuts).alias("w"), F.count(F.lit(1)).alias("n")).collect()  # some 100 rows a language
+    out: dict[tuple[str, int], tuple[float, ...]] = {}
+    for r in sorted(rows, key=lambda r: r["reach"]):
+        if r["reach"] == 0 or r["n"] >= FEW:
+            wide = stretch * (1 + doubt / r["n"] ** 0.5)
+            out.setdefault((r["lang"], r["bucket"]), tuple(m + side * wide * max(LEAST_SPREAD, abs(q - m)) for low, m, high in (r["c"], r["w"]) for side, q in ((-1, low), (1, high))))
+    return out
+
 
 
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: float = 2.0, doubt: float = 5.0) -> Model:
@@ -250,7 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: flo
     for lang, rows in model.groupby("lang"):
         sparse[lang] = (alphabets[lang], {level: tuple(part[c].to_numpy() for c in ("context", "symbol", "value")) for level, part in rows.groupby("level")})
     first = Model(spark, sparse, {})
-    judged = trusted.select("lang", first.judged(F.col("lang"), F.col("text")).alias("j")).select("lang", F.col("j.n_words").alias("n_words"), F.round("j.log_ppl_char", 3).alias("c"), F.round(F.log("j.log_ppl_word"), 3).alias("w"))
+    judged = trusted.select("lang", text_key(F.col("lang"), F.col("text")).alias("key"), first.judged(F.col("lang"), F.col("text")).alias("j")).dropDuplicates(["key"])
+    judged = judged.select("lang", F.col("j.n_words").alias("n_words"), F.col("j.log_ppl_char").alias("c"), F.log("j.log_ppl_word").alias("w"))
     bands = bands_of(judged, quantile, stretch, doubt)
     return Model(spark, sparse, bands)
 
@@ -507,7 +521,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     known = trusted.select("lang", text_key(F.col("lang"), F.col("text")).alias("key"))
     lang = checkpoint(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), text_key(F.col("lang"), F.col("text")).alias("key")).dropDuplicates(["key"]))
     rows = found.join(lang, "key").select("key", "lang", "n_words", (F.col("total") / F.col("n_chars")).alias("c"), (F.col("total") / F.greatest("n_words", F.lit(1))).alias("w"))
-    judged = rows.join(known.select("key"), "key").select("lang", "n_words", F.col("c"), F.log("w").alias("w"))
+    judged = rows.join(known.select("key"), "key", "left_semi").select("lang", "n_words", F.col("c"), F.log("w").alias("w"))
     bands = bands_of(judged, **how)
     limits = docs.sparkSession.createDataFrame([(lang_, bucket, *map(float, b)) for (lang_, bucket), b in bands.items()], "lang string, bucket int, c0 double, c1 double, w0 double, w1 double")
     own, whole = F.broadcast(limits), F.broadcast(limits.where("bucket = 0").select("lang", *[F.col(x).alias(f"all_{x}") for x in ("c0", "c1", "w0", "w1")]))

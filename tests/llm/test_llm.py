@@ -325,6 +325,17 @@ def test_op6_scores_the_same_in_many_blocks(spark, monkeypatch):
     assert same_ids.select(op6.blocks(same_ids).alias("b")).distinct().count() > 10 and parts == pytest.approx(whole)
 
 
+def test_op6_bands_of_few_or_equal_texts_are_not_empty(spark):
+    rows = [("x", 100, 1.5 + i / 1000, 2.0 + i / 1000) for i in range(100)] + [("x", 3000, 1.6, 2.1)] + [("y", 50, 1.5, 2.0)] * 400 + [("z", 9, 3.0, 4.0)]
+    bands = op6.bands_of(spark.createDataFrame(rows, "lang string, n_words int, c double, w double"))
+    assert ("x", op6.length_bucket(3000)) not in bands  # one text: the language's band
+    assert bands["x", 0][0] < 1.5 and bands["x", 0][1] > 1.6 and ("x", op6.length_bucket(400)) in bands
+    for band in bands.values():
+        assert band[1] - band[0] >= 4 * op6.LEAST_SPREAD - 1e-9 and band[3] - band[2] >= 4 * op6.LEAST_SPREAD - 1e-9
+    low, high, *_ = bands["y", op6.length_bucket(50)]
+    assert low < 1.5 - 0.05 and high > 1.5 + 0.05
+
+
 def test_op6_without_labels_or_rows(spark, docs, none, labels):
     nothing = labels.where("doc_id = 12345")
     assert op6.kept(docs, nothing).count() == sum(bool(r[1]) for r in edge_rows())
