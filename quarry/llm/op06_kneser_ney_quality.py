@@ -2,9 +2,9 @@
 
 Models are per language, trained on all trusted texts (label quality 1 and not toxic). Each text's log-perplexity per
 character and per word must lie in the band of the trusted texts of its language and about its length; junk of rare characters lies
-above, and repeated words lie to either side in words. The band reaches from median - wide * (median - low quantile) to
+above, and repeated words lie to either side in words. The share of different words among a text's words must not lie below its band. The band reaches from median - wide * (median - low quantile) to
 median + wide * (high quantile - median); wide is ``stretch`` * (1 + ``doubt`` / sqrt(n)) for n different trusted texts, as quantiles of few
-are uncertain. Neither distance counts as less than ``LEAST_SPREAD``, and a length with fewer than ``FEW`` texts near it has its language's band.
+are uncertain. The query and kept() take the quantiles as they are (``stretch`` 1), as they come from texts that the model has not seen. Neither distance counts as less than ``LEAST_SPREAD``, and a length with fewer than ``FEW`` texts near it has its language's band.
 
 Scores come from n-grams of ``ORDER`` characters, all characters and all counts (U+0000 and U+FDD1 count as one character, U+FDD0 as the beginning).
 Trusted texts are dealt into two halves by a hash of the text; a half's model scores the other half and what is not trusted, so that no text
@@ -234,19 +234,19 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def bands_of(judged: DataFrame, quantile: float = 0.99, stretch: float = 2.0, doubt: float = 5.0) -> dict[tuple[str, int], tuple[float, ...]]:
-    """Bands by language and length from different trusted texts (lang, n_words, c, w); bucket 0 holds all lengths.
+    """Bands by language and length from different trusted texts (lang, n_words, c, w, r); bucket 0 holds all lengths.
 
     A bucket's band is that of the texts up to 1, 2 or 4 buckets away, the nearest that are ``FEW`` or more; it has none if they are fewer."""
     bucket = F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1))))
     places = F.array(F.struct(F.lit(0).alias("reach"), F.lit(0).alias("bucket")), *[F.struct(F.lit(reach).alias("reach"), (bucket + k).alias("bucket")) for reach in REACH for k in range(-reach, reach + 1)])
-    near = judged.select("lang", "c", "w", F.explode(places).alias("at")).select("lang", "c", "w", "at.*").where("reach = 0 or bucket > 0")
+    near = judged.select("lang", "c", "w", "r", F.explode(places).alias("at")).select("lang", "c", "w", "r", "at.*").where("reach = 0 or bucket > 0")
     cuts = F.array(F.lit(1 - quantile), F.lit(0.5), F.lit(quantile))
-    rows = near.groupBy("lang", "reach", "bucket").agg(F.percentile("c", cuts).alias("c"), F.percentile("w", cuts).alias("w"), F.count(F.lit(1)).alias("n")).collect()  # some 100 rows a language
+    rows = near.groupBy("lang", "reach", "bucket").agg(F.percentile("c", cuts).alias("c"), F.percentile("w", cuts).alias("w"), F.percentile("r", cuts).alias("r"), F.count(F.lit(1)).alias("n")).collect()  # some 100 rows a language
     out: dict[tuple[str, int], tuple[float, ...]] = {}
     for r in sorted(rows, key=lambda r: r["reach"]):
         if r["reach"] == 0 or r["n"] >= FEW:
             wide = stretch * (1 + doubt / r["n"] ** 0.5)
-            out.setdefault((r["lang"], r["bucket"]), tuple(m + side * wide * max(LEAST_SPREAD, abs(q - m)) for low, m, high in (r["c"], r["w"]) for side, q in ((-1, low), (1, high))))
+            out.setdefault((r["lang"], r["bucket"]), tuple(m + side * wide * max(LEAST_SPREAD, abs(q - m)) for low, m, high in (r["c"], r["w"], r["r"]) for side, q in ((-1, low), (1, high))))
     return out
 
 
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: flo
         sparse[lang] = (alphabets[lang], {level: tuple(part[c].to_numpy() for c in ("context", "symbol", "value")) for level, part in rows.groupby("level")})
     first = Model(spark, sparse, {})
     judged = trusted.select("lang", text_key(F.col("lang"), F.col("text")).alias("key"), first.judged(F.col("lang"), F.col("text")).alias("j")).dropDuplicates(["key"])
-    judged = judged.select("lang", F.col("j.n_words").alias("n_words"), F.col("j.log_ppl_char").alias("c"), F.log("j.log_ppl_word").alias("w"))
+    judged = judged.select("lang", F.col("j.n_words").alias("n_words"), F.col("j.log_ppl_char").alias("c"), F.log("j.log_ppl_word").alias("w"), F.lit(0.0).alias("r"))
     bands = bands_of(judged, quantile, stretch, doubt)
     return Model(spark, sparse, bands)
 
@@ -470,11 +470,12 @@ def _score_block(texts: pa.Table, table_: pa.Table) -> pa.Table:
                 if (n[place] != wanted).any():
                     raise RuntimeError("an n-gram of a text has no cost in its block")
                 parts.append(float(cost[place].sum(dtype=np.float64)))
-            out.add((key, len(text), len(text.split()), math.fsum(parts)))
+            words = text.split()
+            out.add((key, len(text), len(words), math.fsum(parts), len(set(words))))
     return pa.Table.from_batches([out.batch()], _SCORES)
 
 
-_SCORES = pa.schema([("key", pa.binary()), ("n_chars", pa.int64()), ("n_words", pa.int64()), ("total", pa.float64())])
+_SCORES = pa.schema([("key", pa.binary()), ("n_chars", pa.int64()), ("n_words", pa.int64()), ("total", pa.float64()), ("n_different", pa.int64())])
 
 
 def blocks(docs: DataFrame) -> Column:
@@ -491,7 +492,7 @@ def blocks(docs: DataFrame) -> Column:
 
 
 def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(key, n_chars, n_words, total): the negative log-likelihoods of the different texts of ``docs`` whose language has a model.
+    """(key, n_chars, n_words, total, n_different words): the negative log-likelihoods of the different texts of ``docs`` whose language has a model.
 
     Trusted texts (lang, text) of either half, dealt by a hash of the text, make a model; a text is scored by that of the other half, so that
     none is scored by counts of itself. Where the other half is empty, its own half's model serves. Models are joined with the n-grams of each
@@ -510,23 +511,23 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     met = packed.mapInArrow(_unpack_grams, "block int, lang string, gram string").repartition("lang", "gram").distinct()  # dealt once, for the join too
     priced = met.join(costs(met.select("lang", "gram").distinct(), levels), ["lang", "gram"]).select("block", "lang", "gram", F.col("cost").cast("float").alias("cost"))
     texts = rows.select("block", "key", "lang", "text").mapInArrow(_pack_texts, "block int, lang string, size long, packed binary")
-    found = texts.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(_score_block, "key binary, n_chars long, n_words long, total double")
+    found = texts.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(_score_block, "key binary, n_chars long, n_words long, total double, n_different long")
     return checkpoint(found.dropDuplicates(["key"]))
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def verdicts(docs: DataFrame, labels: DataFrame, stretch: float = 1.0, **how) -> DataFrame:
     """(key, log_ppl_char, log_ppl_word, kept) of the different texts whose language has a model."""
     trusted = trusted_texts(docs, labels)
     found = scores(docs, trusted)
     known = trusted.select("lang", text_key(F.col("lang"), F.col("text")).alias("key"))
     lang = checkpoint(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), text_key(F.col("lang"), F.col("text")).alias("key")).dropDuplicates(["key"]))
-    rows = found.join(lang, "key").select("key", "lang", "n_words", (F.col("total") / F.col("n_chars")).alias("c"), (F.col("total") / F.greatest("n_words", F.lit(1))).alias("w"))
-    judged = rows.join(known.select("key"), "key", "left_semi").select("lang", "n_words", F.col("c"), F.log("w").alias("w"))
-    bands = bands_of(judged, **how)
-    limits = docs.sparkSession.createDataFrame([(lang_, bucket, *map(float, b)) for (lang_, bucket), b in bands.items()], "lang string, bucket int, c0 double, c1 double, w0 double, w1 double")
-    own, whole = F.broadcast(limits), F.broadcast(limits.where("bucket = 0").select("lang", *[F.col(x).alias(f"all_{x}") for x in ("c0", "c1", "w0", "w1")]))
+    rows = found.join(lang, "key").select("key", "lang", "n_words", (F.col("total") / F.col("n_chars")).alias("c"), (F.col("total") / F.greatest("n_words", F.lit(1))).alias("w"), F.log(F.greatest("n_different", F.lit(1)) / F.greatest("n_words", F.lit(1))).alias("r"))
+    judged = rows.join(known.select("key"), "key", "left_semi").select("lang", "n_words", "c", F.log("w").alias("w"), "r")
+    bands = bands_of(judged, stretch=stretch, **how)
+    limits = docs.sparkSession.createDataFrame([(lang_, bucket, *map(float, b[:5])) for (lang_, bucket), b in bands.items()], "lang string, bucket int, c0 double, c1 double, w0 double, w1 double, r0 double")
+    own, whole = F.broadcast(limits), F.broadcast(limits.where("bucket = 0").select("lang", *[F.col(x).alias(f"all_{x}") for x in ("c0", "c1", "w0", "w1", "r0")]))
     limit = lambda x: F.coalesce(x, f"all_{x}")
-    inside = F.col("c").between(limit("c0"), limit("c1")) & F.log("w").between(limit("w0"), limit("w1"))
+    inside = F.col("c").between(limit("c0"), limit("c1")) & F.log("w").between(limit("w0"), limit("w1")) & (F.col("r") >= limit("r0"))
     out = rows.withColumn("bucket", F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1))))).join(own, ["lang", "bucket"], "left").join(whole, "lang", "left")
     return checkpoint(out.select("key", "n_words", F.col("c").alias("log_ppl_char"), F.col("w").alias("log_ppl_word"), F.coalesce(inside, F.lit(True)).alias("kept")))
 

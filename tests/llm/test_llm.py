@@ -326,8 +326,8 @@ def test_op6_scores_the_same_in_many_blocks(spark, monkeypatch):
 
 
 def test_op6_bands_of_few_or_equal_texts_are_not_empty(spark):
-    rows = [("x", 100, 1.5 + i / 1000, 2.0 + i / 1000) for i in range(100)] + [("x", 3000, 1.6, 2.1)] + [("y", 50, 1.5, 2.0)] * 400 + [("z", 9, 3.0, 4.0)]
-    bands = op6.bands_of(spark.createDataFrame(rows, "lang string, n_words int, c double, w double"))
+    rows = [("x", 100, 1.5 + i / 1000, 2.0 + i / 1000, -0.3) for i in range(100)] + [("x", 3000, 1.6, 2.1, -0.3)] + [("y", 50, 1.5, 2.0, -0.3)] * 400 + [("z", 9, 3.0, 4.0, 0.0)]
+    bands = op6.bands_of(spark.createDataFrame(rows, "lang string, n_words int, c double, w double, r double"))
     assert ("x", op6.length_bucket(3000)) not in bands  # one text: the language's band
     assert bands["x", 0][0] < 1.5 and bands["x", 0][1] > 1.6 and ("x", op6.length_bucket(400)) in bands
     for band in bands.values():
@@ -336,6 +336,15 @@ def test_op6_bands_of_few_or_equal_texts_are_not_empty(spark):
     assert low < 1.5 - 0.05 and high > 1.5 + 0.05
 
 
+def test_op6_drops_repeated_words(spark):
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(900)]
+    texts = [" ".join(r.choices(words, k=300)) for _ in range(120)] + [" ".join(r.choices(words[:4], k=300)), " ".join(r.choices(words, k=300))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    left = {r_["doc_id"] for r_ in op6.kept(docs, spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")).collect()}
+    assert 120 not in left and 121 in left and len(left) > 110
+
+
 def test_op6_without_labels_or_rows(spark, docs, none, labels):
     nothing = labels.where("doc_id = 12345")
     assert op6.kept(docs, nothing).count() == sum(bool(r[1]) for r in edge_rows())
