@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, table
 
 N, LEAST, SIZE, LIMIT, BLOCK, COMPARED = 5, 0.8, 128, 256, 256, 2048
-#: Estimates from SIZE tokens: joined as candidates from NEAR on (5 standard deviations below LEAST).
-NEAR = 0.62
 #: Candidate texts are found by a broadcast up to so many, and by a shuffle beyond.
 BROADCAST_KEYS = 300_000
 PIECE = 1 << 20
@@ -129,6 +127,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def near(least: float) -> float:
+    """Sets are joined as candidates from this estimate by SIZE tokens on: 5 standard deviations below ``least``."""
+    return least - 5 * math.sqrt(max(0.0, least * (1 - least)) / SIZE)
+
+
 def runs_needed(least: float, depth: int, recall: float) -> int:
     """Runs until a pair at the threshold survives one of them with the given chance: it has Poisson(1) common children a level."""
     alive = 1.0
@@ -158,7 +161,7 @@ def _paths(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 _EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterable[pa.RecordBatch], alike_from: float) -> Iterator[pa.RecordBatch]:
     """Candidate groups inside nodes (path, i, j, key, sketch), as edges to a member; i and j are the node's blocks that are compared.
 
     What is joined is compared with the sets still left only, so a dense group costs little more than its size, and gives an edge per set."""
@@ -171,7 +174,7 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seed, left = left[0], left[1:]
             front = [seed]
             while front and len(left):
-                alike = (sets[left] == sets[front.pop()]).mean(axis=1) >= NEAR
+                alike = (sets[left] == sets[front.pop()]).mean(axis=1) >= alike_from
                 found, left = left[alike], left[~alike]
                 front.extend(found)
                 for k in found:
@@ -194,7 +197,7 @@ def candidates(sets: DataFrame, least: float, depth: int, recall: float) -> Data
         once = checkpoint(small.groupBy("n", "same", "same2").agg(F.min("path").alias("path")).select("path", "n"))
         own = rows.join(once, "path").join(sketches, "key").select("path", "key", "sketch", "n")
         own = blocked(own, "n", COMPARED).select("path", "i", "j", "key", "sketch")
-        found = own.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "key").mapInArrow(_compare, "a binary, b binary")
+        found = own.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "key").mapInArrow(lambda batches: _compare(batches, near(least)), "a binary, b binary")
         found = checkpoint(found.distinct())
         edges = found if edges is None else edges.unionByName(found)
         if k < depth - 1:

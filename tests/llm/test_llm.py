@@ -120,6 +120,15 @@ def test_op2_finds_the_links(spark, docs, none):
     assert kept.count() == empty + len({root(i) for i in range(len(rows)) if WORD.findall(rows[i][1] or "")})
 
 
+def test_op2_candidates_follow_the_threshold():
+    assert np.ceil(op2.near(0.8) * op2.SIZE) == np.ceil(0.62 * op2.SIZE)
+    keys, sets = [b"a", b"b"], np.zeros((2, op2.SIZE), np.uint8)
+    sets[1, : op2.SIZE // 2] = 1  # alike in half of the tokens
+    batch = op2.pa.RecordBatch.from_pydict({"path": [1, 1], "i": [0, 0], "j": [0, 0], "key": keys, "sketch": [x.tobytes() for x in sets]})
+    found = lambda least: sum(b.num_rows for b in op2._compare([batch], op2.near(least)))
+    assert found(0.5) == 1 and found(0.8) == 0
+
+
 def test_op2_dense_groups_give_links_not_pairs(spark):
     r = random.Random(9)
     base = [f"w{r.randrange(10_000)}" for _ in range(300)]
