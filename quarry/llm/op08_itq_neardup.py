@@ -6,7 +6,7 @@ vectors with null or non-finite components and vectors without a label link with
 1. On a bounded sample (``FIT_ROWS`` vectors by the hash of their id) a rotation is learned per vector length: principal axes, then turns
    between the nearest binary code and the best rotation (Procrustes), so that codes are balanced and lie near the vectors.
 2. Every vector gets its codes, cut into substrings of about log2(number of vectors) bits. Each substring is a table; vectors meet in
-   a table when label and substring are equal. Rotations from other starts add tables until there are ``TABLES``: vectors that differ in fewer bits
+   a table when label and substring are equal. Rotations from other starts add tables until there are ``TABLES`` for each length of vectors, more where ``RECALL`` asks for them: vectors that differ in fewer bits
    than a rotation has substrings meet for certain.
 3. Buckets of one vector go. In the others all pairs are compared by their original vectors, larger buckets in blocks. A pair counts in
    the first table where it meets. A block gives out counts of links per vector and a forest of its links, not pairs.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, table
 
 LEAST, BITS, TABLES, FIT_ROWS, BLOCK = 0.98, 64, 8, 20_000, 1024
+#: Expected recall of pairs at the threshold, taking tables as independent and bits to differ as angles do.
+RECALL = 0.95
 Models = dict[int, tuple[np.ndarray, list[np.ndarray]]]
 
 _VALID = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("unit", pa.binary())])
@@ -87,6 +89,14 @@ def substrings(x: np.ndarray, model: tuple[np.ndarray, list[np.ndarray]], width:
     return np.stack(out, axis=1)
 
 
+def rotations_needed(n: int, width: int, least: float) -> int:
+    """Rotations for vectors of length ``n``: TABLES tables, or as many as RECALL at the threshold asks for."""
+    bits = min(BITS, n)
+    one = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** min(width, bits)
+    needed = math.ceil(math.log(1 - RECALL) / math.log(1 - one)) if one < 1 else 1
+    return math.ceil(max(TABLES, needed) / (bits // min(width, bits)))
+
+
 def _codes(batches: Iterable[pa.RecordBatch], models: Models, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths = batch.column(2).to_numpy()
@@ -123,12 +133,12 @@ def _rerank(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield out.batch()
 
 
-def fit(sets: DataFrame, rotations: int) -> Models:
+def fit(sets: DataFrame, width: int, least: float) -> Models:
     """A model per vector length. ``sets``: key, n, unit."""
     models: Models = {}
     for row in sets.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect():  # one row per vector length
         some = sets.where(F.col("n") == row["n"]).orderBy(F.xxhash64("key")).limit(FIT_ROWS).select("unit").toArrow().column(0).to_pylist()
-        models[row["n"]] = learn(np.frombuffer(b"".join(some), np.float64).reshape(len(some), row["n"]), rotations)
+        models[row["n"]] = learn(np.frombuffer(b"".join(some), np.float64).reshape(len(some), row["n"]), rotations_needed(row["n"], width, least))
     return models
 
 
@@ -139,8 +149,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     sets = checkpoint(valid.groupBy("key").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies")))
     size = max(2, sets.count())
     width = min(24, max(8, math.ceil(math.log2(size))))
-    rotations = math.ceil(TABLES / max(1, BITS // width))
-    models = fit(sets, rotations)
+    models = fit(sets, width, least)
     coded = checkpoint(sets.select("key", "label", "n", "unit").mapInArrow(lambda batches: _codes(batches, models, width), "key binary, label long, n int, codes binary, tables array<int>"))
     bucket = ["label", "n", "table", "code"]
     places = coded.select("key", "label", "n", F.posexplode("tables").alias("table", "code"))

@@ -429,6 +429,19 @@ def test_op8_against_brute_force(spark):
     assert op8.near_duplicates(frame.where("vec_id = -5")).count() == 0
 
 
+@pytest.mark.parametrize("n", [16, 32])
+def test_op8_short_vectors_have_enough_tables(n):
+    r, width = np.random.default_rng(n), 16
+    x = r.normal(size=(1500, n))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.981 * x + (1 - 0.981**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    model = op8.learn(np.concatenate([x, y]), op8.rotations_needed(n, width, op8.LEAST), 5)
+    a, b = op8.substrings(x, model, width), op8.substrings(y, model, width)
+    assert a.shape[1] >= op8.TABLES and (a == b).any(axis=1).mean() > 0.9
+
+
 def test_op8_recall_on_a_table(spark):
     frame = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
     pdf = frame.toPandas()
