@@ -31,9 +31,10 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: A value in quotes goes to the matching one; others end at white space, quotes, ``<``, ``>``, comma or semicolon.
 #: Names before a credential's value; then ``:`` or ``=`` (``bearer`` needs none).
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|(?:api|access|private|signing|encryption)[_-]?key)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["'`]?(?:bearer\x20+)?([^\s"'`<>,;]{6,})|\bbearer\x20+([^\s"'`<>,;]{6,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|(?:api|access|private|signing|encryption)[_-]?key)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:"(?:bearer\x20+)?([^"\x00-\x1f\x7f]{6,})"|'(?:bearer\x20+)?([^'\x00-\x1f\x7f]{6,})'|`(?:bearer\x20+)?([^`\x00-\x1f\x7f]{6,})`|["'`]?(?:bearer\x20+)?([^\s"'`<>,;]{6,}))|\bbearer\x20+([^\s"'`<>,;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 
@@ -147,7 +148,7 @@ def guessed_spans(text: str, least: float) -> list[tuple[int, int, int, float]]:
     found = []
     if "=" in text or ":" in text or "earer" in text or "EARER" in text:
         for m in CONTEXT.finditer(text):
-            group = 1 if m[1] is not None else 2
+            group = m.lastindex
             if (cost := guess_cost(m[group])) >= least:
                 found.append((m.start(group), 3, m.end(group), cost))
     return found

@@ -233,6 +233,12 @@ def test_op5_spans(docs, none):
     assert op5.scan(none).count() == 0
 
 
+def test_op5_quoted_values_go_to_the_matching_quote():
+    for text, value in (('password="ab,cd!ef#gh" x', "ab,cd!ef#gh"), ('password="Xk8#q!9v,rest" x', "Xk8#q!9v,rest"), ("pwd: 'Xk8<q;9v\"Z2' x", "Xk8<q;9v\"Z2"), ("pwd: Xk8#q!9vZ2,rest", "Xk8#q!9vZ2"), ('pwd: "Xk8#q!9vZ2,rest', "Xk8#q!9vZ2")):
+        (span,) = op5.guessed_spans(text, 6.0)
+        assert text[span[0] : span[2]] == value
+
+
 def test_op5_costs_are_the_cheapest_segmentation():
     assert op5.guess_cost("changeme") < 4 and op5.guess_cost("qwertyuiop") < 6 and op5.guess_cost("aaaaaaaaaaaaaaaa") < 5 and op5.guess_cost("19991231") < 7
     assert op5.guess_cost("Xk8#q!9vZ2mB") > 12 and op5.guess_cost("P@ssw0rd") < 4
