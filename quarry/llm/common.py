@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterable, Iterator
+import ctypes
+import os
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 LAST_ID = 9223372036854775807
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256
+#: Bytes of an Arrow batch that Spark hands to Python; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of this process only in local mode without that setting."""
+    """The folder that ``spark.checkpoint.dir`` names; one in the warehouse in local mode without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -30,10 +33,42 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
+        gone_at_end(spark, spark.sparkContext.getCheckpointDir())
     return spark.sparkContext.getCheckpointDir()
 
 
+def gone_at_end(spark: SparkSession, folder: str) -> None:
+    """Delete a folder when the driver's process ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def run(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(work, schema)`` with batches bounded by bytes; a task gives its memory back to the system when it ends."""
+    spark = df.sparkSession
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+    def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Free memory that allocators hold goes back to the system; workers are used again by later tasks."""
+    pa.default_memory_pool().release_unused()
+    if os.path.exists("/proc/self"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)

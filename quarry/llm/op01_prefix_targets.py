@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, rows_of, table
+from quarry.llm.common import Out, rows_of, run, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 EXAMPLES = "conv_id long, example long, kind string, n_turns long, text string, loss_start long, loss_end long"
@@ -114,12 +114,12 @@ def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def expand(turns: DataFrame) -> DataFrame:
     """Examples of ``turns`` (conv_id, turn, role, text), in order within each conversation and all of one in one partition."""
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_expand, EXAMPLES)
+    return run(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text"), _expand, EXAMPLES)
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """Digests of each conversation, read from expand()'s output as it comes."""
-    return examples.select("conv_id", "text", "loss_start", "loss_end").mapInArrow(_read_back, DIGESTS)
+    return run(examples.select("conv_id", "text", "loss_start", "loss_end"), _read_back, DIGESTS)
 
 
 PROBE = END + START + "assistant ok"

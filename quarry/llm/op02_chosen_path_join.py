@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, table
+from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, run, table
 
 N, LEAST, SIZE, LIMIT, BLOCK, COMPARED = 5, 0.8, 128, 256, 256, 2048
 #: Candidate texts are found by a broadcast up to so many, and by a shuffle beyond.
@@ -191,13 +191,13 @@ def candidates(sets: DataFrame, least: float, depth: int, recall: float) -> Data
     level = sets.select(F.explode(F.array(*map(F.lit, seeds))).alias("path"), "key", "tokens")
     sketches = sets.select("key", "sketch")
     for k in range(depth):
-        rows = checkpoint(level.mapInArrow(lambda batches: _paths(batches, least), "path long, key binary"))
+        rows = checkpoint(run(level, lambda batches: _paths(batches, least), "path long, key binary"))
         nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("same"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("same2")).where("n > 1")
         small = nodes if k == depth - 1 else nodes.where(F.col("n") <= LIMIT)
         once = checkpoint(small.groupBy("n", "same", "same2").agg(F.min("path").alias("path")).select("path", "n"))
         own = rows.join(once, "path").join(sketches, "key").select("path", "key", "sketch", "n")
         own = blocked(own, "n", COMPARED).select("path", "i", "j", "key", "sketch")
-        found = own.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "key").mapInArrow(lambda batches: _compare(batches, near(least)), "a binary, b binary")
+        found = run(own.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "key"), lambda batches: _compare(batches, near(least)), "a binary, b binary")
         found = checkpoint(found.distinct())
         edges = found if edges is None else edges.unionByName(found)
         if k < depth - 1:
@@ -259,7 +259,7 @@ def _verify(batches: Iterable[pa.RecordBatch], n: int, least: float) -> Iterator
 def classes(docs: DataFrame, n: int = N, least: float = LEAST, depth: int = 3, recall: float = 0.995) -> DataFrame:
     """One row per different text: key, first (its smallest doc_id), class_id, n_links (of each row with that text), any_words."""
     texts = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    embedded = texts.select("key", "doc", "text").mapInArrow(lambda batches: _embed(batches, n), "key binary, doc long, tokens binary, sketch binary")
+    embedded = run(texts.select("key", "doc", "text"), lambda batches: _embed(batches, n), "key binary, doc long, tokens binary, sketch binary")
     sets = checkpoint(embedded.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch")))
     groups = components(candidates(sets.select("key", "tokens", "sketch"), least, depth, recall))
     # tables with one row per node or root are cut off: the other side of their joins can then be split where one is large
@@ -270,7 +270,7 @@ def classes(docs: DataFrame, n: int = N, least: float = LEAST, depth: int = 3, r
     whole = texts.select("key", "text").join(few, "key").dropDuplicates(["key"])
     own = blocked(whole.withColumn("own", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int")), "size", BLOCK)
     own = own.select("root", "i", "j", "own", "key", "copies", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
-    linked = checkpoint(own.mapInArrow(lambda batches: _verify(batches, n, least), "key binary, links long, root binary"))
+    linked = checkpoint(run(own, lambda batches: _verify(batches, n, least), "key binary, links long, root binary"))
     counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
     joined = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     rows = sets.select("key", "first", "copies").join(counts, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")

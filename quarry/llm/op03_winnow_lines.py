@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LAST_ID, Out, checkpoint, rows_of, table
+from quarry.llm.common import LAST_ID, Out, checkpoint, rows_of, run, table
 
 MIN_WORDS = 50
 _WINDOW = pa.struct([("w", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
@@ -93,7 +93,7 @@ def _identity(df: DataFrame) -> list[Column]:
 
 def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc, key and the line ranges to delete of each document that has any: ranges array<long>, first * 2^32 + last."""
-    found = docs.where("text is not null").select(*_identity(docs), "text").mapInArrow(lambda batches: _find(batches, least), FINGERPRINTS)
+    found = run(docs.where("text is not null").select(*_identity(docs), "text"), lambda batches: _find(batches, least), FINGERPRINTS)
     found = checkpoint(found)
     # the sides with one row per hash are cut off, so that a join's other side can be split where a hash is frequent
     often = checkpoint(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))

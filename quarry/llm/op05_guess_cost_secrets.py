@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, rows_of, table
+from quarry.llm.common import Out, rows_of, run, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: The base patterns.
@@ -172,7 +172,7 @@ def _scan(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Record
 
 def scan(docs: DataFrame, least: float = 8.0) -> DataFrame:
     """doc_id and spans, by start and kind, of each text. ``least``: the cost (log10 of guesses) from which a credential value is a span."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _scan(batches, least), SPANS)
+    return run(docs.select(F.col("doc_id").cast("long"), "text"), lambda batches: _scan(batches, least), SPANS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

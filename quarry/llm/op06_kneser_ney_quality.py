@@ -2,23 +2,23 @@
 
 Models are per language, trained on all trusted texts (label quality 1 and not toxic). Each text's log-perplexity per
 character and per word must lie in the band of the trusted texts of its language and about its length; junk of rare characters lies
-above, and repeated words lie to either side in words. The share of different words among a text's words must not lie below its band. The band reaches from median - wide * (median - low quantile) to
-median + wide * (high quantile - median); wide is ``stretch`` * (1 + ``doubt`` / sqrt(n)) for n different trusted texts, as quantiles of few
-are uncertain. The query and kept() take the quantiles as they are (``stretch`` 1), as they come from texts that the model has not seen. Neither distance counts as less than ``LEAST_SPREAD``, and a length with fewer than ``FEW`` texts near it has its language's band.
-
-Scores come from n-grams of ``ORDER`` characters, all characters and all counts (U+0000 and U+FDD1 count as one character, U+FDD0 as the beginning).
-Trusted texts are dealt into two halves by a hash of the text; a half's model scores the other half and what is not trusted, so that no text
-is scored by its own counts. Counts, continuation counts, discounts and probabilities are sharded DataFrames that grow with the text;
-scoring joins them with the n-grams of each block of documents, and a block's texts then meet the costs of its n-grams. Only discounts, alphabet
-sizes and bands, a few numbers a language, pass through the driver.
-
-``fit`` and ``Model`` are the small form, for judging by a column: one model of trigrams a language, of its SYMBOLS - 2 most frequent characters, the
-rest sharing a symbol, which is broadcast. The query and kept() do not use it.
+above, and repeated words lie to either side in words. The share of different words among a text's words must not lie below its band.
+The band reaches from median - wide * (median - low quantile) to median + wide * (high quantile - median); wide is ``stretch`` * (1 +
+``doubt`` / sqrt(n)) for n different trusted texts, as quantiles of few are uncertain. The query and kept() take the quantiles as they
+are (``stretch`` 1), as they come from texts that the model has not seen. Neither distance counts as less than ``LEAST_SPREAD``, and a length with
+fewer than ``FEW`` texts near it has its language's band.
+
+Scores come from n-grams of ``ORDER`` characters, all characters and all counts (U+0000 and U+FDD1 count as one character, U+FDD0 as the
+beginning). Trusted texts are dealt into two halves by a hash of the text; a half's model scores the other half and what is not
+trusted, so that no text is scored by its own counts. Counts, continuation counts, discounts and probabilities are sharded DataFrames
+that grow with the text; scoring joins them, order by order, with the n-grams of blocks of documents (texts of one model, neighbours in
+doc_id), and a block's texts then meet the costs of its n-grams. Only discounts, alphabet sizes, bands and the sizes of blocks pass
+through the driver.
 
 A null text is an empty one. Texts without a character have no perplexity and are not kept. A null language is the language "". A
 language without any trusted text has no model: its texts have no perplexity and are kept. Rows with the same id are judged each by
-its own text; a document counts as trusted if all labels of its id say so. Equal texts in a language get equal results. Empty tables give
-empty results; without labels nothing is trusted. Other columns are kept by kept() and not read.
+its own text; a document counts as trusted if all labels of its id say so. Equal texts in a language get equal results; a text of any length
+is scored whole. Empty tables give empty results; without labels nothing is trusted. Other columns are kept by kept() and not read.
 """
 
 from __future__ import annotations
@@ -26,21 +26,17 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, checkpoint, rows_of, table
+from quarry.llm.common import Out, checkpoint, give_back, rows_of, run, table
 
-#: Symbols of a language: 0 begins a text, 1 is any other character.
-SYMBOLS = 96
-#: Trusted ids are broadcast up to so many, and joined by a shuffle beyond.
-BROADCAST_IDS = 4_000_000
+#: Rejected texts and trusted ids are broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
 SLICE = 1 << 20
 #: Different trusted texts from which on a length has its own band, how many buckets of length they may be away, and the least distance
 #: from the median to a quantile, in nats a character and in logarithms of nats a word.
@@ -49,85 +45,27 @@ FEW, REACH, LEAST_SPREAD = 30, (1, 2, 4), 0.03
 ORDER, RADIX, PART = 4, 55_000, 32_768
 #: Stand for what is before a text, and for the character 0.
 PAD, NUL = 0xFDD0, "\ufdd1"
-#: n-grams that a task holds, and characters of a block of texts that meets its costs.
-MOST, BLOCK_CHARS = 5_000_000, 32_000_000
+#: n-grams that a task holds, and that it holds as strings.
+MOST, MOST_STRINGS = 5_000_000, 1_000_000
+#: Characters of a range of ids, of a block of one model's texts within a range, and of a task's texts at least.
+RANGE_CHARS, BLOCK_CHARS, TASK_CHARS = 256_000_000, 64_000_000, 16_000_000
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def lookup(characters: Iterable[int]) -> np.ndarray:
-    """Symbols by code point, for a language's characters in order."""
-    out = np.ones(0x110000, np.uint8)
-    for i, c in enumerate(characters):
-        out[c] = i + 2
-    return out
-
-
-def symbol_slices(text: str, symbols: np.ndarray) -> Iterator[np.ndarray]:
-    """Trigram numbers of a text, slice by slice."""
-    all_codes, before = codes(text), np.zeros(2, np.uint8)
-    for i in range(0, len(all_codes), SLICE):
-        x = np.concatenate([before, symbols[all_codes[i : i + SLICE]]])
-        before, x = x[-2:], x.astype(np.int32)
-        yield (x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:]
-
-
-_CHARS = pa.schema([("lang", pa.string()), ("symbol", pa.int64()), ("n", pa.int64())])
-
-
-def _count_characters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found, n = np.unique(codes(text), return_counts=True)
-            if lang not in counts and len(counts) >= 8:
-                yield _sums(counts)
-            counts.setdefault(lang, np.zeros(0x110000, np.int64))[found] += n
-    yield _sums(counts)
-
-
-def _sums(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """The counts so far, which are then forgotten."""
-    out = Out(_CHARS)
-    for lang, n in counts.items():
-        for i in np.flatnonzero(n):
-            out.add((lang, int(i), int(n[i])))
-    counts.clear()
-    return out.batch()
-
-
-def _count_trigrams(batches: Iterable[pa.RecordBatch], alphabets: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
-    tables: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if lang not in counts and len(counts) >= 8:
-                yield _sums(counts)
-                tables.clear()
-            if lang not in tables:
-                tables[lang] = lookup(alphabets[lang])
-            n = counts.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))
-            for ids in symbol_slices(text, tables[lang]):
-                if len(ids) < SYMBOLS**2:
-                    np.add.at(n, ids, 1)
-                else:
-                    n += np.bincount(ids, minlength=SYMBOLS**3)
-    yield _sums(counts)
-
-
 def by_lang(values: dict, kind: str) -> Column:
     """The value of a row's ``lang``, from one value a language."""
     entries = [F.lit(x) if not isinstance(x, list) else F.array(*map(F.lit, x)) for pair in values.items() for x in pair]
     return F.element_at(F.create_map(*entries), F.col("lang")) if entries else F.lit(None).cast(kind)
 
 
-def _level(counts: DataFrame, lower: DataFrame | None, shorter: Column, size: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def _level(counts: DataFrame, lower: DataFrame | None, shorter: Column, size: Column) -> tuple[DataFrame, DataFrame]:
     """Interpolated probabilities (lang, context, symbol, p) of what was seen, and back-off weights (lang, context, back).
 
     ``counts``: lang, context, symbol, n. ``lower``: the probabilities of the next lower level, whose contexts are ``shorter``.
-    The lowest backs off to 1 of the alphabet's ``size``, or of SYMBOLS."""
+    The lowest backs off to 1 of the alphabet's ``size``."""
     of = [F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     found = [F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k) for k in (1, 2, 3)]
@@ -137,94 +75,16 @@ def _level(counts: DataFrame, lower: DataFrame | None, shorter: Column, size: Co
     back = taken.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("back"))
     own = taken.join(back, ["lang", "context"]).select("lang", "context", "symbol", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "back")
     if lower is None:
-        return own.select("lang", "context", "symbol", (F.col("own") + F.col("back") / (F.lit(SYMBOLS) if size is None else size)).alias("p")), back.drop("total")
+        return own.select("lang", "context", "symbol", (F.col("own") + F.col("back") / size).alias("p")), back.drop("total")
     below = lower.select("lang", F.col("context").alias("shorter"), "symbol", F.col("p").alias("below"))
     joined = own.withColumn("shorter", shorter).join(below, ["lang", "shorter", "symbol"])
     return joined.select("lang", "context", "symbol", (F.col("own") + F.col("back") * F.col("below")).alias("p")), back.drop("total")
 
 
-def probabilities(trigrams: DataFrame) -> DataFrame:
-    """(lang, level, context, symbol, value): probabilities of what was seen, and with symbol -1 back-off weights, from (lang, symbol, n)."""
-    three = trigrams.select("lang", F.expr(f"symbol div {SYMBOLS}").alias("context"), F.pmod("symbol", F.lit(SYMBOLS)).alias("symbol"), "n")
-    two = three.groupBy("lang", F.pmod("context", F.lit(SYMBOLS)).alias("context"), "symbol").agg(F.count(F.lit(1)).alias("n"))
-    one = two.groupBy("lang", F.lit(0).cast("long").alias("context"), "symbol").agg(F.count(F.lit(1)).alias("n"))
-    parts, lower, none = [], None, F.lit(0).cast("long")
-    for level, counts, shorter in ((1, one, none), (2, two, none), (3, three, F.pmod("context", F.lit(SYMBOLS)))):
-        lower, back = _level(counts, lower, shorter)
-        parts += [lower.select("lang", F.lit(level).alias("level"), "context", "symbol", F.col("p").alias("value")), back.select("lang", F.lit(level).alias("level"), "context", F.lit(-1).cast("long").alias("symbol"), F.col("back").alias("value"))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-Sparse = dict[str, tuple[list[int], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]]
-
-
-def dense(levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Negative logarithms of all trigram probabilities of a language."""
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for level in (1, 2, 3):
-        context, symbol, value = levels[level]
-        seen = symbol >= 0
-        back = np.ones(SYMBOLS ** (level - 1))
-        back[context[~seen]] = value[~seen]
-        lower = np.tile(p.reshape(-1, SYMBOLS), (max(1, len(back) * SYMBOLS // len(p)), 1)) if level > 1 else p.reshape(1, -1)
-        p = lower * back[:, None]
-        p[context[seen], symbol[seen]] = value[seen]
-        p = p.ravel()
-    return -np.log(p).astype(np.float32)
-
-
-class Model:
-    """Trained models by language, and the bands of trusted texts."""
-
-    def __init__(self, spark: SparkSession, sparse: Sparse, bands: dict[tuple[str, int], tuple[float, ...]]):
-        self.sparse, self.bands = sparse, bands
-        self.sent = spark.sparkContext.broadcast((sparse, bands))
-
-    def judged(self, lang: Column, text: Column) -> Column:
-        """A struct: n_chars, n_words, log_ppl_char, log_ppl_word, kept."""
-        return _judge_with(self.sent)(F.coalesce(lang, F.lit("")), F.coalesce(text, F.lit("")))
-
-
-def score(text: str, symbols: np.ndarray, costs: np.ndarray) -> tuple[int, int, float]:
-    """Characters, words and the negative log-likelihood of a text."""
-    total = math.fsum(float(costs[ids].sum(dtype=np.float64)) for ids in symbol_slices(text, symbols))
-    return len(text), len(text.split()), total
-
-
 def length_bucket(n_words: int) -> int:
     return max(1, n_words).bit_length()
 
 
-_JUDGED = "n_chars long, n_words long, log_ppl_char double, log_ppl_word double, kept boolean"
-
-
-def _judge_with(sent) -> Callable[..., Column]:
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        sparse, bands = sent.value
-        ready: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for langs, texts in batches:
-            rows = []
-            for lang, text in zip(langs, texts, strict=True):
-                if lang not in sparse or not text:
-                    rows.append((len(text), len(text.split()), None, None, bool(text)))
-                    continue
-                if lang not in ready:
-                    if len(ready) >= 8:
-                        ready.clear()
-                    ready[lang] = (lookup(sparse[lang][0]), dense(sparse[lang][1]))
-                n, words, total = score(text, *ready[lang])
-                per_char, per_word = total / n, math.log(total / max(1, words))
-                band = bands.get((lang, length_bucket(words))) or bands.get((lang, 0))
-                rows.append((n, words, per_char, total / max(1, words), band is None or (band[0] <= per_char <= band[1] and band[2] <= per_word <= band[3])))
-            yield pd.DataFrame(rows, columns=["n_chars", "n_words", "log_ppl_char", "log_ppl_word", "kept"]).astype({"n_chars": "int64", "n_words": "int64", "log_ppl_char": "float64", "log_ppl_word": "float64", "kept": "bool"})
-
-    judge.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(judge, _JUDGED)
-
-
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """lang and text of the documents whose labels all say: quality 1, not toxic."""
     ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good").select("doc_id")
@@ -240,8 +100,8 @@ def bands_of(judged: DataFrame, quantile: float = 0.99, stretch: float = 2.0, do
     bucket = F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1))))
     places = F.array(F.struct(F.lit(0).alias("reach"), F.lit(0).alias("bucket")), *[F.struct(F.lit(reach).alias("reach"), (bucket + k).alias("bucket")) for reach in REACH for k in range(-reach, reach + 1)])
     near = judged.select("lang", "c", "w", "r", F.explode(places).alias("at")).select("lang", "c", "w", "r", "at.*").where("reach = 0 or bucket > 0")
-    cuts = F.array(F.lit(1 - quantile), F.lit(0.5), F.lit(quantile))
-    rows = near.groupBy("lang", "reach", "bucket").agg(F.percentile("c", cuts).alias("c"), F.percentile("w", cuts).alias("w"), F.percentile("r", cuts).alias("r"), F.count(F.lit(1)).alias("n")).collect()  # some 100 rows a language
+    cuts = [F.percentile_approx(c, [1 - quantile, 0.5, quantile], 100_000).alias(c) for c in ("c", "w", "r")]  # sketches of bounded size
+    rows = near.groupBy("lang", "reach", "bucket").agg(*cuts, F.count(F.lit(1)).alias("n")).collect()  # some 100 rows a language
     out: dict[tuple[str, int], tuple[float, ...]] = {}
     for r in sorted(rows, key=lambda r: r["reach"]):
         if r["reach"] == 0 or r["n"] >= FEW:
@@ -250,25 +110,6 @@ def bands_of(judged: DataFrame, quantile: float = 0.99, stretch: float = 2.0, do
     return out
 
 
-
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, stretch: float = 2.0, doubt: float = 5.0) -> Model:
-    spark = docs.sparkSession
-    trusted = trusted_texts(docs, labels)
-    characters = trusted.mapInArrow(_count_characters, "lang string, symbol long, n long").groupBy("lang", "symbol").agg(F.sum("n").alias("n"))
-    best = characters.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "symbol"))), 1, SYMBOLS - 2).alias("best"))
-    alphabets = {r["lang"]: [s["symbol"] for s in r["best"]] for r in best.collect()}  # SYMBOLS - 2 characters a language
-    trigrams = checkpoint(trusted.mapInArrow(lambda batches: _count_trigrams(batches, alphabets), "lang string, symbol long, n long").groupBy("lang", "symbol").agg(F.sum("n").alias("n")))
-    model = probabilities(trigrams).toArrow().to_pandas()  # at most SYMBOLS^3 rows a language, and as many contexts
-    sparse: Sparse = {}
-    for lang, rows in model.groupby("lang"):
-        sparse[lang] = (alphabets[lang], {level: tuple(part[c].to_numpy() for c in ("context", "symbol", "value")) for level, part in rows.groupby("level")})
-    first = Model(spark, sparse, {})
-    judged = trusted.select("lang", text_key(F.col("lang"), F.col("text")).alias("key"), first.judged(F.col("lang"), F.col("text")).alias("j")).dropDuplicates(["key"])
-    judged = judged.select("lang", F.col("j.n_words").alias("n_words"), F.col("j.log_ppl_char").alias("c"), F.log("j.log_ppl_word").alias("w"), F.lit(0.0).alias("r"))
-    bands = bands_of(judged, quantile, stretch, doubt)
-    return Model(spark, sparse, bands)
-
-
 class _Cells:
     """Counts of n-grams by (block, lang) as numbers of base ``RADIX``, over symbols that are given to characters as they come."""
 
@@ -347,20 +188,51 @@ def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def grams_of(texts: DataFrame) -> DataFrame:
     """(block, lang, gram, n) of ``texts`` (block, lang, text); a gram may come in several rows."""
-    return texts.select(F.col("block").cast("int").alias("block"), "lang", "text").mapInArrow(_count_grams, "block int, lang string, gram string, n long")
+    return run(texts.select(F.col("block").cast("int").alias("block"), "lang", "text"), _count_grams, "block int, lang string, gram string, n long")
+
+
+def _packed(block: int, lang: str, grams: list[str]) -> pa.RecordBatch:
+    """Many n-grams of a block in one row, compressed."""
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([lang], pa.string()), pa.array([zlib.compress("".join(grams).encode("utf-8"), 1)], pa.binary())], names=["block", "lang", "packed"])
+
+
+def _unpacked(packed: bytes) -> list[str]:
+    chars = zlib.decompress(packed).decode("utf-8")
+    return [chars[i : i + ORDER] for i in range(0, len(chars), ORDER)]
+
+
+PACKED = "block int, lang string, packed binary"
 
 
 def _pack_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _count_grams, with many n-grams of a block and language in one row, compressed and without counts."""
+    """As _count_grams, packed and without counts."""
     for part in _count_grams(batches):
-        packed = zlib.compress("".join(part.column(2).to_pylist()).encode("utf-8"), 1)
-        yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), part.column(1).slice(0, 1), pa.array([packed], pa.binary())], names=["block", "lang", "packed"])
+        if part.num_rows:
+            yield _packed(part.column(0)[0].as_py(), part.column(1)[0].as_py(), part.column(2).to_pylist())
+
+
+def _union_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different n-grams of each block (block, lang, packed), packed again; a block with very many may repeat some."""
+
+    def out(at: tuple, held: set[str]) -> Iterator[pa.RecordBatch]:
+        grams = sorted(held)
+        for i in range(0, len(grams), 1 << 16):
+            yield _packed(*at, grams[i : i + (1 << 16)])
+
+    at, held = None, set()
+    for block, lang, packed in rows_of(batches):
+        if (block, lang) != at or len(held) > MOST_STRINGS:
+            if held:
+                yield from out(at, held)
+            at, held = (block, lang), set()
+        held.update(_unpacked(packed))
+    if held:
+        yield from out(at, held)
 
 
 def _unpack_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, lang, packed in rows_of(batches):
-        chars = zlib.decompress(packed).decode("utf-8")
-        grams = [chars[i : i + ORDER] for i in range(0, len(chars), ORDER)]
+        grams = _unpacked(packed)
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int32()), pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["block", "lang", "gram"])
 
 
@@ -407,50 +279,44 @@ def text_key(lang: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(lang, F.lit("")), F.coalesce(text, F.lit("")))))
 
 
-_TEXTS = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("size", pa.int64()), ("packed", pa.binary())])
+_TEXTS = pa.schema([("block", pa.int32()), ("size", pa.int64()), ("packed", pa.binary())])
 _CODEC = pa.Codec("zstd", compression_level=6)
 
 
 def _pack_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a block and language, about a million bytes together compressed; equal ones once a task."""
+    """Texts of a block, about a million characters together compressed; equal ones once a task."""
     out, seen, held, total = Out(_TEXTS), set(), {}, 0
 
-    def pack(cell: tuple[int, str]) -> bool:
-        raw = pickle.dumps(held.pop(cell)[0], protocol=5)
+    def pack(block: int) -> bool:
+        raw = pickle.dumps(held.pop(block)[0], protocol=5)
         packed = _CODEC.compress(raw, asbytes=True)
-        return out.add((*cell, len(raw), packed), len(packed))
+        return out.add((block, len(raw), packed), len(packed))
 
-    for block, key, lang, text in rows_of(batches):
+    for block, key, text in rows_of(batches):
         if key in seen:
             continue
         seen.add(key)
-        have = held.setdefault((block, lang), [[], 0])
+        have = held.setdefault(block, [[], 0])
         have[0].append((key, text))
         have[1] += len(text)
         total += len(text)
-        full = [(block, lang)] if have[1] >= SLICE else list(held) if total >= 32 * SLICE else []
-        for cell in full:
-            total -= held[cell][1]
-            if pack(cell):
+        full = [block] if have[1] >= SLICE else list(held) if total >= 16 * SLICE else []
+        for k in full:
+            total -= held[k][1]
+            if pack(k):
                 yield out.batch()
-    for cell in list(held):
-        if pack(cell):
+    for k in list(held):
+        if pack(k):
             yield out.batch()
     if out.rows:
         yield out.batch()
 
 
-def _score_block(texts: pa.Table, table_: pa.Table) -> pa.Table:
-    """Scores of a block's texts (block, lang, size, packed) by the costs of its n-grams (block, lang, gram, cost)."""
+def _score_block(texts: pa.Table, priced: pa.Table) -> pa.Table:
+    """Scores of a block's texts (block, size, packed) by the costs of its n-grams (block, gram, cost)."""
     out, seen = Out(_SCORES), set()
-    by_lang: dict[str, list[int]] = {}
-    for i, lang in enumerate(texts.column("lang").to_pylist()):
-        by_lang.setdefault(lang, []).append(i)
-    for lang, at in by_lang.items():
-        own = table_.filter(pc.equal(table_.column("lang"), lang))
-        if not own.num_rows:
-            continue  # a language without a model
-        digits = codes("".join(own.column("gram").to_pylist())).reshape(-1, ORDER)
+    if priced.num_rows:
+        digits = codes("".join(priced.column("gram").to_pylist())).reshape(-1, ORDER)
         characters = np.unique(np.append(digits, np.uint32(PAD)))
         symbols = np.full(0x110000, -1, np.int64)
         symbols[characters] = np.arange(len(characters))
@@ -458,37 +324,51 @@ def _score_block(texts: pa.Table, table_: pa.Table) -> pa.Table:
         heads = np.unique((x[:, 0] * radix + x[:, 1]) * radix + x[:, 2]) if radix > RADIX else None
         n = numbers(x.ravel(), radix, heads)[::ORDER] if heads is None else np.concatenate([numbers(row, radix, heads) for row in x])
         order = np.argsort(n)
-        n, cost = n[order], own.column("cost").to_numpy()[order]
-        for key, text in (pair for i in at for pair in pickle.loads(_CODEC.decompress(texts.column("packed")[i].as_py(), texts.column("size")[i].as_py(), asbytes=True))):
-            if key in seen:
-                continue
-            seen.add(key)
-            y, parts = symbols[padded(text)], []
-            for j in range(0, len(y) - ORDER + 1, SLICE):
-                wanted = numbers(y[j : j + SLICE + ORDER - 1], radix, heads)
-                place = np.minimum(np.searchsorted(n, wanted), len(n) - 1)
-                if (n[place] != wanted).any():
-                    raise RuntimeError("an n-gram of a text has no cost in its block")
-                parts.append(float(cost[place].sum(dtype=np.float64)))
-            words = text.split()
-            out.add((key, len(text), len(words), math.fsum(parts), len(set(words))))
-    return pa.Table.from_batches([out.batch()], _SCORES)
+        n, cost = n[order], priced.column("cost").to_numpy()[order]
+        for size, packed in zip(texts.column("size"), texts.column("packed"), strict=True):
+            for key, text in pickle.loads(_CODEC.decompress(packed.as_py(), size.as_py(), asbytes=True)):
+                if key in seen:
+                    continue
+                seen.add(key)
+                y, parts = symbols[padded(text)], []
+                for j in range(0, len(y) - ORDER + 1, SLICE):
+                    wanted = numbers(y[j : j + SLICE + ORDER - 1], radix, heads)
+                    place = np.minimum(np.searchsorted(n, wanted), len(n) - 1)
+                    if (n[place] != wanted).any():
+                        raise RuntimeError("an n-gram of a text has no cost in its block")
+                    parts.append(float(cost[place].sum(dtype=np.float64)))
+                words = text.split()
+                out.add((key, len(text), len(words), math.fsum(parts), len(set(words))))
+    scored = pa.Table.from_batches([out.batch()], _SCORES)
+    give_back()
+    return scored
 
 
 _SCORES = pa.schema([("key", pa.binary()), ("n_chars", pa.int64()), ("n_words", pa.int64()), ("total", pa.float64()), ("n_different", pa.int64())])
 
 
-def blocks(docs: DataFrame) -> Column:
-    """The block of a row (doc_id, text): neighbours in doc_id, about ``BLOCK_CHARS`` characters; many rows with one id are dealt by their texts."""
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, lang, text) with ``block``: of one model, neighbours in doc_id, about ``BLOCK_CHARS`` characters.
+
+    Ids are cut into ranges of about ``RANGE_CHARS``; many rows with one id are dealt to several ranges by their texts, and what a range has of one
+    model to several blocks. Small partitions are read together."""
     place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n = math.ceil(size / BLOCK_CHARS)
-    cuts = docs.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else []  # a number a block
-    if not cuts:
-        return F.lit(0)
-    all_cuts = F.array(*[F.lit(c).cast("long") for c in cuts])
-    low, high = F.size(F.filter(all_cuts, lambda c: c < place)), F.size(F.filter(all_cuts, lambda c: c <= place))
-    return F.when(high - low > 1, low + F.pmod(F.xxhash64("text"), high - low).cast("int")).otherwise(high)
+    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    n = math.ceil(size / RANGE_CHARS)
+    cuts = rows.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else []  # a number a range
+    at = F.lit(0)
+    if cuts:
+        all_cuts = F.array(*[F.lit(c).cast("long") for c in cuts])
+        low, high = F.size(F.filter(all_cuts, lambda c: c < place)), F.size(F.filter(all_cuts, lambda c: c <= place))
+        at = F.when(high - low > 1, low + F.pmod(F.xxhash64("text"), high - low).cast("int")).otherwise(high)
+    ranged = rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_CHARS))).withColumn("range", at)
+    blocks, first = [], 0
+    for r in sorted(ranged.groupBy("range", "lang").agg(F.sum(F.length("text")).alias("n")).collect()):  # a row a range and model
+        parts = max(1, math.ceil(r["n"] / BLOCK_CHARS))
+        blocks.append((r["range"], r["lang"], first, parts))
+        first += parts
+    found = rows.sparkSession.createDataFrame(blocks, "range int, lang string, first int, parts int")
+    return ranged.join(F.broadcast(found), ["range", "lang"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("text", F.lit(6)), F.col("parts"))).cast("int")).drop("range", "first", "parts")
 
 
 def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -505,18 +385,18 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     models = [r["lang"] for r in levels[0][1].select("lang").distinct().collect()]  # two a language
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").withColumn("key", text_key(F.col("lang"), F.col("text")))
     other, own = (F.when(name(h).isin(models), name(h)) for h in (1 - half, half))
-    rows = rows.select("doc_id", "key", F.coalesce(other, own).alias("lang"), "text").where("lang is not null")
-    rows = rows.withColumn("block", blocks(rows).cast("int"))
-    packed = checkpoint(rows.select("block", "lang", "text").mapInArrow(_pack_grams, "block int, lang string, packed binary"))
-    met = packed.mapInArrow(_unpack_grams, "block int, lang string, gram string").repartition("lang", "gram").distinct()  # dealt once, for the join too
-    priced = met.join(costs(met.select("lang", "gram").distinct(), levels), ["lang", "gram"]).select("block", "lang", "gram", F.col("cost").cast("float").alias("cost"))
-    texts = rows.select("block", "key", "lang", "text").mapInArrow(_pack_texts, "block int, lang string, size long, packed binary")
+    rows = in_blocks(rows.select("doc_id", "key", F.coalesce(other, own).alias("lang"), "text").where("lang is not null"))
+    parts = run(rows.select("block", "lang", "text"), _pack_grams, PACKED)
+    packed = checkpoint(run(parts.repartition("block").sortWithinPartitions("block"), _union_grams, PACKED))
+    met = run(packed, _unpack_grams, "block int, lang string, gram string").repartition("lang", "gram").distinct()  # dealt once, for the join too
+    priced = met.join(costs(met.select("lang", "gram").distinct(), levels), ["lang", "gram"]).select("block", "gram", F.col("cost").cast("float").alias("cost"))
+    texts = run(rows.select("block", "key", "text"), _pack_texts, "block int, size long, packed binary")
     found = texts.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(_score_block, "key binary, n_chars long, n_words long, total double, n_different long")
     return checkpoint(found.dropDuplicates(["key"]))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stretch: float = 1.0, **how) -> DataFrame:
-    """(key, log_ppl_char, log_ppl_word, kept) of the different texts whose language has a model."""
+    """(key, n_words, log_ppl_char, log_ppl_word, kept) of the different texts whose language has a model."""
     trusted = trusted_texts(docs, labels)
     found = scores(docs, trusted)
     known = trusted.select("lang", text_key(F.col("lang"), F.col("text")).alias("key"))
@@ -539,16 +419,9 @@ def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     return docs.where("text <> ''").join(bad, text_key(F.col("lang"), F.col("text")) == F.col("__bad"), "left_anti")
 
 
-def _words(text: Column) -> Column:
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(t.split())).astype("int64")
-
-    words.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(words, "long")(text)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = verdicts(docs, table(spark, sf_dir, "labels")).drop("n_words")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), _words(F.coalesce("text", F.lit(""))).alias("n_words"), text_key(F.col("lang"), F.col("text")).alias("key"))
-    return rows.join(found, "key", "left").select("doc_id", "lang", "n_chars", "n_words", "log_ppl_char", "log_ppl_word", F.coalesce("kept", F.col("n_chars") > 0).alias("kept"))
+    found = verdicts(docs, table(spark, sf_dir, "labels")).withColumnRenamed("n_words", "words")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length(text).cast("long").alias("n_chars"), F.regexp_count(text, F.lit(r"(?U)\S+")).cast("long").alias("own_words"), text_key(F.col("lang"), F.col("text")).alias("key"))
+    return rows.join(found, "key", "left").select("doc_id", "lang", "n_chars", F.coalesce("words", "own_words").alias("n_words"), "log_ppl_char", "log_ppl_word", F.coalesce("kept", F.col("n_chars") > 0).alias("kept"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, rows_of, table
+from quarry.llm.common import Out, rows_of, run, table
 
 #: Fixed values of the standard.
 PACKET, SYNC, PAT_PID, NULL_PID, PRIVATE_STREAM, PRIVATE_TYPE = 188, 0x47, 0, 0x1FFF, 0xBD, 0x06
@@ -264,12 +264,12 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (the stream) of each text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return run(docs.select(F.col("doc_id").cast("long"), "text"), _store, "doc_id long, n_bytes long, media binary")
 
 
 def described(media: DataFrame) -> DataFrame:
     """Digests and features, read from the stored bytes."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, SCHEMA)
+    return run(media.select("doc_id", "n_bytes", "media"), _read, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

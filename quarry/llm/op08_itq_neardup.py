@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, table
+from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, run, table
 
 LEAST, BITS, TABLES, FIT_ROWS, BLOCK = 0.98, 64, 8, 20_000, 1024
 #: Expected recall of pairs at the threshold, taking tables as independent and bits to differ as angles do.
@@ -145,19 +145,19 @@ def fit(sets: DataFrame, width: int, least: float) -> Models:
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    valid = checkpoint(rows.mapInArrow(_units, VALID))
+    valid = checkpoint(run(rows, _units, VALID))
     sets = checkpoint(valid.groupBy("key").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies")))
     size = max(2, sets.count())
     width = min(24, max(8, math.ceil(math.log2(size))))
     models = fit(sets, width, least)
-    coded = checkpoint(sets.select("key", "label", "n", "unit").mapInArrow(lambda batches: _codes(batches, models, width), "key binary, label long, n int, codes binary, tables array<int>"))
+    coded = checkpoint(run(sets.select("key", "label", "n", "unit"), lambda batches: _codes(batches, models, width), "key binary, label long, n int, codes binary, tables array<int>"))
     bucket = ["label", "n", "table", "code"]
     places = coded.select("key", "label", "n", F.posexplode("tables").alias("table", "code"))
     often = places.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = places.join(often, bucket).join(coded.select("key", "codes"), "key").join(sets.select("key", "unit", "copies"), "key")
     met = met.withColumn("own", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int"))
     met = blocked(met, "size", BLOCK).select(*bucket, "i", "j", "own", "key", "copies", "codes", "unit")
-    linked = checkpoint(met.repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j", "key").mapInArrow(lambda batches: _rerank(batches, least), "key binary, links long, root binary"))
+    linked = checkpoint(run(met.repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j", "key"), lambda batches: _rerank(batches, least), "key binary, links long, root binary"))
     joined = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
     ids = valid.groupBy("key").agg(F.min("vec_id").alias("low"))
@@ -165,7 +165,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     own = checkpoint(own.select("key", "low", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root")))
     smallest = own.groupBy("root").agg(F.min("low").alias("component_id"))
     found = valid.select("vec_id", "key").join(own.join(smallest, "root").select("key", "n_links", "component_id"), "key").select("vec_id", "n_links", "component_id")
-    lone = rows.mapInArrow(_without_direction, "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    lone = run(rows, _without_direction, "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, checkpoint, rows_of, running_start, table
+from quarry.llm.common import Out, checkpoint, rows_of, run, running_start, table
 
 WINDOW, SEPARATOR = 1024, 0
 #: How many words a task remembers.
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, ranks: str = "byte_bpe_50k.tik
     import public_tokenizers
 
     how = (vocabulary(ranks), vocabulary(json), public_tokenizers.PATTERN)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _cut(batches, how, window), PIECES)
+    return run(docs.select(F.col("doc_id").cast("long"), "text"), lambda batches: _cut(batches, how, window), PIECES)
 
 
 def fillings(window: int) -> np.ndarray:
@@ -253,7 +253,7 @@ def pack(docs: DataFrame, window: int = WINDOW, buckets: int = 256) -> DataFrame
         histogram[row["length"]] = row["n"]
     at = places(plan(histogram))
     ranked = running_start(cut, ["length"], "bucket", [F.col(c) for c in ("doc_id", "text_crc", "start", "ids_crc32")], "one", "rank")
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(lambda batches: _place(batches, at), _PLACED)
+    return run(ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"), lambda batches: _place(batches, at), _PLACED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
