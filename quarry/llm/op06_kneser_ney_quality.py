@@ -61,24 +61,18 @@ def by_lang(values: dict, kind: str) -> Column:
     return F.element_at(F.create_map(*entries), F.col("lang")) if entries else F.lit(None).cast(kind)
 
 
-def _level(counts: DataFrame, lower: DataFrame | None, shorter: Column, size: Column) -> tuple[DataFrame, DataFrame]:
-    """Interpolated probabilities (lang, context, symbol, p) of what was seen, and back-off weights (lang, context, back).
+def few(df: DataFrame, chars: int) -> DataFrame:
+    """``df`` in no more partitions than what comes of ``chars`` characters is worth; small tables do not scatter over many files."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / TASK_CHARS)))
 
-    ``counts``: lang, context, symbol, n. ``lower``: the probabilities of the next lower level, whose contexts are ``shorter``.
-    The lowest backs off to 1 of the alphabet's ``size``."""
+
+def _discounts(counts: DataFrame) -> Column:
+    """The discount of a count ``n``, by language."""
     of = [F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     found = [F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k) for k in (1, 2, 3)]
-    discounts = counts.groupBy("lang").agg(*of).select("lang", *[F.greatest(F.lit(0.05), F.least(d, F.lit(k - 0.05))).alias(f"d{k}") for k, d in enumerate(found, 1)])
-    found = {r["lang"]: [r["d1"], r["d2"], r["d3"]] for r in discounts.collect()}  # a row a language
-    taken = counts.withColumn("d", F.element_at(by_lang(found, "array<double>"), F.least("n", F.lit(3)).cast("int")))
-    back = taken.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("back"))
-    own = taken.join(back, ["lang", "context"]).select("lang", "context", "symbol", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "back")
-    if lower is None:
-        return own.select("lang", "context", "symbol", (F.col("own") + F.col("back") / size).alias("p")), back.drop("total")
-    below = lower.select("lang", F.col("context").alias("shorter"), "symbol", F.col("p").alias("below"))
-    joined = own.withColumn("shorter", shorter).join(below, ["lang", "shorter", "symbol"])
-    return joined.select("lang", "context", "symbol", (F.col("own") + F.col("back") * F.col("below")).alias("p")), back.drop("total")
+    rows = counts.groupBy("lang").agg(*of).select("lang", *[F.greatest(F.lit(0.05), F.least(d, F.lit(k - 0.05))).alias(f"d{k}") for k, d in enumerate(found, 1)]).collect()  # a row a language
+    return F.element_at(by_lang({r["lang"]: [r["d1"], r["d2"], r["d3"]] for r in rows}, "array<double>"), F.least("n", F.lit(3)).cast("int"))
 
 
 def length_bucket(n_words: int) -> int:
@@ -89,7 +83,7 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """lang and text of the documents whose labels all say: quality 1, not toxic."""
     ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good").select("doc_id")
     ids = checkpoint(ids)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # 16 bytes an id
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").join(ids, "doc_id", "left_semi").select("lang", "text")
 
 
@@ -236,43 +230,56 @@ def _unpack_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int32()), pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["block", "lang", "gram"])
 
 
-def gram_levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1 on: probabilities (lang, context, symbol, p) of what was seen, and back-off weights (lang, context, back).
+def shorter(k: int) -> Column:
+    """The context without its first character, for contexts of n-grams of ``k``."""
+    return F.substring("context", 2, k - 2) if k > 2 else F.lit("")
+
 
-    ``counts``: lang, gram, n. All characters count and all counts stay; both tables grow with the text and stay sharded."""
+def gram_levels(counts: DataFrame, chars: int) -> list[DataFrame]:
+    """For each order from 1 on, a row per context that was seen: lang, context, back (its weight of the lower order), known (symbol to probability).
+
+    ``counts``: lang, gram, n. All characters count and all counts stay; the tables grow with the text and stay sharded. A context has at most
+    as many symbols as its language has characters."""
     raw = {ORDER: counts.select("lang", F.substring("gram", 1, ORDER - 1).alias("context"), F.substring("gram", ORDER, 1).alias("symbol"), "n")}
     for k in range(ORDER - 1, 0, -1):
-        shorter = F.substring("context", 2, k - 1) if k > 1 else F.lit("")
-        raw[k] = checkpoint(raw[k + 1].groupBy("lang", shorter.alias("context"), "symbol").agg(F.count(F.lit(1)).alias("n")))
-    out: list[tuple[DataFrame, DataFrame]] = []
+        raw[k] = checkpoint(few(raw[k + 1].groupBy("lang", shorter(k + 1).alias("context"), "symbol").agg(F.count(F.lit(1)).alias("n")), chars))
+    size = by_lang({r["lang"]: r["n"] + 1 for r in raw[1].groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}, "long")  # and one for all that were never seen
+    out: list[DataFrame] = []
     for k in range(1, ORDER + 1):
-        lower = out[-1][0] if out else None
-        p, back = _level(raw[k], lower, F.substring("context", 2, k - 2) if k > 2 else F.lit(""), alphabet(raw[1]))
-        out.append((checkpoint(p), checkpoint(back)))
+        taken = raw[k].withColumn("d", _discounts(raw[k]))
+        rows = few(taken.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"), F.collect_list(F.struct("symbol", "n", "d")).alias("seen")), chars)
+        rows = rows.withColumn("back", F.col("mass") / F.col("total"))
+        if k == 1:
+            below = lambda symbol: 1 / size
+        else:
+            rows = rows.withColumn("shorter", shorter(k)).join(out[-1].select("lang", F.col("context").alias("shorter"), F.col("known").alias("lower")), ["lang", "shorter"])
+            below = lambda symbol: F.element_at("lower", symbol)
+        known = F.map_from_entries(F.transform("seen", lambda x: F.struct(x["symbol"], (x["n"] - x["d"]) / F.col("total") + F.col("back") * below(x["symbol"]))))
+        out.append(checkpoint(few(rows.select("lang", "context", "back", known.alias("known")), chars)))
     return out
 
 
-def alphabet(one: DataFrame) -> Column:
-    """The different characters of a language and one for all that were never seen."""
-    return by_lang({r["lang"]: r["n"] + 1 for r in one.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}, "long")
+def costs(grams: DataFrame, levels: list[DataFrame], chars: int) -> DataFrame:
+    """(lang, gram, cost): negative logarithms of the probabilities of ``grams`` (lang, gram), by joins with the model order by order.
 
-
-def costs(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(lang, gram, cost): negative logarithms of the probabilities of different ``grams`` (lang, gram), by joins with the model order by order."""
-    size = alphabet(levels[0][0])
-    wanted = {ORDER: grams.select("lang", F.substring("gram", 1, ORDER - 1).alias("context"), F.substring("gram", ORDER, 1).alias("symbol"))}
-    for k in range(ORDER - 1, 0, -1):
-        wanted[k] = checkpoint(wanted[k + 1].select("lang", (F.substring("context", 2, k - 1) if k > 1 else F.lit("")).alias("context"), "symbol").distinct())
+    Each order has a row per context with the symbols that are wanted after it."""
+    size = by_lang({r["lang"]: r["n"] for r in levels[0].select("lang", (F.size("known") + 1).alias("n")).collect()}, "long")
+    pairs = grams.select("lang", F.substring("gram", 1, ORDER - 1).alias("context"), F.substring("gram", ORDER, 1).alias("symbol"))
+    wanted = {}
+    for k in range(ORDER, 0, -1):  # dealt by context once, for both steps
+        wanted[k] = checkpoint(few(pairs.distinct().repartition("lang", "context").distinct().groupBy("lang", "context").agg(F.collect_list("symbol").alias("symbols")), chars))
+        pairs = wanted[k].select("lang", shorter(k).alias("context"), F.explode("symbols").alias("symbol"))
     found = None
-    for k, (p, back) in enumerate(levels, 1):
-        rows = wanted[k].join(p, ["lang", "context", "symbol"], "left").join(back, ["lang", "context"], "left")
+    for k, level in enumerate(levels, 1):
+        rows = few(wanted[k].join(level, ["lang", "context"], "left"), chars)
         if found is None:
-            rows = rows.withColumn("below", 1 / size)
+            below = lambda symbol: 1 / size
         else:
-            below = found.select("lang", F.col("context").alias("shorter"), "symbol", F.col("p").alias("below"))
-            rows = rows.withColumn("shorter", F.substring("context", 2, k - 2) if k > 2 else F.lit("")).join(below, ["lang", "shorter", "symbol"])
-        found = checkpoint(rows.select("lang", "context", "symbol", F.coalesce("p", F.coalesce("back", F.lit(1.0)) * F.col("below")).alias("p")))
-    return found.select("lang", F.concat("context", "symbol").alias("gram"), (-F.log("p")).alias("cost"))
+            rows = rows.withColumn("shorter", shorter(k)).join(found.select("lang", F.col("context").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"])
+            below = lambda symbol: F.element_at("lower", symbol)
+        p = F.transform("symbols", lambda x: F.struct(x, F.coalesce(F.element_at("known", x), F.coalesce("back", F.lit(1.0)) * below(x))))
+        found = checkpoint(few(rows.select("lang", "context", F.map_from_entries(p).alias("p")), chars))
+    return found.select("lang", "context", F.explode("p").alias("symbol", "p")).select("lang", F.concat("context", "symbol").alias("gram"), (-F.log("p")).alias("cost"))
 
 
 def text_key(lang: Column, text: Column) -> Column:
@@ -347,13 +354,12 @@ def _score_block(texts: pa.Table, priced: pa.Table) -> pa.Table:
 _SCORES = pa.schema([("key", pa.binary()), ("n_chars", pa.int64()), ("n_words", pa.int64()), ("total", pa.float64()), ("n_different", pa.int64())])
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, lang, text) with ``block``: of one model, neighbours in doc_id, about ``BLOCK_CHARS`` characters.
+def in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (doc_id, lang, text) of ``size`` characters with ``block``: of one model, neighbours in doc_id, about ``BLOCK_CHARS`` characters.
 
     Ids are cut into ranges of about ``RANGE_CHARS``; many rows with one id are dealt to several ranges by their texts, and what a range has of one
     model to several blocks. Small partitions are read together."""
     place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = math.ceil(size / RANGE_CHARS)
     cuts = rows.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else []  # a number a range
     at = F.lit(0)
@@ -361,7 +367,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
         all_cuts = F.array(*[F.lit(c).cast("long") for c in cuts])
         low, high = F.size(F.filter(all_cuts, lambda c: c < place)), F.size(F.filter(all_cuts, lambda c: c <= place))
         at = F.when(high - low > 1, low + F.pmod(F.xxhash64("text"), high - low).cast("int")).otherwise(high)
-    ranged = rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_CHARS))).withColumn("range", at)
+    ranged = few(rows, size).withColumn("range", at)
     blocks, first = [], 0
     for r in sorted(ranged.groupBy("range", "lang").agg(F.sum(F.length("text")).alias("n")).collect()):  # a row a range and model
         parts = max(1, math.ceil(r["n"] / BLOCK_CHARS))
@@ -379,20 +385,21 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     block of texts; then texts meet their block's costs."""
     half = F.pmod(F.xxhash64("text"), F.lit(2))
     name = lambda h: F.concat("lang", F.lit("#"), h.cast("string"))
-    learned = trusted.select(name(half).alias("lang"), "text", F.lit(0).alias("block"))
-    counts = checkpoint(grams_of(learned).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    levels = gram_levels(counts)
-    models = [r["lang"] for r in levels[0][1].select("lang").distinct().collect()]  # two a language
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").withColumn("key", text_key(F.col("lang"), F.col("text")))
+    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    learned = few(trusted, size).select(name(half).alias("lang"), "text", F.lit(0).alias("block"))
+    counts = checkpoint(few(grams_of(learned).groupBy("lang", "gram").agg(F.sum("n").alias("n")), size))
+    levels = gram_levels(counts, size)
+    models = [r["lang"] for r in levels[0].select("lang").collect()]  # two a language
     other, own = (F.when(name(h).isin(models), name(h)) for h in (1 - half, half))
-    rows = in_blocks(rows.select("doc_id", "key", F.coalesce(other, own).alias("lang"), "text").where("lang is not null"))
+    rows = in_blocks(rows.select("doc_id", "key", F.coalesce(other, own).alias("lang"), "text").where("lang is not null"), size)
     parts = run(rows.select("block", "lang", "text"), _pack_grams, PACKED)
-    packed = checkpoint(run(parts.repartition("block").sortWithinPartitions("block"), _union_grams, PACKED))
-    met = run(packed, _unpack_grams, "block int, lang string, gram string").repartition("lang", "gram").distinct()  # dealt once, for the join too
-    priced = met.join(costs(met.select("lang", "gram").distinct(), levels), ["lang", "gram"]).select("block", "gram", F.col("cost").cast("float").alias("cost"))
+    packed = checkpoint(few(run(parts.repartition("block").sortWithinPartitions("block"), _union_grams, PACKED), size))
+    met = run(packed, _unpack_grams, "block int, lang string, gram string").distinct()
+    priced = met.join(costs(met.select("lang", "gram"), levels, size), ["lang", "gram"]).select("block", "gram", F.col("cost").cast("float").alias("cost"))
     texts = run(rows.select("block", "key", "text"), _pack_texts, "block int, size long, packed binary")
-    found = texts.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(_score_block, "key binary, n_chars long, n_words long, total double, n_different long")
-    return checkpoint(found.dropDuplicates(["key"]))
+    found = texts.groupBy("block").cogroup(few(priced, size).groupBy("block")).applyInArrow(_score_block, "key binary, n_chars long, n_words long, total double, n_different long")
+    return checkpoint(few(found.dropDuplicates(["key"]), size))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stretch: float = 1.0, **how) -> DataFrame:
@@ -420,8 +427,8 @@ def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, n_chars, n_words, log_ppl_char, log_ppl_word (null without a model or a character), kept."""
     docs = table(spark, sf_dir, "documents")
     found = verdicts(docs, table(spark, sf_dir, "labels")).withColumnRenamed("n_words", "words")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length(text).cast("long").alias("n_chars"), F.regexp_count(text, F.lit(r"(?U)\S+")).cast("long").alias("own_words"), text_key(F.col("lang"), F.col("text")).alias("key"))
-    return rows.join(found, "key", "left").select("doc_id", "lang", "n_chars", F.coalesce("words", "own_words").alias("n_words"), "log_ppl_char", "log_ppl_word", F.coalesce("kept", F.col("n_chars") > 0).alias("kept"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), text_key(F.col("lang"), F.col("text")).alias("key"))
+    return rows.join(found, "key", "left").select("doc_id", "lang", "n_chars", F.col("words").alias("n_words"), "log_ppl_char", "log_ppl_word", F.coalesce("kept", F.col("n_chars") > 0).alias("kept"))

@@ -299,7 +299,7 @@ def test_op6_scores_the_same_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(op6, "BLOCK_CHARS", 8_000)
     same_ids = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(7)).otherwise(F.col("doc_id")))
     parts = {bytes(r["key"]): r["total"] for r in op6.scores(same_ids, trusted).collect()}
-    assert op6.in_blocks(same_ids.select("doc_id", "lang", "text")).select("block").distinct().count() > 10 and parts == pytest.approx(whole)
+    assert op6.in_blocks(same_ids.select("doc_id", "lang", "text"), 1_000_000).select("block").distinct().count() > 10 and parts == pytest.approx(whole)
 
 
 def test_op6_bands_of_few_or_equal_texts_are_not_empty(spark):
