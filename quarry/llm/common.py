@@ -69,6 +69,11 @@ def give_back() -> None:
             trim(0)
 
 
+def whole_rows(df: DataFrame) -> Column:
+    """All columns in one struct: no column of a user's table can clash with a join's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)

@@ -18,7 +18,8 @@ Texts without words, null ones too, link with nothing, not with each other. Equa
 text are rows of their own. The class of a row is the smallest doc_id in its class, nulls aside. An empty table gives an empty result. Other columns are not
 read by join() and kept by representatives().
 
-Hot groups: equal texts are counted map-side; a frequent shingle's node is split or cut into blocks; no task holds more than two blocks.
+Hot groups: equal texts are counted map-side; a frequent shingle's node is split or cut into blocks; no task holds more than two blocks,
+which rows and shingles bound (a longer text is a block's only one or nearly so). Texts of any length are read whole.
 Members of a dense group of g different texts are compared in (g / block)^2 / 2 block pairs, since exact link counts ask for it.
 """
 
@@ -32,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, run, table
+from quarry.llm.common import Out, blocked, checkpoint, components, forest, grouped, rows_of, run, table, whole_rows
 
 N, LEAST, SIZE, LIMIT, BLOCK, COMPARED = 5, 0.8, 128, 256, 256, 2048
+#: Shingles of a block of whole texts.
+BLOCK_SHINGLES = 1_000_000
 #: Candidate texts are found by a broadcast up to so many, and by a shuffle beyond.
 BROADCAST_KEYS = 300_000
 PIECE = 1 << 20
@@ -108,7 +111,7 @@ def tokens(found: np.ndarray) -> np.ndarray:
     return low
 
 
-_EMBEDDED = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.binary())])
+_EMBEDDED = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.binary()), ("shingles", pa.int64())])
 
 
 def _embed(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -117,7 +120,7 @@ def _embed(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         if not len(found := _shingles(text, n)):
             continue
         low = tokens(found)
-        if out.add((key, doc, low.tobytes(), low.astype(np.uint8).tobytes())):
+        if out.add((key, doc, low.tobytes(), low.astype(np.uint8).tobytes(), len(found))):
             yield out.batch()
     if out.rows:
         yield out.batch()
@@ -259,12 +262,13 @@ def _verify(batches: Iterable[pa.RecordBatch], n: int, least: float) -> Iterator
 def classes(docs: DataFrame, n: int = N, least: float = LEAST, depth: int = 3, recall: float = 0.995) -> DataFrame:
     """One row per different text: key, first (its smallest doc_id), class_id, n_links (of each row with that text), any_words."""
     texts = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    embedded = run(texts.select("key", "doc", "text"), lambda batches: _embed(batches, n), "key binary, doc long, tokens binary, sketch binary")
-    sets = checkpoint(embedded.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch")))
+    embedded = run(texts.select("key", "doc", "text"), lambda batches: _embed(batches, n), "key binary, doc long, tokens binary, sketch binary, shingles long")
+    sets = checkpoint(embedded.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"), F.min("shingles").alias("shingles")))
     groups = components(candidates(sets.select("key", "tokens", "sketch"), least, depth, recall))
     # tables with one row per node or root are cut off: the other side of their joins can then be split where one is large
-    sizes = checkpoint(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
-    members = checkpoint(groups.withColumnRenamed("node", "key").join(sizes, "root").join(sets.select("key", "copies"), "key"))
+    members = groups.withColumnRenamed("node", "key").join(sets.select("key", "copies", "shingles"), "key")
+    sizes = checkpoint(members.groupBy("root").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("shingles") * BLOCK / BLOCK_SHINGLES)).alias("size")))
+    members = checkpoint(members.drop("shingles").join(sizes, "root"))
     few = F.broadcast(members) if members.count() <= BROADCAST_KEYS else members
     # equal texts are the same text: one of them is enough, whichever it is
     whole = texts.select("key", "text").join(few, "key").dropDuplicates(["key"])
@@ -288,15 +292,18 @@ def join(docs: DataFrame, **how) -> DataFrame:
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id (and, of texts with the same id, the smallest hash).
+    """``docs`` with one row of each class: that of the smallest doc_id (of texts with the same id, the smallest hash, and of rows
+    that are equal in id and text, the one whose other columns are first as JSON).
 
     Texts without words are classes of their own and stay."""
-    found = classes(docs, **how).select(F.col("key").alias("__key"), F.col("first").alias("__first"), F.col("lowest").alias("__lowest"))
-    own = docs.withColumn("__own", text_key(F.col("text")))
-    out = own.join(found, F.col("__own") == F.col("__key"), "left").where(F.col("__key").isNull() | (F.col("__lowest") & F.col("doc_id").cast("long").eqNullSafe(F.col("__first"))))
-    lone = out.where(F.col("__key").isNull())
-    one = out.where(F.col("__key").isNotNull()).dropDuplicates(["__own"])
-    return one.unionByName(lone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = classes(docs, **how).select("key", "first", "lowest")
+    own = docs.select(whole_rows(docs), text_key(F.col("text")).alias("key"))
+    out = own.join(found, "key", "left").where("lowest is null or lowest and cast(row.doc_id as bigint) <=> first")
+    lone = out.where("lowest is null").select("row")
+    others = [F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    by = F.to_json(F.struct(*others)) if others else F.lit("")
+    one = out.where("lowest is not null").groupBy("key").agg(F.min_by("row", F.coalesce(by, F.lit(""))).alias("row")).select("row")
+    return one.unionByName(lone).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

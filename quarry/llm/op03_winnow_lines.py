@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LAST_ID, Out, checkpoint, rows_of, run, table
+from quarry.llm.common import LAST_ID, Out, checkpoint, rows_of, run, table, whole_rows
 
 MIN_WORDS = 50
 _WINDOW = pa.struct([("w", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
@@ -127,17 +127,20 @@ def _without(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
 
 
 def deduped(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``__done``: a struct of the text without later repeated runs, n_lines, n_deleted and n_runs."""
-    ranges = repeated(docs, least).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("ranges").alias("__ranges"))
-    doc, key = _identity(docs)
-    return docs.join(ranges, (doc == F.col("__doc")) & (key == F.col("__key")), "left").withColumn("__done", F.pandas_udf(_without, _DONE)(F.col("text"), F.col("__ranges"))).drop("__doc", "__key", "__ranges")
+    """row (a struct of the columns of ``docs``) and done: a struct of the text without later repeated runs, n_lines, n_deleted and n_runs."""
+    rows = docs.select(whole_rows(docs), *_identity(docs)).join(repeated(docs, least), ["doc", "key"], "left")
+    text, none = F.col("row.text"), F.lit(0).cast("long")
+    lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    as_it_is = F.struct(text.alias("text"), lines.alias("n_lines"), none.alias("n_deleted"), none.alias("n_runs"))
+    cut = F.pandas_udf(_without, _DONE)(F.when(F.col("ranges").isNotNull(), text), F.col("ranges"))  # texts that stay need not leave the JVM
+    return rows.select("row", F.when(F.col("ranges").isNull(), as_it_is).otherwise(cut).alias("done"))
 
 
 def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text that is left; documents of which only white space is left are dropped."""
-    done = deduped(docs, least).where("__done.n_deleted = 0 or trim(translate(__done.text, '\\n\\t\\r', '   ')) <> ''")
-    return done.select(*[F.col("__done.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    done = deduped(docs, least).where("done.n_deleted = 0 or trim(translate(done.text, '\\n\\t\\r', '   ')) <> ''")
+    return done.select(*[F.col("done.text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduped(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "__done.text", "__done.n_lines", "__done.n_deleted", "__done.n_runs")
+    return deduped(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "done.*")

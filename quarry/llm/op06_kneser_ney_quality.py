@@ -421,9 +421,9 @@ def verdicts(docs: DataFrame, labels: DataFrame, stretch: float = 1.0, **how) ->
 
 def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
-    bad = checkpoint(verdicts(docs, labels, **how).where("not kept").select(F.col("key").alias("__bad")))
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
-    return docs.where("text <> ''").join(bad, text_key(F.col("lang"), F.col("text")) == F.col("__bad"), "left_anti")
+    bad = checkpoint(verdicts(docs, labels, **how).where("not kept").select("key"))
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad  # 16 bytes a text
+    return docs.where("text <> ''").join(bad, text_key(docs["lang"], docs["text"]) == bad["key"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, running_start, table
+from quarry.llm.common import checkpoint, running_start, table, whole_rows
 
 WEIGHTS = (3, 1, 2)
 #: The golden ratio's fraction of 2^31, odd: k * GOLDEN modulo 2^31 visits every point once.
@@ -35,6 +35,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per source of ``sizes`` (source, size): s (its number), source, source_size, target."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -86,8 +90,7 @@ def _quota(size: int, words: int, block: int) -> int:
 
 def mix(docs: DataFrame, block: int = 4096, buckets: int = 512, seed: int = 9) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, text_hash, source_size, target, taken."""
-    whole = F.coalesce("text", F.lit(""))
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), F.xxhash64(whole, F.col("text").isNull()).alias("text_hash"))
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), text_hash(F.col("text")).alias("text_hash"))
     sized = checkpoint(sized.withColumn("shuffled", F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash")).withColumn("bucket", F.pmod(F.shiftright("shuffled", 20), F.lit(buckets))))
     goals = checkpoint(targets(sized))
     laid = running_start(sized, ["source"], "bucket", [F.col(c) for c in ("shuffled", "doc_id", "text_hash", "size")], "size", "begin")
@@ -110,9 +113,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Rows that are equal in doc_id, source and text share one decision."""
     taken = mix(docs, **how).where("size > 0").groupBy("doc_id", "source", "text_hash").agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
-    times = taken.withColumn("__times", F.floor(F.col("t") / F.col("n") + 0.5).cast("int")).where("__times > 0").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("text_hash").alias("__text"), "__times")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()) == F.col("__text"))
-    return docs.join(times, same).withColumn("__times", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = taken.withColumn("times", F.floor(F.col("t") / F.col("n") + 0.5).cast("int")).where("times > 0").select("doc_id", "source", "text_hash", "times")
+    rows = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("own_id"), F.col("source").cast("string").alias("own_source"), text_hash(F.col("text")).alias("own_hash"))
+    met = rows.join(times, (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("source").eqNullSafe(F.col("own_source")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), "times"))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

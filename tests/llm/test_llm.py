@@ -172,7 +172,7 @@ def repeated_lines(rows, least=50):
 def test_op3_deletes_later_runs(docs, none):
     rows = [r[:2] for r in edge_rows()]
     gone = repeated_lines(rows)
-    found = Counter((str(r["doc_id"]), r["text"], r["n_deleted"]) for r in op3.deduped(docs.select("doc_id", "text")).select("doc_id", "__done.text", "__done.n_deleted").collect())
+    found = Counter((str(r["doc_id"]), r["text"], r["n_deleted"]) for r in op3.deduped(docs.select("doc_id", "text")).select("row.doc_id", "done.text", "done.n_deleted").collect())
     wanted = Counter()
     for i, t in rows:
         drop = gone.get((2**63 - 1 if i is None else i, t), set())
@@ -415,16 +415,64 @@ def test_op8_short_vectors_have_enough_tables(n):
     assert a.shape[1] >= op8.TABLES and (a == b).any(axis=1).mean() > 0.9
 
 
+@pytest.mark.parametrize("width", [13, 16, 20, 24])
+def test_op8_recall_at_every_width(width):
+    """Planted pairs at the threshold, among vectors of the registered table's length, meet in a table."""
+    r, n = np.random.default_rng(width), 64
+    x = r.normal(size=(4000, n))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + (1 - 0.98**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    model = op8.learn(np.concatenate([x, y]), op8.rotations_needed(n, width, op8.LEAST), 5)
+    assert (op8.substrings(x, model, width) == op8.substrings(y, model, width)).any(axis=1).mean() >= 0.95
+
+
 def test_op8_recall_on_a_table(spark):
-    frame = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    pdf = frame.toPandas()
+    """The table's vectors with near copies of each, about the threshold, against all pairs."""
+    pdf, r = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas(), np.random.default_rng(8)
+    rows = [(int(i), [float(c) for c in v], int(label)) for i, v, label in pdf[["vec_id", "embedding", "label"]].itertuples(index=False)]
+    for i, v, label in list(rows):
+        v = np.array(v) / np.linalg.norm(v)
+        side = r.normal(size=len(v))
+        side -= (side @ v) * v
+        c = r.uniform(0.97, 0.999)
+        rows.append((100_000 + i, [float(x) for x in np.float32(c * v + (1 - c * c) ** 0.5 * side / np.linalg.norm(side))], label))
     total = 0
-    for _, part in pdf.groupby("label"):
-        x = np.stack(part.embedding).astype(np.float64)
+    for label in {x[2] for x in rows}:
+        x = np.array([v for _, v, own in rows if own == label])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        total += int((x @ x.T >= 0.98).sum()) - len(part)
-    found = op8.near_duplicates(frame).agg(F.sum("n_links")).first()[0]
-    assert 0.9 * total <= found <= total
+        total += int((x @ x.T >= 0.98).sum()) - len(x)
+    found = op8.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).agg(F.sum("n_links")).first()[0]
+    assert total > 400 and 0.95 * total <= found <= total
+
+
+def test_clashing_columns_do_not_matter(spark, docs, labels):
+    names = ("row", "key", "doc", "done", "ranges", "first", "lowest", "times", "source_", "text_hash", "own_id", "__key", "__doc", "__ranges", "__times", "__bad", "__own", "block", "half")
+    wide = docs.drop("key").select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for stage in (op3.dedup, op2.representatives, op9.mixed, lambda d: op6.kept(d, labels)):
+        out = stage(wide)
+        assert out.columns == wide.columns and out.where("__key = 11 and row = 0").count() == stage(docs).count() > 0
+
+
+def test_op2_keeps_the_same_row_of_equals(spark):
+    rows = [(1, "same words here now and then", x) for x in "cab"] + [(2, "same words here now and then", "0")]
+    for k in (1, 3):
+        (one,) = op2.representatives(spark.createDataFrame(rows, "doc_id long, text string, other string").repartition(k)).collect()
+        assert (one["doc_id"], one["other"]) == (1, "a")
+
+
+def test_op10_long_white_space_and_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(op10.vocabulary("byte_bpe_50k.json"))
+    mine = op10.encoder(op10.vocabulary("byte_bpe_50k.tiktoken"), op10.vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    r = random.Random(3)
+    texts = [" " * 1_000_000, "a " + "\n" * 400_000 + "b", "\t" * 300_000 + "x", "ab" * 150_000, "x\u3000" + " " * 255 + "y" + " " * 256 + "z" + "\n" * 257 + " "]
+    texts += ["".join(r.choice([" ", "\n", "a", "b1", "'s", "!", " " * 256, " " * 300 + "\n", "\x1c", "\x85", "é"]) for _ in range(20)) for _ in range(100)]
+    for text in texts:
+        assert np.frombuffer(mine(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
 def plain_targets(sizes):
