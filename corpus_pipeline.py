@@ -8,6 +8,10 @@ the last return the columns of documents.
 - near_duplicates: of each class of texts with a shingle similarity of 0.8 or more, one document stays.
 - mix: documents are taken as often as the sources' targets ask for, rounded to whole documents.
 - pack: documents, cut into pieces, with the sequence and offset of each.
+
+Null and empty texts go in the first stage; texts of any length are read whole by every stage. Rows equal in id and text are rows of their own
+until near_duplicates, which keeps one. Null ids, languages and sources are values like others. Columns other than doc_id, text, lang, source and
+n_chars are carried along, whatever their names. Empty tables give an empty result, and without labels the first stage keeps every text.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import op02_chosen_path_join, op03_winnow_lines, op06_kneser_ney_quality, op09_low_discrepancy_mix, op10_nnls_packing
-from quarry.llm.common import shared_folder, table
+from quarry.llm.common import gone_at_end, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents that the stages keep. Stages in between are written in the shared folder."""
+    """The packed pieces of all documents that the stages keep. Stages in between are written in the shared folder, and deleted when the driver ends."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    gone_at_end(spark, folder)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
