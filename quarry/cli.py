@@ -40,19 +40,20 @@ def arguments(args: list[str]) -> argparse.Namespace:
 def run(spark: SparkSession, o: argparse.Namespace) -> dict:
     by_function = o.analysis in ("similarity", "function-graph")
     tree = sources.read_tree(spark, o.path, only_tests=o.only_tests and not by_function, exclude_tests=o.exclude_tests, exclude=tuple(o.exclude))
-    changes = git.changed_ranges(spark, o.path, [r["file"] for r in tree.select("file").collect()]) if o.diff_only else None
+    changes = git.changed_ranges(spark, o.path) if o.diff_only else None
     tests = {"only_tests": o.only_tests, "exclude_tests": o.exclude_tests}
+    top, least = (o.top, o.min_score) if o.format == "md" else (None, None)  # JSON is whole
     if o.analysis == "complexity":
         units = analyses.complexity_units(tree, changes)
-        return {"summary": complexity.summary(units), "functions": complexity.ranked(units, o.top, o.min_score or 0)}
+        return {"summary": complexity.summary(units), "functions": complexity.ranked(units, top, least or 0)}
     if o.analysis == "hotspot":
         scope = os.path.relpath(os.path.realpath(o.path), os.path.realpath(git.root(o.path) or o.path)).replace(os.sep, "/")
         if os.path.isdir(o.path) and scope != ".":  # churn has paths from the repository's root
             tree = tree.withColumn("file", F.concat(F.lit(scope + "/"), "file"))
-        rows = hotspot.ranked(analyses.hotspots(tree, git.churn(spark, o.path, o.since)), o.top)
+        rows = hotspot.ranked(analyses.hotspots(tree, git.churn(spark, o.path, o.since)), top)
         return ({"since": o.since} if o.since else {}) | {"summary": hotspot.summary(rows), "files": rows}
     if o.analysis == "cohesion":
-        return {"units": cohesion.ranked(analyses.cohesion_units(tree, changes), o.top, 0 if o.min_score is None else o.min_score)}
+        return {"units": cohesion.ranked(analyses.cohesion_units(tree, changes), top, least or 0)}
     if o.analysis == "wrapper":
         return {"wrappers": analyses.wrappers(tree, changes).orderBy("file", "start_line")}
     if o.analysis == "coupling":

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.paths import first_segment, in_crate, last_segment, qualify
+from quarry.functions.paths import first_segment, last_segment, qualify
 
 RESOLUTIONS = ("resolved", "unresolved", "ambiguous", "anonymous")
+#: Names that lexical_candidates() gives at most.
+MOST_CANDIDATES = 3
 
 
 def alias_target(imports: Column, alias: Column) -> Column:
@@ -49,8 +51,7 @@ def resolve(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     Every lookup is an equi-join with a table of one row per name, so a frequent name makes no pairs; only the two narrowing steps look at
     the nodes of a name, and they count them by crate and by path suffix before the join."""
     callers = nodes.groupBy(F.col("file").alias("__file"), F.col("qualified_name").alias("__caller")).agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("from")).where("__n = 1").drop("__n")
-    sites = calls.withColumn("__call", F.monotonically_increasing_id())
-    sites = sites.join(callers, (F.col("file") == F.col("__file")) & (F.col("caller_qualified_name") == F.col("__caller")), "left").where("caller_qualified_name is null or from is not null").drop("__file", "__caller")
+    sites = calls.join(callers, (F.col("file") == F.col("__file")) & (F.col("caller_qualified_name") == F.col("__caller")), "left").where("caller_qualified_name is null or from is not null").drop("__file", "__caller")
     qualified = nodes.groupBy(F.col("qualified_name").alias("__q")).agg(F.count(F.lit(1)).alias("__qn"), F.min("id").alias("__qid"))
     by_last = nodes.select("id", "qualified_name", last_segment(F.col("qualified_name")).alias("__l"))
     last = by_last.groupBy("__l").agg(F.count(F.lit(1)).alias("__ln"), F.min("id").alias("__lid"))
@@ -64,12 +65,16 @@ def resolve(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     is_self, is_value = F.col("receiver") == "self", F.col("receiver") == "expression"
     own = F.when(F.col("caller_module").isNotNull() & F.col("caller_owner").isNotNull() & F.col("callee_name").isNotNull(), F.array(qualify(F.col("caller_module"), F.concat("caller_owner", F.lit("::"), "callee_name"))))
     wanted = F.when(is_self, own).when(is_value, F.lit(None).cast("array<string>")).otherwise(lexical_candidates())
-    tried = sites.select("__call", F.posexplode(wanted).alias("__pos", "__q")).join(qualified, "__q")
-    tried = tried.groupBy("__call").agg(F.min_by(F.struct("__qn", "__qid"), "__pos").alias("__hit"))
+    sites = sites.withColumn("__wanted", wanted)
+    hits = []
+    for k in range(MOST_CANDIDATES):  # a join per rank, the first that is known counts
+        found = qualified.select(F.col("__q").alias(f"__q{k}"), F.struct("__qn", "__qid").alias(f"__hit{k}"))
+        sites = sites.withColumn(f"__own{k}", F.get("__wanted", F.lit(k))).join(found, F.col(f"__own{k}") == F.col(f"__q{k}"), "left").drop(f"__own{k}", f"__q{k}")
+        hits.append(F.col(f"__hit{k}"))
 
     path = F.when(F.size("callee_path") > 1, F.array_join("callee_path", "::"))
     module_crate = F.nullif(first_segment(F.col("caller_module")), F.lit(""))
-    out = sites.join(tried, "__call", "left")
+    out = sites.withColumn("__hit", F.coalesce(*hits))
     out = out.join(last, F.col("callee_name") == F.col("__l"), "left")
     out = out.join(crate, (F.col("callee_name") == F.col("__cl")) & (module_crate == F.col("__crate")), "left")
     out = out.join(suffix, path == F.col("__suffix"), "left")
@@ -152,7 +157,3 @@ def open_calls(found: DataFrame, shown: DataFrame) -> DataFrame:
     """Edges from visible nodes to nothing known."""
     ids = shown.select("id")
     return found.where("to is null").join(ids, found["from"] == ids["id"], "left_semi")
-
-
-def crate_of(nodes: DataFrame, crate: str) -> DataFrame:
-    return nodes.where(in_crate(F.col("qualified_name"), F.lit(crate)))

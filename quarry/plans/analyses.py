@@ -77,7 +77,7 @@ def call_graph(files: DataFrame, **tests: bool) -> tuple[DataFrame, DataFrame, D
     found = functions(files, **tests)
     local = F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("::"), "name")).otherwise(F.col("name"))
     nodes = found.select(F.concat_ws(":", "file", local, F.col("start_line").cast("string")).alias("id"), "name", "qualified_name", "file", "module", F.col("owner").alias("impl_owner"), "start_line", "end_line", "is_test", local.alias("local_name"))
-    units = complexity_units(files).groupBy("file", F.col("name").alias("local_name"), "start_line", "end_line").agg(*[F.last(c).alias(c) for c in ("loc", "cyclomatic", "cognitive", "max_nesting", "maintainability_index", "halstead_volume")])
+    units = complexity_units(files).groupBy("file", F.col("name").alias("local_name"), "start_line", "end_line").agg(F.max(F.struct("cognitive", "cyclomatic", "max_nesting", "loc", "maintainability_index", "halstead_volume")).alias("u")).select("file", "local_name", "start_line", "end_line", "u.*")
     nodes = checkpoint(nodes.join(units, ["file", "local_name", "start_line", "end_line"], "left").drop("local_name"))
     edges = checkpoint(callgraph.edges(callgraph.resolve(extract(files, "calls"), nodes.select("id", "file", "qualified_name"))))
     return callgraph.degrees(nodes, edges).orderBy("file", "start_line", "name"), callgraph.ordered(edges), callgraph.summary(nodes, edges)
@@ -98,12 +98,12 @@ def module_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ups = F.size(F.filter(steps, lambda s: s == ".."))
     ts = F.concat(F.slice(home, 1, F.greatest(F.size(home) - 1 - ups, F.lit(0))), F.transform(F.filter(steps, lambda s: s != ".."), lambda s: F.regexp_replace(s, r"\.[cm]?[jt]sx?$", "")), F.array("name"))
     head = F.element_at("segments", 1)
-    rust = F.when(head == "self", F.concat(home, F.slice("segments", 2, 1_000))).when(head == "super", F.concat(F.slice(home, 1, F.greatest(F.size(home) - 1, F.lit(1))), F.slice("segments", 2, 1_000))).otherwise(F.col("segments"))
+    rust = F.when(head == "self", F.concat(home, F.slice("segments", 2, F.size("segments")))).when(head == "super", F.concat(F.slice(home, 1, F.greatest(F.size(home) - 1, F.lit(1))), F.slice("segments", 2, F.size("segments")))).otherwise(F.col("segments"))
     lang = paths.language(F.col("file"))
     whole = F.when(lang == "python", python).when(lang == "typescript", F.when(head.isin(".", ".."), ts)).when(lang == "rust", rust).otherwise(F.col("segments"))
     refs = checkpoint(found.withColumn("segments", F.filter(whole, lambda s: s.isNotNull() & (s != ""))).withColumn("key", F.xxhash64("key", "name")))
     # a Go import names a folder below the module's own path, so its longest known suffix counts
-    go = refs.where(lang == "go").withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("segments"), F.lit(1))), lambda i: F.array_join(F.slice("segments", i, 1_000), "::"))))
+    go = refs.where(lang == "go").withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("segments"), F.lit(1))), lambda i: F.array_join(F.slice("segments", i, F.size("segments")), "::"))))
     go = go.join(modules.select(F.col("path").alias("suffix")).distinct(), "suffix").groupBy("key").agg(F.max_by("suffix", F.length("suffix")).alias("module"), F.first("name").alias("symbol"))
     hit = imports.longest_prefix(refs.where(lang != "go").select("key", "segments"), modules.select(F.col("path").alias("module")), "key")
     resolved = hit.unionByName(go).withColumnRenamed("module", "to")

@@ -265,26 +265,36 @@ def wrapper_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Nodes are suppliers, in the crate of their nation; orders call a supplier by a short name that several may share.
 _GRAPH = """nodes AS (SELECT 's' || s_suppkey AS id, 'f' || s_nationkey AS file, 'n' || s_nationkey || '::sup' || (s_suppkey // 3) AS qualified_name, 'sup' || (s_suppkey // 3) AS last FROM supplier),
- sites AS (SELECT l_orderkey, l_linenumber, 'n' || c_nationkey AS crate, CASE WHEN l_returnflag <> 'N' THEN 'sup' || (l_suppkey // 2) END AS callee, CASE l_linestatus WHEN 'F' THEN 'expression' END AS receiver
-   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+ callers AS (SELECT file, qualified_name, min(id) AS id FROM nodes GROUP BY 1, 2 HAVING count(*) = 1),
+ made AS (SELECT l_orderkey, l_linenumber, 'n' || c_nationkey AS crate, CASE WHEN l_returnflag <> 'N' THEN 'sup' || (l_suppkey // 2) END AS callee, CASE l_linestatus WHEN 'F' THEN 'expression' END AS receiver,
+   CASE l_linenumber WHEN 3 THEN 'path' WHEN 4 THEN 'alias' ELSE 'plain' END AS form, 'f' || s_nationkey AS file, CASE WHEN l_linenumber > 1 THEN 'n' || s_nationkey || '::sup' || (l_suppkey // 3) END AS caller
+   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+ sites AS (SELECT made.*, callers.id AS "from" FROM made LEFT JOIN callers ON callers.file = made.file AND callers.qualified_name = made.caller WHERE caller IS NULL OR callers.id IS NOT NULL),
  q AS (SELECT qualified_name, count(*) AS n, min(id) AS id FROM nodes GROUP BY 1), l AS (SELECT last, count(*) AS n, min(id) AS id FROM nodes GROUP BY 1),
- r AS (SELECT sites.*, CASE WHEN callee IS NULL THEN 'anonymous' WHEN receiver IS NULL AND q.n = 1 THEN 'resolved' WHEN receiver IS NULL AND q.n > 1 THEN 'ambiguous' WHEN l.n IS NULL THEN 'unresolved' WHEN l.n = 1 THEN 'resolved'
-    WHEN receiver IS NOT NULL AND q.n = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution,
-   CASE WHEN callee IS NULL THEN NULL WHEN receiver IS NULL AND q.n = 1 THEN q.id WHEN receiver IS NULL AND q.n > 1 THEN NULL WHEN l.n = 1 THEN l.id WHEN receiver IS NOT NULL AND q.n = 1 THEN q.id END AS "to"
+ r AS (SELECT sites.*, CASE WHEN callee IS NULL THEN 'anonymous' WHEN receiver IS NULL AND form <> 'path' AND q.n = 1 THEN 'resolved' WHEN receiver IS NULL AND form <> 'path' AND q.n > 1 THEN 'ambiguous' WHEN l.n IS NULL THEN 'unresolved'
+    WHEN receiver IS NOT NULL THEN CASE WHEN l.n = 1 OR q.n = 1 THEN 'resolved' ELSE 'ambiguous' END WHEN form = 'path' THEN CASE WHEN q.n IS NULL THEN 'unresolved' WHEN q.n = 1 THEN 'resolved' ELSE 'ambiguous' END
+    WHEN form = 'alias' THEN 'unresolved' WHEN l.n = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution,
+   CASE WHEN callee IS NULL THEN NULL WHEN receiver IS NULL AND form <> 'path' AND q.n = 1 THEN q.id WHEN receiver IS NULL AND form <> 'path' AND q.n > 1 THEN NULL WHEN l.n IS NULL THEN NULL
+    WHEN receiver IS NOT NULL THEN CASE WHEN l.n = 1 THEN l.id WHEN q.n = 1 THEN q.id END WHEN form = 'path' THEN CASE WHEN q.n = 1 THEN q.id END WHEN form = 'alias' THEN NULL WHEN l.n = 1 THEN l.id END AS "to"
   FROM sites LEFT JOIN q ON q.qualified_name = crate || '::' || callee LEFT JOIN l ON l.last = callee),
- ed AS (SELECT CAST(NULL AS VARCHAR) AS "from", "to", callee AS callee_name, resolution, count(*) AS call_count, list_sort(list(DISTINCT l_linenumber)) AS call_lines FROM r GROUP BY "to", callee, resolution)"""
+ ed AS (SELECT "from", "to", callee AS callee_name, resolution, count(*) AS call_count, list_sort(list(DISTINCT l_linenumber)) AS call_lines FROM r GROUP BY "from", "to", callee, resolution)"""
 
 
 def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
-    third = F.concat(F.lit("sup"), F.expr("s_suppkey div 3").cast("string"))
+    """Suppliers as functions of their nations; order lines as calls: plain, by a path (line 3), by an imported alias (line 4), on values, and outside functions (line 1)."""
+    third = lambda c: F.concat(F.lit("sup"), F.expr(f"{c} div 3").cast("string"))
     crate = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
-    nodes = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("file"), F.concat(crate("s_nationkey"), F.lit("::"), third).alias("qualified_name"), third.alias("name"))
-    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    home = F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("file")
+    nodes = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), home, F.concat(crate("s_nationkey"), F.lit("::"), third("s_suppkey")).alias("qualified_name"), third("s_suppkey").alias("name"))
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     callee = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("sup"), F.expr("l_suppkey div 2").cast("string")))
-    none = F.lit(None).cast("string")
+    caller = F.when(F.col("l_linenumber") > 1, F.concat(crate("s_nationkey"), F.lit("::"), third("l_suppkey")))
+    path = F.when(F.col("l_linenumber") == 3, F.array(crate("c_nationkey"), callee)).when(F.col("l_linenumber") == 4, F.array(F.lit("x"), callee)).otherwise(F.array(callee))
+    kind = "array<struct<alias:string,target:string,exported:string>>"
+    imported = F.when(F.col("l_linenumber") == 4, F.array(F.struct(F.lit("x").alias("alias"), crate("c_nationkey").alias("target"), F.lit(None).cast("string").alias("exported"))).cast(kind)).otherwise(F.array().cast(kind))
     calls = lines.select(
-        none.alias("file"), none.alias("caller_qualified_name"), crate("c_nationkey").alias("caller_module"), none.alias("caller_owner"), callee.alias("callee_name"), F.when(callee.isNotNull(), F.array(callee)).alias("callee_path"),
-        F.when(F.col("l_linestatus") == "F", "expression").alias("receiver"), F.array().cast("array<struct<alias:string,target:string,exported:string>>").alias("imports"), F.col("l_linenumber").alias("line"), "l_orderkey",
+        home, caller.alias("caller_qualified_name"), crate("c_nationkey").alias("caller_module"), F.lit(None).cast("string").alias("caller_owner"), callee.alias("callee_name"), F.when(callee.isNotNull(), path).alias("callee_path"),
+        F.when(F.col("l_linestatus") == "F", "expression").alias("receiver"), imported.alias("imports"), F.col("l_linenumber").alias("line"), "l_orderkey",
     )
     return nodes, callgraph.resolve(calls, nodes)
 
@@ -299,10 +309,13 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callgraph.ordered(callgraph.edges(_graph(Tables(spark, sf_dir))[1])).withColumn("call_lines", F.array_join(F.transform("call_lines", lambda x: x.cast("string")), ","))
 
 
-_DEGREES = f"WITH {_GRAPH}, deg AS (SELECT id, file, qualified_name, last AS name, CAST(coalesce(sum(call_count), 0) AS BIGINT) AS incoming_call_count FROM nodes LEFT JOIN ed ON ed.\"to\" = id GROUP BY ALL)"
+_DEGREES = f"""WITH {_GRAPH}, ins AS (SELECT "to" AS id, sum(call_count) AS n, count(DISTINCT "from") FILTER (resolution = 'resolved') AS fan FROM ed GROUP BY 1),
+ outs AS (SELECT "from" AS id, sum(call_count) AS n, count(DISTINCT "to") FILTER (resolution = 'resolved') AS fan FROM ed GROUP BY 1),
+ deg AS (SELECT nodes.id, file, qualified_name, last AS name, CAST(coalesce(ins.n, 0) AS BIGINT) AS incoming_call_count, CAST(coalesce(outs.n, 0) AS BIGINT) AS outgoing_call_count, CAST(coalesce(ins.fan, 0) AS BIGINT) AS fan_in, CAST(coalesce(outs.fan, 0) AS BIGINT) AS fan_out
+   FROM nodes LEFT JOIN ins ON ins.id = nodes.id LEFT JOIN outs ON outs.id = nodes.id)"""
 
 
-@query(_DEGREES + " SELECT id, file, qualified_name, name, incoming_call_count, CAST(0 AS BIGINT) AS outgoing_call_count, CAST(0 AS BIGINT) AS fan_in, CAST(0 AS BIGINT) AS fan_out FROM deg")
+@query(_DEGREES + " SELECT * FROM deg")
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, found = _graph(Tables(spark, sf_dir))
     return callgraph.degrees(nodes, callgraph.edges(found))
@@ -315,18 +328,33 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callgraph.summary(nodes, callgraph.edges(found))
 
 
-@query(_DEGREES + " SELECT id, name, incoming_call_count AS centrality FROM deg WHERE contains(lower(name), 'sup1') ORDER BY centrality DESC, id LIMIT 140")
+@query(_DEGREES + " SELECT id, name, incoming_call_count + outgoing_call_count + 2 * fan_in + fan_out AS centrality FROM deg WHERE contains(lower(name), 'sup1') ORDER BY centrality DESC, id LIMIT 140")
 def graph_view_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, found = _graph(Tables(spark, sf_dir))
     return callgraph.visible(callgraph.degrees(nodes, callgraph.edges(found)).drop("file", "qualified_name"), "SUP1").select("id", "name", "centrality")
 
 
-@query(f"WITH {_GRAPH}, shown AS (SELECT id FROM nodes WHERE file = 'f1') SELECT \"to\", callee_name, call_count FROM ed WHERE \"to\" IN (SELECT id FROM shown) AND resolution = 'resolved' AND call_count >= 2")
-def graph_into_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SHOWN = f"WITH {_GRAPH}, shown AS (SELECT id FROM nodes WHERE file IN ('f1', 'f2', 'f3'))"
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, found = _graph(Tables(spark, sf_dir))
-    shown = nodes.where("file = 'f1'").select("id")
-    ed = callgraph.edges(found).where("call_count >= 2 and resolution = 'resolved'")
-    return ed.join(shown, ed["to"] == shown["id"], "left_semi").select("to", "callee_name", "call_count")
+    return callgraph.edges(found), nodes.where("file in ('f1', 'f2', 'f3')").select("id")
+
+
+@query(_SHOWN + """ SELECT "from", "to", callee_name, call_count FROM ed WHERE "to" IN (SELECT id FROM shown) AND "from" NOT IN (SELECT id FROM shown)""")
+def graph_into_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return callgraph.hidden_callers(*_shown(spark, sf_dir)).select("from", "to", "callee_name", "call_count")
+
+
+@query(_SHOWN + """ SELECT "from", "to", callee_name, call_count FROM ed WHERE "to" IN (SELECT id FROM shown) AND "from" IN (SELECT id FROM shown) AND call_count >= 2 AND resolution = 'resolved'""")
+def graph_shown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return callgraph.shown_edges(*_shown(spark, sf_dir), 2, ("resolved",)).select("from", "to", "callee_name", "call_count")
+
+
+@query(_SHOWN + """ SELECT "from", callee_name, resolution, call_count FROM ed WHERE "to" IS NULL AND "from" IN (SELECT id FROM shown)""")
+def graph_open_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return callgraph.open_calls(*_shown(spark, sf_dir)).select("from", "callee_name", "resolution", "call_count")
 
 
 # spans, paths and names

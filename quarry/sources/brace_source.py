@@ -503,7 +503,29 @@ def calls(functions: list[Function], lang: str, module: str, seen: list[dict]) -
     return out
 
 
-_ADAPTERS = {"go": (), "rust": ("into", "unwrap", "clone", "to_string", "to_owned", "as_ref", "as_mut", "as_str", "iter", "into_iter", "collect"), "typescript": ("toString", "trim", "valueOf", "toJSON", "toLowerCase", "toUpperCase")}
+#: Methods without arguments, with a literal, and with a closure, that only adapt a value.
+_ADAPTERS = {
+    "go": (),
+    "rust": ("into", "try_into", "unwrap", "unwrap_or_default", "clone", "to_owned", "to_string", "as_ref", "as_mut", "as_str", "as_slice"),
+    "typescript": ("toString", "valueOf", "toJSON", "toFixed", "toLocaleString", "asReadonly"),
+}
+_LITERAL_ADAPTERS = {"rust": ("expect",)}
+_CLOSURE_ADAPTERS = {"rust": ("map_err",)}
+
+
+def adapts(name: str, given: list[Item], lang: str) -> bool:
+    """Whether a method call with these arguments only adapts its receiver."""
+    if not given:
+        return name in _ADAPTERS[lang]
+    if name in _LITERAL_ADAPTERS.get(lang, ()):
+        return len(given) == 1 and isinstance(given[0], Token) and (given[0].kind in ("string", "number") or given[0].text in ("true", "false"))
+    return name in _CLOSURE_ADAPTERS.get(lang, ()) and (given[1:] if given[0].text == "move" else given)[0].text in ("|", "||")
+
+
+def is_shim(f: Function, callee: str, lang: str) -> bool:
+    """``new`` that calls its owner's ``default``, or the other way round: a convention, no wrapper."""
+    other = {"new": "default", "default": "new"}.get(f.name)
+    return lang == "rust" and f.owner is not None and other is not None and callee in (f"Self::{other}", f"{f.owner}::{other}")
 
 
 def parameters(f: Function, lang: str) -> list[str] | None:
@@ -526,14 +548,14 @@ def wrapper(f: Function, lang: str) -> tuple | None:
         body = body[1:]
     elif lang == "go" and [x.text for x in body[:2]] == ["_", "="]:
         body = body[2:]
-    if f.name in ("constructor", "new", "default") or any(x.text in ("let", "if", "for", "match", "const", "var") for x in body):
+    if lang == "typescript" and f.name == "constructor" or any(x.text in ("let", "if", "for", "match", "const", "var") for x in body):
         return None
     adapters: list[str] = []
     while len(body) > 2:
         if lang == "rust" and body[-1].text == "?" or lang == "typescript" and body[-1].text == "!":
             adapters.insert(0, body[-1].text)
             body = body[:-1]
-        elif is_group(body[-1], "(") and not body[-1].items and _text(body, len(body) - 3) == "." and body[-2].text in _ADAPTERS[lang]:
+        elif is_group(body[-1], "(") and _text(body, len(body) - 3) == "." and adapts(body[-2].text, body[-1].items, lang):
             adapters.insert(0, f".{body[-2].text}()")
             body = body[:-3]
         elif body[0].text == "await":
@@ -550,7 +572,7 @@ def wrapper(f: Function, lang: str) -> tuple | None:
             return None
         given.append(names[0].text)
     wanted = parameters(f, lang)
-    if wanted is None or sorted(given) != sorted(wanted):
+    if wanted is None or sorted(given) != sorted(wanted) or is_shim(f, "".join(x.text for x in body[:-1]), lang):
         return None
     return f.local, f.line, f.body.end, "".join(x.text for x in body[:-1]), adapters, 1
 

@@ -34,12 +34,15 @@ def churn(spark: SparkSession, path: str, since: str | None = None) -> DataFrame
     return hotspot.churn(spark.createDataFrame([(x,) for x in found if x], "path string"))
 
 
-def changed_ranges(spark: SparkSession, base: str, files: list[str]) -> DataFrame:
-    """file, start, end: lines changed since the last commit; nothing where there is no repository."""
-    rows = []
-    for f in files:
-        try:
-            rows += [(f, x) for x in _lines(base if os.path.isdir(base) else os.path.dirname(base) or ".", "diff", "--no-ext-diff", "--unified=0", "--", f) if x.startswith("@@")]
-        except (RuntimeError, OSError):
-            continue
+def changed_ranges(spark: SparkSession, base: str) -> DataFrame:
+    """file (from ``base``, or as given if that is a file), start, end: lines changed since the last commit; nothing where there is no repository."""
+    folder = base if os.path.isdir(base) else os.path.dirname(base) or "."
+    rows, file = [], None
+    if root(folder) is not None:
+        scope = "." if os.path.isdir(base) else os.path.basename(base)
+        for x in _lines(folder, "diff", "--no-ext-diff", "--no-color", "--unified=0", "--relative", "--src-prefix=a/", "--dst-prefix=b/", "--", scope):
+            if x.startswith("+++ "):
+                file = x[6:].rstrip("\t") if x.startswith("+++ b/") else None  # a deleted file has no lines
+            elif x.startswith("@@") and file is not None:
+                rows.append((file if os.path.isdir(base) else base, x))
     return diff.hunks(spark.createDataFrame(rows, "file string, line string"))

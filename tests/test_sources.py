@@ -36,6 +36,20 @@ def test_rust_wrappers(source, name, callee, adapters):
     assert (found[0], *found[3:5]) == (name, callee, adapters)
 
 
+@pytest.mark.parametrize("body,adapters", [("b(x).try_into()", [".try_into()"]), ('b(x).expect("no")', [".expect()"]), ("b(x).map_err(|e| e.into())?", [".map_err()", "?"]), ("b(x).unwrap_or_default()", [".unwrap_or_default()"])])
+def test_rust_adapters(body, adapters):
+    (found,) = brace_source.rust("wrappers", f"fn a(x: i32) -> R {{ {body} }}", "crate")
+    assert found[4] == adapters
+
+
+def test_rust_calls_that_are_no_adapters():
+    assert brace_source.rust("wrappers", "fn a(x: i32) -> R { b(x).collect() }", "crate") == []
+    assert brace_source.rust("wrappers", "fn a(x: i32, y: i32) -> R { b(x).expect(y) }", "crate") == []
+    shims = "impl T { fn new() -> T { T::default() } fn default() -> T { Self::new() } fn other() -> T { T::default() } }"
+    assert [w[0] for w in brace_source.rust("wrappers", shims, "crate")] == ["T::other"]
+    assert [w[0] for w in brace_source.rust("wrappers", "fn new(x: i32) -> R { b(x) }", "crate")] == ["new"]
+
+
 def test_wrapper_limits():
     assert python_source.rows("wrappers", "def f(a, b=1):\n    return g(a, b)\n", "m") == []
     assert python_source.rows("wrappers", 'def f(a):\n    "doc"\n    return g(a)\n', "m") == []
@@ -90,6 +104,11 @@ def test_reports(spark, tree):
     assert render.to_json(parts).endswith("}\n") and "| file |" in render.to_markdown("x", parts)
 
 
+def test_json_is_whole_and_markdown_is_cut(spark, tree):
+    of = lambda *more: cli.run(spark, cli.arguments(["complexity", str(tree), "--top", "1", *more]))["functions"].count()
+    assert of("--format", "md") == 1 and of() > 1
+
+
 def test_git_sources(spark, tree):
     def run(*a):
         subprocess.run(["git", "-C", str(tree), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
@@ -98,7 +117,7 @@ def test_git_sources(spark, tree):
     run("add", "-A")
     run("commit", "-qm", "1")
     (tree / "pkg/main.py").write_text((tree / "pkg/main.py").read_text() + "\nx = 1\n")
-    changed = git.changed_ranges(spark, str(tree), ["pkg/main.py"]).collect()
+    changed = git.changed_ranges(spark, str(tree)).collect()
     assert len(changed) == 1 and changed[0]["start"] >= 14
     run("commit", "-qam", "2")
     assert {r["path"]: r["commits"] for r in git.churn(spark, str(tree)).collect()}["pkg/main.py"] == 2
