@@ -6,7 +6,9 @@ Base spans, per kind leftmost and without overlaps: ``assign`` (a credential nam
 The method adds ``guess`` spans: the values after any credential name (more names than ``assign`` has, any printable characters) whose
 guess cost is high. The cost is the logarithm to base 10 of the guesses that the cheapest segmentation needs: words (with capitals and
 look-alike characters), dates, repeats, keyboard walks and brute-force spans, found by dynamic programming in time proportional to the value's
-length. A placeholder such as ``changeme`` costs little and is not added; base spans stay whatever their cost.
+length. Words are ranked: a short list of password words first, then the words in vocabularies of public byte-level tokenizers, whose order
+follows how frequent they were in text of many languages. A placeholder such as ``changeme`` costs little and is not added, nor is a
+reference (``${NAME}``, ``%NAME%``, ``{{name}}``, a look-up in the environment); base spans stay whatever their cost.
 
 A null text is an empty one and has no spans. Texts of any length are scanned whole, one at a time. Every row gives a row, also repeated
 ones, and an empty table gives an empty result. Other columns are not read.
@@ -14,6 +16,7 @@ ones, and an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -53,11 +56,14 @@ SHIFTED = ('~!@#$%^&*()_+', 'QWERTYUIOP{}|', 'ASDFGHJKL:"', "ZXCVBNM<>?")
 #: Look-alike characters.
 ALIKE = {"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
 
+#: Vocabularies with word ranks, and the shortest of their words that counts.
+VOCABULARIES, SHORTEST = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"), 4
+#: Values that name a secret's place instead of being one.
+REFERENCE = re.compile(r"\$\{[^}]*\}|\$\(?[A-Za-z_][A-Za-z0-9_]*\)?|%[A-Za-z_][A-Za-z0-9_]*%|\{\{.*\}\}|\[?[\w.]*\b(?:environ|getenv|env)\b.*", re.ASCII | re.IGNORECASE)
+
 SEGMENT = log10(5)  # which kind comes next
 REPEAT_UNIT = 8
 _PLACE = {c: (x + y / 2, y) for rows in (KEYBOARD, SHIFTED) for y, row in enumerate(rows) for x, c in enumerate(row)}
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _DATE = re.compile(
     r"(?=((?:19|20)\d\d(?P<a>[-/._]?)(?:0[1-9]|1[0-2])(?P=a)(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?P<b>[-/._]?)(?:0[1-9]|1[0-2])(?P=b)(?:19|20)\d\d|(?:0[1-9]|1[0-2])(?P<c>[-/._]?)(?:0[1-9]|[12]\d|3[01])(?P=c)(?:19|20)\d\d|(?:19|20)\d\d))",
     re.ASCII,
@@ -68,16 +74,32 @@ def _char_cost(c: str) -> float:
     return 1.0 if "0" <= c <= "9" else log10(26) if "a" <= c <= "z" or "A" <= c <= "Z" else log10(33) if c < "\x7f" else 3.0
 
 
-def _word_cost(piece: str) -> float | None:
+@lru_cache(maxsize=2)
+def ranks(vocabularies: tuple[str, ...] = ()) -> tuple[dict[str, int], int]:
+    """Words with their ranks, and the length of the longest. ``vocabularies``: paths of files with a token (base64) and its rank a line."""
+    found = {w: i + 1 for i, w in enumerate(WORDS)}
+    least: dict[str, int] = {}
+    for path in vocabularies:
+        with open(path, "rb") as lines:
+            for token, rank in map(bytes.split, lines):
+                word = base64.b64decode(token).decode("utf-8", "replace").strip(" ").lower()
+                if len(word) >= SHORTEST and word.isalpha():
+                    least[word] = min(least.get(word, 1 << 30), int(rank))
+    for word, rank in least.items():
+        found.setdefault(word, len(WORDS) + rank)
+    return found, max(map(len, found))
+
+
+def _word_cost(piece: str, known: dict[str, int]) -> float | None:
     """The cost of a piece that is a word, written with capitals or look-alikes."""
     low = piece.lower()
     plain = "".join(ALIKE.get(c, c) for c in low)
-    rank = _RANK.get(low) or _RANK.get(plain)
+    rank = known.get(low) or known.get(plain)
     if not rank:
         return None
     capitals = sum(map(str.isupper, piece))
     capital_cost = 0.0 if not capitals else log10(2) if capitals == len(piece) or piece[0].isupper() and capitals == 1 else capitals * log10(2) + 1
-    return log10(rank + 1) + capital_cost + log10(2) * (0 if low in _RANK else sum(a != b for a, b in zip(low, plain, strict=True)))
+    return log10(rank + 1) + capital_cost + log10(2) * (0 if low in known else sum(a != b for a, b in zip(low, plain, strict=True)))
 
 
 def _step(a: str, b: str) -> tuple[float, int] | None:
@@ -90,17 +112,17 @@ def _step(a: str, b: str) -> tuple[float, int] | None:
 
 
 @lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, vocabularies: tuple[str, ...] = ()) -> float:
     """log10 of the guesses for ``value``: the cheapest segmentation's costs and, for each segment, the choice of its kind."""
-    n = len(value)
+    n, (known, longest) = len(value), ranks(vocabularies)
     edges: dict[int, list[tuple[int, float]]] = {}  # end: (begin, cost)
 
     def edge(begin: int, end: int, cost: float) -> None:
         edges.setdefault(end, []).append((begin, cost + SEGMENT))
 
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if (cost := _word_cost(value[i:j])) is not None:
+        for j in range(i + 3, min(n, i + longest) + 1):
+            if (cost := _word_cost(value[i:j], known)) is not None:
                 edge(i, j, cost)
     for m in _DATE.finditer(value):
         whole = m[1]
@@ -116,7 +138,7 @@ def guess_cost(value: str) -> float:
                     times = (j + u - begin) // u
                     if times >= 2 and times * u >= 3:
                         unit = value[begin : begin + u]
-                        edge(begin, begin + times * u, (sum(map(_char_cost, unit)) if u < 3 else min(sum(map(_char_cost, unit)), w if (w := _word_cost(unit)) is not None else 99.0)) + log10(times))
+                        edge(begin, begin + times * u, (sum(map(_char_cost, unit)) if u < 3 else min(sum(map(_char_cost, unit)), w if (w := _word_cost(unit, known)) is not None else 99.0)) + log10(times))
             i = max(i + 1, j)
     best, brute, walk = [0.0] * (n + 1), float("inf"), float("inf")
     steps = [_step(a, b) for a, b in zip(value, value[1:], strict=False)]
@@ -143,13 +165,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def guessed_spans(text: str, least: float) -> list[tuple[int, int, int, float]]:
+def guessed_spans(text: str, least: float, vocabularies: tuple[str, ...] = ()) -> list[tuple[int, int, int, float]]:
     """(start, kind's number, end, cost) of the credential values that cost at least ``least``."""
     found = []
     if "=" in text or ":" in text or "earer" in text or "EARER" in text:
         for m in CONTEXT.finditer(text):
             group = m.lastindex
-            if (cost := guess_cost(m[group])) >= least:
+            if not REFERENCE.fullmatch(m[group]) and (cost := guess_cost(m[group], vocabularies)) >= least:
                 found.append((m.start(group), 3, m.end(group), cost))
     return found
 
@@ -159,20 +181,24 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 _ARROW = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
 
 
-def _scan(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterable[pa.RecordBatch], least: float, vocabularies: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     out = Out(_ARROW)
     for doc_id, text in rows_of(batches):
         text = text or ""
-        spans = sorted([(*s, None) for s in base_spans(text)] + guessed_spans(text, least), key=lambda s: s[:3])
+        spans = sorted([(*s, None) for s in base_spans(text)] + guessed_spans(text, least, vocabularies), key=lambda s: s[:3])
         if out.add((doc_id, [{"kind": KINDS[k], "start": a, "end": b, "log10_guesses": c} for a, k, b, c in spans])):
             yield out.batch()
     if out.rows:
         yield out.batch()
 
 
-def scan(docs: DataFrame, least: float = 8.0) -> DataFrame:
-    """doc_id and spans, by start and kind, of each text. ``least``: the cost (log10 of guesses) from which a credential value is a span."""
-    return run(docs.select(F.col("doc_id").cast("long"), "text"), lambda batches: _scan(batches, least), SPANS)
+def scan(docs: DataFrame, least: float = 8.0, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
+    """doc_id and spans, by start and kind, of each text. ``least``: the cost (log10 of guesses) from which a credential value is a span.
+    ``vocabularies``: names of the public tokenizer files that rank words; executors have them where the driver has."""
+    import public_tokenizers
+
+    paths = tuple(map(public_tokenizers.path, vocabularies))
+    return run(docs.select(F.col("doc_id").cast("long"), "text"), lambda batches: _scan(batches, least, paths), SPANS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

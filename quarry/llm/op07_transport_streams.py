@@ -1,12 +1,14 @@
 """Media columns: MPEG transport streams (ISO/IEC 13818-1).
 
-parse() reads a stream: the program association and map tables with their checksums, the continuity counter of every packet
+parse() reads a stream: the program association and map tables with their checksums, also over several packets, the continuity counter of every packet
 identifier, the packets of the elementary stream put together again, and its timestamps with the random-access points. Bytes before the
 first sync byte and packets that are no packets are skipped and counted.
 
 write() stores a payload as such a stream, in 8-bit units without loss: one program with one private elementary stream, an access unit
-per ``unit`` bytes, each a PES packet with its presentation time, a clock reference and the random-access flag; adaptation fields
-fill the last packet of a unit.
+per ``unit`` bytes, each a PES packet with its presentation time and a clock reference, the first of every ``GROUP`` a random-access point;
+adaptation fields fill the last packet of a unit.
+
+described() keeps of each stream an array with the time, the offset in the payload and the random-access flag of every unit.
 
 stored() applies both to every text: a null text is an empty one; zero bytes are appended up to a positive multiple of 64. Equal
 texts give equal values; every row gives a row, also repeated ones; an empty table gives an empty result. Other columns are not read.
@@ -31,7 +33,7 @@ from quarry.llm.common import Out, rows_of, run, table
 PACKET, SYNC, PAT_PID, NULL_PID, PRIVATE_STREAM, PRIVATE_TYPE = 188, 0x47, 0, 0x1FFF, 0xBD, 0x06
 #: Free choices of this writer.
 PMT_PID, MEDIA_PID, PROGRAM, TICKS = 0x100, 0x101, 1, 3600
-UNIT = 32768
+UNIT, GROUP = 32768, 4
 
 
 def _crc_table() -> list[int]:
@@ -87,6 +89,7 @@ def write(payload: bytes, unit: int = UNIT) -> bytes:
         pes = b"\x00\x00\x01" + bytes([PRIVATE_STREAM]) + (len(piece) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(i * TICKS) + piece
         clock = (i * TICKS & 0x1FFFFFFFF).to_bytes(5, "big")
         clock = ((int.from_bytes(clock, "big") << 15) | 0x7E00).to_bytes(6, "big")
+        flags = 0x10 if i % GROUP else 0x50  # a clock reference; random access
         room = PACKET - 12  # the first packet's: 4 bytes of header, 8 of adaptation with the clock
         n = 1 + max(0, -(-(len(pes) - room) // (PACKET - 4)))
         frame = np.full((n, PACKET), 0xFF, np.uint8)
@@ -98,12 +101,12 @@ def write(payload: bytes, unit: int = UNIT) -> bytes:
         if n == 1:
             fill = room - len(pes)
             frame[0, 3] |= 0x20
-            frame[0, 4], frame[0, 5] = 7 + fill, 0x50
+            frame[0, 4], frame[0, 5] = 7 + fill, flags
             frame[0, 6:12] = np.frombuffer(clock, np.uint8)
             frame[0, 12 + fill :] = data
         else:
             frame[0, 3] |= 0x20
-            frame[0, 4], frame[0, 5] = 7, 0x50
+            frame[0, 4], frame[0, 5] = 7, flags
             frame[0, 6:12] = np.frombuffer(clock, np.uint8)
             frame[0, 12:] = data[:room]
             whole = (len(pes) - room) // (PACKET - 4)
@@ -139,17 +142,35 @@ class Stream:
         return b"".join(self.units)
 
 
-def _sections(data: bytes, table_id: int, found: Stream) -> Iterator[bytes]:
-    """The bodies of the sections with sound checksums in a table packet's payload."""
-    at = 1 + data[0] if data else 0
-    while at + 3 <= len(data) and data[at] != 0xFF:
-        end = at + 3 + ((data[at + 1] & 0x0F) << 8 | data[at + 2])
-        if end > len(data) or crc32_mpeg(data[at:end]):
-            found.table_errors += 1
-            return
-        if data[at] == table_id:
-            yield data[at + 8 : end - 4]
-        at = end
+def _sections(packets: Iterable[tuple[bool, bytes]], table_id: int, found: Stream) -> Iterator[bytes]:
+    """The bodies of the sections with sound checksums in a table's packets (whether a section starts there, payload), over packet ends."""
+    held: bytes | None = None
+
+    def whole(upto_start: bool) -> Iterator[bytes]:
+        nonlocal held
+        while held and held[0] != 0xFF:
+            end = 3 + ((held[1] & 0x0F) << 8 | held[2]) if len(held) >= 3 else 4096
+            if end > len(held) and not upto_start:
+                return
+            section, held = held[:end], held[end:]
+            if len(section) < end or crc32_mpeg(section):
+                found.table_errors += 1
+                break
+            if section[0] == table_id:
+                yield section[8:-4]
+        held = None
+
+    for starts, data in packets:
+        if starts and data:
+            if held is not None:
+                held += data[1 : 1 + data[0]]
+                yield from whole(True)
+            held = data[1 + data[0] :]
+        elif held is not None:
+            held += data
+        yield from whole(False)
+    if held is not None:
+        yield from whole(True)
 
 
 def parse(media: bytes, pid: int | None = None) -> Stream:
@@ -180,16 +201,6 @@ def parse(media: bytes, pid: int | None = None) -> Stream:
     begins = np.where(adapted, 5 + p[:, 4].astype(np.int32), 4)
     flags = np.where(adapted & (p[:, 4] > 0), p[:, 5], 0)
 
-    for i in np.flatnonzero((pids == PAT_PID) & filled):
-        for body in _sections(p[i, begins[i] :].tobytes(), 0, found):
-            found.programs |= {int.from_bytes(body[j : j + 2], "big"): int.from_bytes(body[j + 2 : j + 4], "big") & 0x1FFF for j in range(0, len(body), 4) if body[j : j + 2] != b"\0\0"}
-    for i in np.flatnonzero(np.isin(pids, list(found.programs.values())) & filled):
-        for body in _sections(p[i, begins[i] :].tobytes(), 2, found):
-            j = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF)
-            while j + 5 <= len(body):
-                found.streams[int.from_bytes(body[j + 1 : j + 3], "big") & 0x1FFF] = body[j]
-                j += 5 + (int.from_bytes(body[j + 3 : j + 5], "big") & 0xFFF)
-
     for x in np.unique(pids):
         if x != NULL_PID:
             mine = np.flatnonzero(pids == x)
@@ -202,6 +213,20 @@ def parse(media: bytes, pid: int | None = None) -> Stream:
                 filled[mine[1:][repeat]] = False
             found.continuity_errors += int(((counters[1:] != due) & ~repeat & (flags[mine[1:]] & 0x80 == 0)).sum())
 
+    def packets_of(wanted: list[int]) -> Iterator[list[tuple[bool, bytes]]]:
+        for x in wanted:
+            yield [(bool(p[i, 1] & 0x40), p[i, begins[i] :].tobytes()) for i in np.flatnonzero((pids == x) & filled & (begins < PACKET))]
+
+    for packets in packets_of([PAT_PID]):
+        for body in _sections(packets, 0, found):
+            found.programs |= {int.from_bytes(body[j : j + 2], "big"): int.from_bytes(body[j + 2 : j + 4], "big") & 0x1FFF for j in range(0, len(body) - 3, 4) if body[j : j + 2] != b"\0\0"}
+    for packets in packets_of(sorted(set(found.programs.values()))):
+        for body in _sections(packets, 2, found):
+            j = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF)
+            while j + 5 <= len(body):
+                found.streams[int.from_bytes(body[j + 1 : j + 3], "big") & 0x1FFF] = body[j]
+                j += 5 + (int.from_bytes(body[j + 3 : j + 5], "big") & 0xFFF)
+
     wanted = next(iter(found.streams), None) if pid is None else pid
     mine = np.flatnonzero((pids == wanted) & filled & (begins < PACKET)) if wanted is not None else []
     if len(mine):
@@ -224,7 +249,7 @@ def parse(media: bytes, pid: int | None = None) -> Stream:
     return found
 
 
-def feature(found: Stream, payload: bytes) -> str:
+def feature(found: Stream) -> str:
     """What a catalogue of streams keeps: packets, units, errors, first and last time, random-access points."""
     times = [t for t in found.times if t is not None]
     n = len(found.programs)
@@ -234,8 +259,18 @@ def feature(found: Stream, payload: bytes) -> str:
     )
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+def index_of(found: Stream) -> list[dict]:
+    """Time, offset in the payload and random-access flag of each unit."""
+    out, offset = [], 0
+    for unit, time, start in zip(found.units, found.times, found.random_access, strict=True):
+        out.append({"pts": time, "offset": offset, "random_access": start})
+        offset += len(unit)
+    return out
+
+
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units array<struct<pts:long,offset:long,random_access:boolean>>"
+_UNIT = pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("units", pa.list_(_UNIT))])
 _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
 
@@ -255,8 +290,8 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for doc_id, n, media in rows_of(batches):
         found = parse(media)
         payload = found.payload
-        row = (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(found, payload))
-        if out.add(row):
+        row = (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(found), index_of(found))
+        if out.add(row, 64 * len(found.units)):
             yield out.batch()
     if out.rows:
         yield out.batch()

@@ -233,6 +233,98 @@ def test_op5_spans(docs, none):
     assert op5.scan(none).count() == 0
 
 
+def plain_base_spans(text):
+    """Base spans by reading characters one by one."""
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    values = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out, i = [], 0
+    while i < len(text):
+        end = None
+        for name in names:
+            if text[i : i + len(name)].isascii() and text[i : i + len(name)].lower() == name:
+                for quoted in (1, 0):  # an optional mark is taken if the rest then fits
+                    j = i + len(name) + quoted
+                    if quoted and text[j - 1 : j] not in ("'", '"'):
+                        continue
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] in (":", "="):
+                        j += 1
+                        while text[j : j + 1] == " ":
+                            j += 1
+                        j += text[j : j + 1] in ("'", '"') and bool(text[j : j + 1])
+                        k = j
+                        while k < len(text) and text[k] in values:
+                            k += 1
+                        if k > j:
+                            end = (j, k)
+                            break
+                break
+        if end:
+            if end[1] - end[0] >= 6:
+                out.append((i, 0, end[1]))
+            i = end[1]
+        else:
+            i += 1
+    for kind, head, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(text):
+            k = i + len(head)
+            while text.startswith(head, i) and k < len(text) and text[k] in chars:
+                k += 1
+            if text.startswith(head, i) and k > i + len(head):
+                if k - i >= least:
+                    out.append((i, kind, k))
+                i = k
+            else:
+                i += 1
+    return sorted(out)
+
+
+def test_op5_base_spans_against_a_plain_reader(spark):
+    r = random.Random(5)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "apikey", "API_key", "'", '"', " ", "  ", ":", "=", "AKIA", "ABCDEFGH01234567", "0123456789abcdef", "abcdef", "é", "\n", "x+/_.=-9", "hunter2", "AKIAAKIA", "ſecret"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(4000)]
+    texts += [x["text"] or "" for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    assert sum(len(plain_base_spans(t)) for t in texts) > 500
+    for t in texts:
+        assert op5.base_spans(t) == plain_base_spans(t), t
+
+
+def test_op5_cost_is_that_of_the_best_of_all_segmentations():
+    turn = np.log10(5)
+    known, _ = op5.ranks()
+
+    def piece(s):  # the cheapest kind for a whole segment
+        kinds = [sum(map(op5._char_cost, s))]
+        if len(s) >= 3 and (w := op5._word_cost(s, known)) is not None:
+            kinds.append(w)
+        steps = [op5._step(a, b) for a, b in zip(s, s[1:])]
+        if len(s) >= 3 and all(steps):
+            kinds.append(np.log10(94) + turn + sum(0.1 if a == b else turn for a, b in zip(steps, steps[1:])))
+        for u in range(1, min(op5.REPEAT_UNIT, len(s) // 2) + 1):
+            if len(s) % u == 0 and len(s) >= 3 and s[:u] * (len(s) // u) == s:
+                unit = sum(map(op5._char_cost, s[:u]))
+                word = op5._word_cost(s[:u], known) if u >= 3 else None
+                kinds.append((unit if word is None else min(unit, word)) + np.log10(len(s) // u))
+        m = op5._DATE.match(s)
+        if m and m[1] == s:
+            kinds.append(np.log10(151) if len(s) == 4 else np.log10(151 * 366) + (np.log10(4) if len(s) > 8 else 0))
+        return min(kinds) + op5.SEGMENT
+
+    r = random.Random(7)
+    values = ["pass1999", "aaaaaaaa", "qwe12ab", "abcabcab", "P@ssword1", "2020-1-1", "lovelove", "asdfgfds", "xkeyx99"] + ["".join(r.choice("aqwsd12love!A") for _ in range(8)) for _ in range(60)]
+    for v in values:
+        best = min(sum(piece(v[a:b]) for a, b in zip((0, *cuts), (*cuts, len(v)))) for k in range(1 << (len(v) - 1)) for cuts in [tuple(i + 1 for i in range(len(v) - 1) if k >> i & 1)])
+        assert op5.guess_cost(v) == pytest.approx(best), v
+
+
+def test_op5_common_words_and_references_are_no_secrets(spark):
+    rows = [(i, f"password = {v} end") for i, v in enumerate(["production", "environment", "configuration", "${DB_PASSWORD}", "process.env.KEY", "$SECRET_NAME", "{{vault.key}}", "Xk8#q!9vZ2mB"])]
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in op5.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("guess" not in found[i] for i in range(7)) and "guess" in found[7]
+
+
 def test_op5_quoted_values_go_to_the_matching_quote():
     for text, value in (('password="ab,cd!ef#gh" x', "ab,cd!ef#gh"), ('password="Xk8#q!9v,rest" x', "Xk8#q!9v,rest"), ("pwd: 'Xk8<q;9v\"Z2' x", "Xk8<q;9v\"Z2"), ("pwd: Xk8#q!9vZ2,rest", "Xk8#q!9vZ2"), ('pwd: "Xk8#q!9vZ2,rest', "Xk8#q!9vZ2")):
         (span,) = op5.guessed_spans(text, 6.0)
@@ -348,7 +440,7 @@ def test_op7_round_trip(n):
     media = op7.write(payload)
     found = op7.parse(media)
     assert found.payload == payload and len(media) % op7.PACKET == 0 and not found.continuity_errors and not found.table_errors
-    assert found.times == [i * op7.TICKS for i in range(-(-n // op7.UNIT))] and all(found.random_access)
+    assert found.times == [i * op7.TICKS for i in range(-(-n // op7.UNIT))] and found.random_access == [i % op7.GROUP == 0 for i in range(-(-n // op7.UNIT))]
     assert found.programs == {op7.PROGRAM: op7.PMT_PID} and found.streams == {op7.MEDIA_PID: op7.PRIVATE_TYPE}
 
 
@@ -366,13 +458,33 @@ def test_op7_reads_damaged_streams():
     assert op7.parse(b"").packets == 0 and op7.parse(b"\x47" * 400).units == []
 
 
+def test_op7_tables_over_several_packets():
+    """A program map of 60 streams fills two packets and shares the second with the next table; a lost packet is an error, not a wrong stream."""
+    streams = [0x200 + i for i in range(60)]
+    body = (0xE000 | 0x200).to_bytes(2, "big") + b"\xf0\x00" + b"".join(b"\x1b" + (0xE000 | x).to_bytes(2, "big") + b"\xf0\x00" for x in streams)
+    section = op7._section(2, 1, body)
+    data = b"\x00" + section
+    first, rest = data[:184], data[184:]
+    packet = lambda start, counter, payload: bytes([0x47, (0x40 if start else 0) | op7.PMT_PID >> 8, op7.PMT_PID & 255, 0x10 | counter]) + payload + b"\xff" * (184 - len(payload))
+    again = bytes([len(rest)]) + rest + op7._section(2, 1, body[:4] + b"\x06" + (0xE000 | 0x300).to_bytes(2, "big") + b"\xf0\x00")
+    table = op7._TABLES[: op7.PACKET]
+    for tail, more in ((packet(False, 1, rest), []), (packet(True, 1, again), [0x300])):
+        found = op7.parse(table + packet(True, 0, first) + tail)
+        assert list(found.streams) == streams + more and not found.table_errors and not found.continuity_errors
+    lost = op7.parse(table + packet(True, 0, first))
+    assert not lost.streams and lost.table_errors == 1
+
+
 def test_op7_documents(docs, none):
     texts = Counter()
     for r in edge_rows():
         raw = (r[1] or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         texts[r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
-    found = Counter(tuple(r)[:5] for r in op7.described(op7.stored(docs)).collect())
+    rows = op7.described(op7.stored(docs)).collect()
+    for r in rows:
+        assert [(u["pts"], u["offset"], u["random_access"]) for u in r["units"]] == [(i * op7.TICKS, i * op7.UNIT, i % op7.GROUP == 0) for i in range(-(-r["payload_bytes"] // op7.UNIT))]
+    found = Counter(tuple(r)[:5] for r in rows)
     assert found == texts and op7.described(op7.stored(none)).count() == 0
 
 
