@@ -180,3 +180,20 @@ def _without_direction(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Links of all pairs, and what each vector reaches by them.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), fine AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM fine a JOIN fine b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT r, r AS o FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.o
+), low AS (
+  SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.o GROUP BY 1
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.r) AS n_links, low.component_id, v.vec_id IS NOT DISTINCT FROM low.component_id AS kept FROM v JOIN low USING (r)
+"""

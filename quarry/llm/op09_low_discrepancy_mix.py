@@ -36,7 +36,12 @@ def n_words(text: Column) -> Column:
 
 
 def text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+    """60 bits of an MD5, so that SQL elsewhere can follow; a null text is not an empty one."""
+    return short_hash(F.coalesce(F.concat(F.lit("t"), text), F.lit("")))
+
+
+def short_hash(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -91,7 +96,7 @@ def _quota(size: int, words: int, block: int) -> int:
 def mix(docs: DataFrame, block: int = 4096, buckets: int = 512, seed: int = 9) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, text_hash, source_size, target, taken."""
     sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), text_hash(F.col("text")).alias("text_hash"))
-    sized = checkpoint(sized.withColumn("shuffled", F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash")).withColumn("bucket", F.pmod(F.shiftright("shuffled", 20), F.lit(buckets))))
+    sized = checkpoint(sized.withColumn("shuffled", short_hash(F.concat_ws(":", F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "size", "text_hash"))).withColumn("bucket", F.pmod(F.shiftright("shuffled", 20), F.lit(buckets))))
     goals = checkpoint(targets(sized))
     laid = running_start(sized, ["source"], "bucket", [F.col(c) for c in ("shuffled", "doc_id", "text_hash", "size")], "size", "begin")
     laid = laid.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -121,3 +126,41 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+#: What the mix takes, in one statement. The order of slots shows in no column: every source has the ranks below its quota, whatever their slots.
+ORACLE = r"""
+WITH d AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce('t' || text, '')), 1, 15) AS BIGINT) AS h FROM documents
+), e AS (
+  SELECT *, CAST('0x' || substr(md5('9:' || coalesce(doc_id, -1) || ':' || size || ':' || h), 1, 15) AS BIGINT) AS shuffled FROM d
+), t AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1
+), n AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s, sum(source_size) OVER () * 1.5 AS total FROM t
+), w AS (
+  SELECT *, CAST([3, 1, 2][s % 3 + 1] AS DOUBLE) AS w, 2.0 * source_size AS cap FROM n
+), lv AS (
+  SELECT *, cap / w AS full_at, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), lvl AS (
+  SELECT arg_min(level, full_at) AS level FROM lv WHERE level <= full_at
+), g AS (
+  SELECT s, source, source_size, least(cap, coalesce((SELECT level FROM lvl) * w, cap)) AS target FROM lv
+), p AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS goal, (source_size + 4095) // 4096 AS blocks FROM g
+), q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN ((goal // source_size) * blocks) + ((goal % source_size + 4095) // 4096) ELSE 0 END AS quota FROM p
+), slots AS (
+  -- slots beyond a quota are left out, and lacking ones follow: every source has the ranks below its quota
+  SELECT q.*, r.rank, r.rank % q.blocks AS block FROM q, LATERAL (SELECT unnest(range(CAST(q.quota AS BIGINT))) AS rank) AS r
+), took AS (
+  SELECT s, block, block * 4096 AS first, least(4096, source_size - block * 4096, goal - (rank // blocks) * source_size - block * 4096) AS words FROM slots
+), laid AS (
+  SELECT e.*, q.s, q.source_size, q.target, coalesce(sum(size) OVER (PARTITION BY e.source ORDER BY (shuffled >> 20) % 512, shuffled, doc_id, h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin,
+    row_number() OVER () AS i FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, any_value(laid.source) AS source,
+  CAST(coalesce(sum(greatest(0, least(first + words, begin + size) - greatest(first, begin))) FILTER (size > 0 AND took.block IS NOT NULL), 0) AS BIGINT) AS taken
+FROM laid LEFT JOIN took ON took.s = laid.s AND took.block BETWEEN (begin // 4096) AND ((begin + size - 1) // 4096) GROUP BY i, doc_id
+"""
