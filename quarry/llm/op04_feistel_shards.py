@@ -4,7 +4,7 @@ Rows get the numbers 0 to n - 1; a keyed Feistel network over Z_a x Z_b (a * b >
 on until it falls below n. Shard and slot are the position modulo and divided by the number of shards, so shard sizes differ by one
 row at most, slots have no gaps, and both can be computed from the row number alone. Everything is DataFrame functions.
 
-Row numbers follow the row's key (doc_id, size, text_crc32, hash of the text), in the order of (bucket, key) for a bucket hashed from
+Row numbers follow the row's key (doc_id, size, text_crc32, 60 bits of the text's MD5), in the order of (bucket, key) for a bucket hashed from
 the key, so they do not depend on files, partitions or retries. Rows that are equal in the key are counted map-side first
 and numbered as one range; they may change places among themselves, which no column shows. A hot id, a null id or many equal rows
 therefore fall into no single task. Null texts have size 1 (no bytes, plus 1) and the checksum of the empty text. An
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, table
+from quarry.llm.common import checkpoint, short_hash, table
 
 ROUNDS = 6
 
@@ -37,7 +37,7 @@ def feistel(df: DataFrame, column: str, a: int, b: int, seed: int) -> DataFrame:
     df = df.withColumn("__l", F.expr(f"`{column}` div {b}")).withColumn("__r", F.pmod(column, F.lit(b)))
     for i in range(ROUNDS):
         side, other, size = ("__l", "__r", a) if i % 2 == 0 else ("__r", "__l", b)
-        df = df.withColumn(side, F.pmod(F.col(side) + F.pmod(F.xxhash64(F.lit(seed * ROUNDS + i), other), F.lit(size)), F.lit(size)))
+        df = df.withColumn(side, F.pmod(F.col(side) + F.pmod(short_hash(F.concat_ws(":", F.lit(seed * ROUNDS + i), other)), F.lit(size)), F.lit(size)))
     return df.withColumn(column, F.col("__l") * F.lit(b) + F.col("__r")).drop("__l", "__r")
 
 
@@ -53,7 +53,7 @@ def permute(df: DataFrame, column: str, n: int, seed: int) -> DataFrame:
 def shards(keys: DataFrame, n_shards: int = 16, seed: int = 1, buckets: int = 1024) -> DataFrame:
     """``keys`` with position, shard and slot, one row per row of keys; all its columns together are the key."""
     names = keys.columns
-    counted = checkpoint(keys.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(buckets))))
+    counted = checkpoint(keys.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.pmod(short_hash(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])), F.lit(buckets))))
     totals = counted.groupBy("__b").agg(F.sum("__n").alias("__t"))
     n = counted.agg(F.sum("__n")).first()[0] or 0
     # at most as many rows as buckets
@@ -66,7 +66,7 @@ def shards(keys: DataFrame, n_shards: int = 16, seed: int = 1, buckets: int = 10
 
 def key_columns(text: Column) -> list[Column]:
     whole = F.coalesce(text, F.lit(""))
-    return [(F.octet_length(whole).cast("long") + 1).alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"), F.xxhash64(whole).alias("__text")]
+    return [(F.octet_length(whole).cast("long") + 1).alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"), short_hash(whole).alias("__text")]
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, seed: int = 1) -> DataFrame:
@@ -76,3 +76,33 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, seed: int = 1) -> DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same permutation by recursion: a step is a round of the network, and a number that lies outside after six rounds walks on. The checksum folds the bytes.
+ORACLE = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), d AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS h,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS text_crc32
+  FROM documents, crc
+), m AS (
+  SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || text_crc32 || ':' || h), 1, 15) AS BIGINT) % 1024, doc_id NULLS FIRST, size, text_crc32, h) - 1 AS i FROM d
+), n AS (
+  SELECT count(*) AS n, greatest(1, CAST(floor(sqrt(greatest(0, count(*) - 1))) AS BIGINT) + 1) AS low FROM d
+), sides AS (
+  SELECT n, arg_min(a, ((a - n % a) % a) * 1000000000 + a) AS a FROM n, LATERAL (SELECT unnest(range(low, 4 * low + 1)) AS a) AS r GROUP BY n
+), ab AS (
+  SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM sides
+), walk AS (
+  SELECT i, i // b AS l, i % b AS r, 0 AS k FROM m, ab
+  UNION ALL
+  SELECT i, CASE WHEN k % 2 = 0 THEN (l + CAST('0x' || substr(md5((6 + k % 6) || ':' || r), 1, 15) AS BIGINT) % a) % a ELSE l END,
+    CASE WHEN k % 2 = 1 THEN (r + CAST('0x' || substr(md5((6 + k % 6) || ':' || l), 1, 15) AS BIGINT) % b) % b ELSE r END, k % 6 + 1
+  FROM walk, ab WHERE NOT (k = 6 AND l * b + r < n)
+), placed AS (
+  SELECT i, l * b + r AS position FROM walk, ab WHERE k = 6 AND l * b + r < n
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(position % 16 AS INTEGER) AS shard, CAST(position // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM m JOIN placed USING (i)
+"""

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, running_start, table, whole_rows
+from quarry.llm.common import checkpoint, running_start, short_hash, table, whole_rows
 
 WEIGHTS = (3, 1, 2)
 #: The golden ratio's fraction of 2^31, odd: k * GOLDEN modulo 2^31 visits every point once.
@@ -40,10 +40,6 @@ def text_hash(text: Column) -> Column:
     return short_hash(F.coalesce(F.concat(F.lit("t"), text), F.lit("")))
 
 
-def short_hash(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per source of ``sizes`` (source, size): s (its number), source, source_size, target."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
