@@ -308,3 +308,26 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: The exact join: all pairs that share a shingle, and what each row reaches by its links.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), common AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+), reach AS (
+  SELECT r, r AS o FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.o
+), low AS (
+  SELECT reach.r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.o GROUP BY 1
+), often AS (
+  SELECT a AS r, count(*) AS n FROM links GROUP BY 1
+)
+SELECT doc_id, class_id, CAST(coalesce(often.n, 0) AS BIGINT) AS n_links FROM d JOIN low USING (r) LEFT JOIN often USING (r)
+"""

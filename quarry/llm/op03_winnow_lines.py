@@ -144,3 +144,39 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "done.*")
+
+
+#: The same by all windows: the shortest runs with 50 words from each line on and back from each line; every later one goes.
+ORACLE = r"""
+WITH d AS (
+  SELECT DISTINCT coalesce(CAST(doc_id AS BIGINT), 9223372036854775807) AS doc, md5(text) AS key, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL
+), l AS (
+  SELECT doc, key, i - 1 AS pos, regexp_replace(x[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc, key, x, unnest(range(1, len(x) + 1)) AS i FROM d)
+), c AS (
+  SELECT *, len(regexp_extract_all(line, '\S+')) AS n, row_number() OVER (PARTITION BY doc, key ORDER BY pos) AS p FROM l WHERE line <> ''
+), u AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc, key ORDER BY p) AS upto FROM c
+), agg AS (
+  SELECT doc, key, list(line ORDER BY p) AS lines, list(pos ORDER BY p) AS ats, list(upto ORDER BY p) AS uptos, list(n ORDER BY p) AS ns FROM u GROUP BY 1, 2 HAVING max(upto) >= 50
+), w AS (
+  -- from a line on: the first end that has 50 words; back from a line: the last start that has
+  SELECT doc, key, p AS s, list_position(list_transform(uptos, lambda y: y - (uptos[p] - ns[p]) >= 50), true) AS e, lines, ats FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS p FROM agg)
+  UNION
+  SELECT doc, key, len(list_filter(range(1, p + 1), lambda q: uptos[p] - uptos[q] + ns[q] >= 50)) AS s, p AS e, lines, ats FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS p FROM agg)
+), h AS (
+  SELECT doc, key, ats[s] AS a, ats[e] AS b, md5(array_to_string(lines[s : e], chr(10))) AS hash FROM w WHERE s > 0 AND e > 0
+), f AS (
+  SELECT *, first_value({'doc': doc, 'key': key, 'a': a, 'b': b}) OVER (PARTITION BY hash ORDER BY doc, key, a, b) AS f FROM h
+), later AS (
+  SELECT DISTINCT doc, key, CASE WHEN f.doc = doc AND f.key = key THEN greatest(a, f.b + 1) ELSE a END AS a, b FROM f WHERE NOT (f.doc = doc AND f.key = key AND f.a = a)
+), gone AS (
+  SELECT DISTINCT doc, key, unnest(range(CAST(a AS BIGINT), CAST(b AS BIGINT) + 1)) AS pos FROM later WHERE a <= b
+), marked AS (
+  SELECT gone.*, lag(pos) OVER (PARTITION BY doc, key ORDER BY pos) IS DISTINCT FROM pos - 1 AS begins FROM gone
+), per AS (
+  SELECT doc, key, list(pos) AS ats, count(*) AS n_deleted, count(*) FILTER (begins) AS n_runs FROM marked GROUP BY 1, 2
+)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE WHEN ats IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda y, i: NOT list_contains(ats, i - 1)), chr(10)) END AS text,
+  CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs
+FROM documents LEFT JOIN per ON per.doc = coalesce(CAST(doc_id AS BIGINT), 9223372036854775807) AND per.key = md5(text)
+"""

@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_prefix_targets": op01_prefix_targets.ORACLE,
+    "op2_chosen_path_join": op02_chosen_path_join.ORACLE,
+    "op3_winnow_lines": op03_winnow_lines.ORACLE,
     "op4_feistel_shards": op04_feistel_shards.ORACLE,
     "op8_itq_neardup": op08_itq_neardup.ORACLE,
     "op9_low_discrepancy_mix": op09_low_discrepancy_mix.ORACLE,
