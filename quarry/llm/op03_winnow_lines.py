@@ -166,9 +166,9 @@ WITH d AS (
 ), h AS (
   SELECT doc, key, ats[s] AS a, ats[e] AS b, md5(array_to_string(lines[s : e], chr(10))) AS hash FROM w WHERE s > 0 AND e > 0
 ), f AS (
-  SELECT *, first_value({'doc': doc, 'key': key, 'a': a, 'b': b}) OVER (PARTITION BY hash ORDER BY doc, key, a, b) AS f FROM h
+  SELECT *, first_value({'doc': doc, 'key': key, 'a': a, 'b': b}) OVER (PARTITION BY hash ORDER BY doc, key, a, b) AS fst FROM h
 ), later AS (
-  SELECT DISTINCT doc, key, CASE WHEN f.doc = doc AND f.key = key THEN greatest(a, f.b + 1) ELSE a END AS a, b FROM f WHERE NOT (f.doc = doc AND f.key = key AND f.a = a)
+  SELECT DISTINCT doc, key, CASE WHEN fst.doc = doc AND fst.key = key THEN greatest(a, fst.b + 1) ELSE a END AS a, b FROM f WHERE NOT (fst.doc = doc AND fst.key = key AND fst.a = a)
 ), gone AS (
   SELECT DISTINCT doc, key, unnest(range(CAST(a AS BIGINT), CAST(b AS BIGINT) + 1)) AS pos FROM later WHERE a <= b
 ), marked AS (
