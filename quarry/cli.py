@@ -57,9 +57,9 @@ def run(spark: SparkSession, o: argparse.Namespace) -> dict:
     if o.analysis == "wrapper":
         return {"wrappers": analyses.wrappers(tree, changes).orderBy("file", "start_line")}
     if o.analysis == "coupling":
-        return analyses.coupled(tree)
+        return analyses.coupled(tree, sources.go_module(o.path))
     if o.analysis == "context-span":
-        return {"modules": analyses.context_spans(tree, o.entry_glob)}
+        return {"modules": analyses.context_spans(tree, o.entry_glob, sources.go_module(o.path))}
     if o.analysis == "function-graph":
         nodes, edges, summary = analyses.call_graph(tree, **tests)
         return {"schema_version": 1, "summary": summary, "nodes": nodes, "edges": edges}

@@ -83,8 +83,8 @@ def call_graph(files: DataFrame, **tests: bool) -> tuple[DataFrame, DataFrame, D
     return callgraph.degrees(nodes, edges).orderBy("file", "start_line", "name"), callgraph.ordered(edges), callgraph.summary(nodes, edges)
 
 
-def module_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, modules): imports resolved to the tree's own modules by their longest known prefix."""
+def module_edges(files: DataFrame, go_module: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, modules): imports resolved to the tree's own modules by their longest known prefix. ``go_module``: the import path of a Go tree's root."""
     modules = files.select(F.col("module").alias("path"), "file")
     found = extract(files, "imports").withColumn("key", F.monotonically_increasing_id())
     found = found.withColumn("name", F.explode_outer("names"))
@@ -102,9 +102,12 @@ def module_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     lang = paths.language(F.col("file"))
     whole = F.when(lang == "python", python).when(lang == "typescript", F.when(head.isin(".", ".."), ts)).when(lang == "rust", rust).otherwise(F.col("segments"))
     refs = checkpoint(found.withColumn("segments", F.filter(whole, lambda s: s.isNotNull() & (s != ""))).withColumn("key", F.xxhash64("key", "name")))
-    # a Go import names a folder below the module's own path, so its longest known suffix counts
-    go = refs.where(lang == "go").withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("segments"), F.lit(1))), lambda i: F.array_join(F.slice("segments", i, F.size("segments")), "::"))))
-    go = go.join(modules.select(F.col("path").alias("suffix")).distinct(), "suffix").groupBy("key").agg(F.max_by("suffix", F.length("suffix")).alias("module"), F.first("name").alias("symbol"))
+    # a Go import is the tree's own if it lies below the tree's import path, and then names a folder
+    above = F.array(*map(F.lit, go_module.split("/"))) if go_module else None
+    inside = F.lit(False) if above is None else F.slice("segments", 1, F.size(above)) == above
+    rest = F.lit("") if above is None else F.array_join(F.slice("segments", F.size(above) + 1, F.size("segments")), "::")
+    go = refs.where((lang == "go") & inside).select("key", F.col("name").alias("symbol"), rest.alias("module")).join(modules.select(F.col("path").alias("module")).distinct(), "module")
+    go = go.select("key", "module", "symbol")
     hit = imports.longest_prefix(refs.where(lang != "go").select("key", "segments"), modules.select(F.col("path").alias("module")), "key")
     resolved = hit.unionByName(go).withColumnRenamed("module", "to")
     kind = F.when(F.col("kind").isin(*coupling.KINDS), F.col("kind")).otherwise("use")
@@ -112,14 +115,14 @@ def module_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checkpoint(coupling.normalised(edges)), modules
 
 
-def coupled(files: DataFrame) -> dict[str, DataFrame]:
-    edges, modules = module_edges(files)
+def coupled(files: DataFrame, go_module: str | None = None) -> dict[str, DataFrame]:
+    edges, modules = module_edges(files, go_module)
     return {"modules": coupling.ranked(coupling.module_metrics(edges, modules)), "edges": coupling.ordered(edges), "pairs": coupling.pairs(edges).orderBy(F.desc("shared_symbols"), "a", "b"), "cycles": coupling.cycles(edges).orderBy(F.desc("size"), "members")}
 
 
-def entered(files: DataFrame, entries: list[str]) -> DataFrame:
+def entered(files: DataFrame, entries: list[str], go_module: str | None = None) -> DataFrame:
     """The files that imports reach from files matching the globs. No match is an error."""
-    edges, modules = module_edges(files)
+    edges, modules = module_edges(files, go_module)
     starts = modules.where(paths.excluded(F.col("file"), entries)).select(F.col("path").alias("node")).distinct()
     if starts.isEmpty():
         raise ValueError(f"no file matches {entries}")
@@ -127,7 +130,7 @@ def entered(files: DataFrame, entries: list[str]) -> DataFrame:
     return files.join(reached.withColumnRenamed("node", "module"), "module", "left_semi").select(*files.columns)
 
 
-def context_spans(files: DataFrame, entries: list[str] | None = None) -> DataFrame:
+def context_spans(files: DataFrame, entries: list[str] | None = None, go_module: str | None = None) -> DataFrame:
     """With entry globs, of the modules that imports reach from them only."""
-    edges, modules = module_edges(entered(files, entries) if entries else files)
+    edges, modules = module_edges(entered(files, entries, go_module) if entries else files, go_module)
     return coupling.context_spans(edges, modules).orderBy(F.desc("transitive"), F.desc("files"), F.desc("direct"), "path")

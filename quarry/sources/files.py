@@ -130,12 +130,12 @@ def package_name(path: str) -> str:
 
 
 def go_module(path: str) -> str | None:
-    """The module that the nearest ``go.mod`` names."""
-    start = Path(path).resolve()
+    """The import path of a folder: the module that the nearest ``go.mod`` above it names, and the way down from there."""
+    start = Path(path).resolve() if os.path.isdir(path) else Path(path).resolve().parent
     for folder in [start, *start.parents]:
         if (file := folder / "go.mod").is_file():
             for line in file.read_text(errors="replace").splitlines():
                 words = line.partition("//")[0].split()
                 if len(words) == 2 and words[0] == "module":
-                    return words[1].strip('"`')
+                    return "/".join([words[1].strip('"`'), *start.relative_to(folder).parts])
     return None

@@ -5,15 +5,18 @@ Events are JSON lines. Each event is handled once and alone; there is no state,
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import patch_paths
-from quarry.operators import cohesion, complexity, hotspot
+from quarry.operators import cohesion, complexity, hotspot, similarity
+from quarry.operators.graph import checkpoint
 from quarry.plans import analyses
 from quarry.sources import files as sources
+from quarry.sources import git
 
 EVENT = "hook_event_name string, session_id string, transcript_path string, cwd string, model string, turn_id string, tool_name string, tool_input string, tool_response string, prompt string, stop_hook_active boolean, source string"
 #: Events, those that are handled, and tools that edit files.
@@ -52,9 +55,18 @@ def before_edit(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def after_edit(files: DataFrame) -> dict[str, DataFrame]:
-    """Near-duplicate functions and thin wrappers in the files."""
-    _, pairs, clusters = analyses.similar(files, min_lines=1)
-    return {"similarity": clusters, "wrappers": analyses.wrappers(files)}
+    """Near-duplicate functions within each file and thin wrappers in the files."""
+    return {"similarity": similar_within(files), "wrappers": analyses.wrappers(files)}
+
+
+def similar_within(files: DataFrame, opts: similarity.Options = similarity.Options(body_weight=1.0, bands=32)) -> DataFrame:
+    """Clusters (members: idx) of near-duplicate functions of one file: whole trees of any length, without signatures."""
+    found = analyses.functions(files)
+    idx = F.row_number().over(Window.orderBy("file", "start_line", "name")).cast("long") - 1  # the functions of a few edited files
+    numbered = checkpoint(found.withColumn("idx", idx))
+    home = numbered.select("idx", "file")
+    pairs = similarity.similar_pairs(numbered, opts).join(home.select(F.col("idx").alias("i"), F.col("file").alias("fi")), "i").join(home.select(F.col("idx").alias("j"), F.col("file").alias("fj")), "j")
+    return similarity.ranked(similarity.clusters(checkpoint(pairs.where("fi = fj").drop("fi", "fj")), opts.threshold))
 
 
 def session_start(files: DataFrame, churn: DataFrame | None = None, top: int = 5) -> dict[str, DataFrame]:
@@ -64,26 +76,34 @@ def session_start(files: DataFrame, churn: DataFrame | None = None, top: int = 5
     return hot | {"modules": found["modules"].where("ifc > 0").limit(top), "pairs": found["pairs"].limit(top)}
 
 
-def answer(event: str, message: str) -> dict:
-    """What an event's process would print; nothing to say is an empty object."""
+def answer(event: str, message: str, agent: str = "claude_code") -> dict:
+    """What an event's process would print; nothing to say is an empty object. ``agent``: claude_code or codex."""
     if not message:
         return {}
-    return {"hookSpecificOutput": {"hookEventName": event, "additionalContext": message}} if event == "SessionStart" else {"systemMessage": message}
+    inside = event == "SessionStart" or agent == "codex" and event == "PostToolUse"
+    return {"hookSpecificOutput": {"hookEventName": event, "additionalContext": message}} if inside else {"systemMessage": message}
 
 
 def handle(spark: SparkSession, sink: Callable[[str, str, dict[str, DataFrame]], None]) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch: for each event kind, the batch's files are read and analysed together.
+    """A function for foreachBatch: for each event kind, the batch's files are read and analysed together, and the tree of each session that starts.
 
-    ``sink`` gets the event kind, the batch's number and the results. Files that are gone or of other languages are skipped."""
+    ``sink`` gets the event kind, the batch's number and the results. Files and trees that are gone and files of other languages are skipped."""
 
     def batch(lines: DataFrame, number: int) -> None:
-        paths = edited_paths(parsed(lines)).persist()
+        events = parsed(lines).persist()
+        for row in events.where("valid and hook_event_name = 'SessionStart'").select("cwd").distinct().collect():  # sessions that start in a batch
+            if os.path.isdir(row["cwd"]):
+                tree = sources.read_tree(spark, row["cwd"])
+                if not tree.isEmpty():
+                    sink("SessionStart", str(number), session_start(tree, git.churn(spark, row["cwd"]) if git.root(row["cwd"]) else None))
+        paths = edited_paths(events).persist()
         for event, analysis in (("PreToolUse", before_edit), ("PostToolUse", after_edit)):
             wanted = paths.where(F.col("hook_event_name") == event).select(F.col("path").alias("file"), F.col("path").alias("display_path")).distinct()
             files = sources.described(wanted.mapInPandas(sources._read, sources.SCHEMA + ", source string").drop("display_path")).where("source is not null")
             if not files.isEmpty():
                 sink(event, str(number), analysis(files))
         paths.unpersist()
+        events.unpersist()
 
     return batch
 

@@ -151,6 +151,33 @@ def test_unreadable_texts_are_listed(spark, tree):
     assert extract(found, "units").where(F.col("file") == "pkg/broken.py").count() == 0
 
 
+def test_go_imports_below_the_module_only(spark, tmp_path):
+    for path, text in {"go.mod": "module example.org/app\n\ngo 1.22\n", "main.go": 'package main\nimport (\n "example.org/app/util"\n "other.net/x/util"\n "example.org/app/missing"\n)\nfunc main() { util.Run() }\n', "util/run.go": "package util\nfunc Run() {}\n", "sub/a.go": 'package sub\nimport "other.net/x/util"\nfunc A() { util.Run() }\n'}.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    assert files.go_module(str(tmp_path / "sub")) == "example.org/app/sub"
+    parts = cli.run(spark, cli.arguments(["coupling", str(tmp_path)]))
+    assert {(r["from"], r["to"]) for r in parts["edges"].collect()} == {("", "util")}
+
+
+def test_duplicates_within_edited_files(spark):
+    one = "def {n}(xs):\n    total = 0\n    for x in xs:\n        total += x\n    return total\n\n"
+    texts = {"a.py": one.format(n="f") + one.format(n="g"), "b.py": one.format(n="h"), "c.py": "def short():\n    return 1\n"}
+    found = files.described(spark.createDataFrame(list(texts.items()), "file string, source string"))
+    assert [r["members"] for r in hooks.similar_within(found).collect()] == [[0, 1]]
+
+
+def test_sessions_that_start(spark, tree, tmp_path):
+    folder = tmp_path / "starts"
+    folder.mkdir()
+    base = {"hook_event_name": "SessionStart", "session_id": "s", "transcript_path": "t"}
+    (folder / "1.json").write_text("\n".join(json.dumps(base | {"cwd": c}) for c in (str(tree), "/no/such/folder")) + "\n")
+    seen = []
+    hooks.listen(spark, str(folder), str(tmp_path / "starts-check"), lambda event, n, found: seen.append((event, sorted(found)))).awaitTermination()
+    assert seen == [("SessionStart", ["modules", "pairs"])]
+    assert "additionalContext" in hooks.answer("PostToolUse", "x", "codex")["hookSpecificOutput"] and hooks.answer("PostToolUse", "x") == {"systemMessage": "x"}
+
+
 def test_rust_coupling_and_entries(spark):
     texts = {
         "lib.rs": "pub mod a;\npub mod b;\n", "a.rs": "pub struct Foo;\npub trait Show {}\npub fn helper() {}\n",
