@@ -141,22 +141,27 @@ def child_sizes(sizes: Column) -> Column:
     return found
 
 
-def with_bounds(pairs: DataFrame, opts: Options, full: bool = True) -> DataFrame:
-    """``pairs`` (with trees a and b) that may reach the body threshold: by size, and if ``full`` by labels, root arity and shingles."""
+def bounds(opts: Options, full: bool = True) -> list[tuple[str, Column]]:
+    """(name, whether trees a and b may reach the body threshold), in the order of their costs: by size, and if ``full`` by labels, root arity and shingles."""
     size_a, size_b = F.size("a.labels"), F.size("b.labels")
-    out = pairs.where(_upper(size_a, size_b, F.lit(0.0), opts.size_penalty) >= opts.body_threshold)
+    may = lambda distance: _upper(size_a, size_b, distance, opts.size_penalty) >= opts.body_threshold
     if not full:
-        return out
+        return [("size", may(F.lit(0.0)))]
     label = multiset_distance(F.col("a.labels"), F.col("b.labels")) * min(opts.delete, opts.insert, opts.rename / 2)
-    out = out.where(_upper(size_a, size_b, label, opts.size_penalty) >= opts.body_threshold)
-    out = out.withColumn("__ca", F.sort_array(child_sizes(F.col("a.sizes")))).withColumn("__cb", F.sort_array(child_sizes(F.col("b.sizes"))))
-    extra = F.size("__ca") - F.size("__cb")
+    children_a, children_b = F.sort_array(child_sizes(F.col("a.sizes"))), F.sort_array(child_sizes(F.col("b.sizes")))
+    extra = F.size(children_a) - F.size(children_b)
     smallest = lambda c, n: F.aggregate(F.slice(c, 1, F.greatest(n, F.lit(0))), F.lit(0), lambda s, v: s + v)
-    arity = F.when(extra > 0, smallest(F.col("__ca"), extra) * opts.delete).otherwise(smallest(F.col("__cb"), -extra) * opts.insert)
-    out = out.where(_upper(size_a, size_b, arity, opts.size_penalty) >= opts.body_threshold).drop("__ca", "__cb")
+    arity = F.when(extra > 0, smallest(children_a, extra) * opts.delete).otherwise(smallest(children_b, -extra) * opts.insert)
     runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 2, F.lit(1))), lambda i: F.array_join(F.slice(c, i, 3), "\x1f"))
     shingle = multiset_distance(runs(F.col("a.labels")), runs(F.col("b.labels"))) * min(opts.rename, opts.insert, opts.delete) / 6
-    return out.where(_upper(size_a, size_b, shingle, opts.size_penalty) >= opts.body_threshold)
+    return [("size", may(F.lit(0.0))), ("label", may(label)), ("arity", may(arity)), ("shingle", may(shingle))]
+
+
+def with_bounds(pairs: DataFrame, opts: Options, full: bool = True) -> DataFrame:
+    """``pairs`` (with trees a and b) that no bound rules out."""
+    for _, may in bounds(opts, full):
+        pairs = pairs.where(may)
+    return pairs
 
 
 # tree distance
@@ -248,13 +253,24 @@ def body_similarity(opts: Options) -> F.Column:
 # signatures and scores
 
 
+def identifier_overlap(a: Column, b: Column) -> Column:
+    """Of the words of the functions' names and their parameters' names; null if a signature is missing."""
+    words = lambda s: F.array_union(s["name_tokens"], s["parameter_names"])
+    return F.when(a.isNotNull() & b.isNotNull(), jaccard(words(a), words(b)))
+
+
+def type_overlap(a: Column, b: Column) -> Column:
+    """Of the types of parameters and results; null if a signature is missing."""
+    types = lambda s: F.array_union(s["parameter_type_paths"], s["return_type_paths"])
+    return F.when(a.isNotNull() & b.isNotNull(), jaccard(types(a), types(b)))
+
+
 def signature_similarity(a: Column, b: Column) -> Column:
     """Of two signatures; null if either is missing."""
-    types = lambda s: F.array_union(s["parameter_type_paths"], s["return_type_paths"])
     same_receiver = F.when(a["receiver"].eqNullSafe(b["receiver"]), 1.0).otherwise(0.0)
     score = (
-        0.25 * jaccard(a["name_tokens"], b["name_tokens"]) + 0.10 * count_similarity(a["parameter_count"], b["parameter_count"]) + 0.05 * jaccard(a["parameter_names"], b["parameter_names"])
-        + 0.45 * jaccard(types(a), types(b)) + 0.10 * jaccard(a["generics"], b["generics"]) + 0.05 * same_receiver
+        0.25 * identifier_overlap(a, b) + 0.10 * count_similarity(a["parameter_count"], b["parameter_count"]) + 0.05 * jaccard(a["parameter_names"], b["parameter_names"])
+        + 0.45 * type_overlap(a, b) + 0.10 * jaccard(a["generics"], b["generics"]) + 0.05 * same_receiver
     )
     return F.when(a.isNotNull() & b.isNotNull(), score)
 
@@ -263,11 +279,8 @@ def blended(body: Column, signature: Column, opts: Options) -> Column:
     return opts.body_weight * body + (1 - opts.body_weight) * F.coalesce(signature, F.lit(1.0))
 
 
-def similar_pairs(functions: DataFrame, opts: Options = Options()) -> DataFrame:
-    """i, j, similarity, body_similarity, signature_similarity of the pairs that reach the threshold. ``functions``: idx, tree, signature, is_test.
-
-    Tests are compared with tests only."""
-    few = functions.count() < opts.all_pairs_below
+def compared(functions: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame]:
+    """Candidates of one test class (i, j, tree keys a and b, signatures sa and sb), and each pair of different trees among them once (ka, kb, a, b)."""
     keyed = functions.withColumn("__tree", F.md5(F.concat_ws("\x1e", F.array_join("tree.labels", "\x1f"), F.array_join(F.transform("tree.sizes", lambda n: n.cast("string")), ","))))
     side = lambda i, t: keyed.select(F.col("idx").alias(i), F.col("__tree").alias(t), F.col("signature").alias(f"s{t}"), F.col("is_test").alias(f"t{t}"))
     both = checkpoint(candidate_pairs(functions, opts).join(side("i", "a"), "i").join(side("j", "b"), "j").where("ta = tb"))
@@ -275,12 +288,37 @@ def similar_pairs(functions: DataFrame, opts: Options = Options()) -> DataFrame:
     trees = keyed.select("__tree", "tree").dropDuplicates(["__tree"])
     different = both.where("a <> b").select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct()
     different = different.join(trees.select(F.col("__tree").alias("ka"), F.col("tree").alias("a")), "ka").join(trees.select(F.col("__tree").alias("kb"), F.col("tree").alias("b")), "kb")
+    return both, different
+
+
+def similar_pairs(functions: DataFrame, opts: Options = Options()) -> DataFrame:
+    """i, j, similarity, body_similarity, signature_similarity, type_overlap, identifier_overlap of the pairs that reach the threshold. ``functions``: idx, tree, signature, is_test.
+
+    Tests are compared with tests only."""
+    few = functions.count() < opts.all_pairs_below
+    both, different = compared(functions, opts)
     bodies = with_bounds(different, opts, full=few).select("ka", "kb", body_similarity(opts).alias("scored"))
     scored = both.join(bodies, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left").withColumn("body_similarity", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("scored")))
     scored = scored.where(F.col("body_similarity") >= opts.body_threshold)
     scored = scored.withColumn("signature_similarity", signature_similarity(F.col("sa"), F.col("sb")))
     scored = scored.withColumn("similarity", blended(F.col("body_similarity"), F.col("signature_similarity"), opts))
-    return scored.where(F.col("similarity") >= opts.threshold).select("i", "j", "similarity", "body_similarity", "signature_similarity")
+    overlaps = [type_overlap(F.col("sa"), F.col("sb")).alias("type_overlap"), identifier_overlap(F.col("sa"), F.col("sb")).alias("identifier_overlap")]
+    return scored.where(F.col("similarity") >= opts.threshold).select("i", "j", "similarity", "body_similarity", "signature_similarity", *overlaps)
+
+
+def statistics(functions: DataFrame, opts: Options = Options()) -> DataFrame:
+    """One row: candidate_pairs, exact_pairs (equal trees), those that each bound rules out first (size_, label_, arity_, shingle_pairs) and scored_pairs.
+
+    Bounds are those that ``similar_pairs`` uses at this number of functions; others are 0. Pairs of trees are judged once and counted by their functions."""
+    few = functions.count() < opts.all_pairs_below
+    both, different = compared(functions, opts)
+    fate = F.lit("scored")
+    for name, may in reversed(bounds(opts, few)):
+        fate = F.when(~may, name).otherwise(fate)
+    known = different.select("ka", "kb", fate.alias("fate"))
+    weighted = both.groupBy(F.col("a").alias("ka"), F.col("b").alias("kb")).agg(F.count(F.lit(1)).alias("n")).join(known, ["ka", "kb"], "left")
+    of = lambda name: F.coalesce(F.sum(F.when(F.coalesce("fate", F.lit("exact")) == name, F.col("n"))), F.lit(0)).alias(f"{name}_pairs")
+    return weighted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidate_pairs"), *map(of, ("exact", "size", "label", "arity", "shingle", "scored")))
 
 
 # clusters

@@ -67,7 +67,7 @@ def similar(files: DataFrame, opts: similarity.Options = similarity.Options(), m
     if changes is not None:
         touched = diff.touched(numbered.select("idx", "file", "start_line", "end_line"), changes).select("idx")
         left, right = touched.select(F.col("idx").alias("i"), F.lit(True).alias("ti")), touched.select(F.col("idx").alias("j"), F.lit(True).alias("tj"))
-        pairs = pairs.join(left, "i", "left").join(right, "j", "left").where("ti or tj").select("i", "j", "similarity", "body_similarity", "signature_similarity")
+        pairs = pairs.join(left, "i", "left").join(right, "j", "left").where("ti or tj").drop("ti", "tj")
     pairs = checkpoint(pairs)
     return numbered, pairs, similarity.ranked(similarity.clusters(pairs, opts.threshold))
 
@@ -83,9 +83,56 @@ def call_graph(files: DataFrame, **tests: bool) -> tuple[DataFrame, DataFrame, D
     return callgraph.degrees(nodes, edges).orderBy("file", "start_line", "name"), callgraph.ordered(edges), callgraph.summary(nodes, edges)
 
 
-def module_edges(files: DataFrame, go_module: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(edges, modules): imports resolved to the tree's own modules by their longest known prefix. ``go_module``: the import path of a Go tree's root."""
+#: What a TypeScript import without an extension may stand for, in this order.
+TS_EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")
+
+
+def ts_candidates(file: F.Column, segments: F.Column) -> F.Column:
+    """The files that a relative import may mean: itself if it has an extension, else with each extension, else the folder's index."""
+    folder = F.slice(F.split(file, "/"), F.lit(1), F.size(F.split(file, "/")) - 1)
+    steps = F.filter(F.split(F.regexp_replace(F.array_join(segments, "/"), "[?#].*$", ""), "/"), lambda s: ~s.isin("", "."))
+    ups = F.size(F.filter(steps, lambda s: s == ".."))
+    path = F.concat(F.slice(folder, F.lit(1), F.greatest(F.size(folder) - ups, F.lit(0))), F.filter(steps, lambda s: s != ".."))
+    joined = F.array_join(path, "/")
+    probes = F.array(*[F.concat(joined, F.lit(f".{e}")) for e in TS_EXTENSIONS], *[F.concat_ws("/", F.nullif(joined, F.lit("")), F.lit(f"index.{e}")) for e in TS_EXTENSIONS])
+    return F.when(ups <= F.size(folder), F.when(F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit("")).rlike(r"^.+\."), F.array(joined)).otherwise(probes))
+
+
+def rust_modules(files: DataFrame, root: str, crate: str = "crate") -> DataFrame:
+    """(module, file, inline) of the modules that a crate's root file declares, its own among them: ``mod x;`` is ``x.rs`` or else ``x/mod.rs``.
+
+    A round follows the declarations of the files found in the round before, so there are as many as modules are nested. A missing file is an error."""
+    own = files.where("lang = 'rust'")
+    mods = checkpoint(extract(own, "mods"))
+    listed = own.select(F.col("file").alias("path"))
+    front = known = checkpoint(own.where(F.col("file") == root).select(F.lit(crate).alias("module"), "file", F.lit(False).alias("inline")))
+    if front.isEmpty():
+        raise ValueError(f"no root file {root}")
+    while not front.isEmpty():
+        said = front.drop("inline").join(mods, "file").select(F.concat_ws("::", "module", "parent", "name").alias("child"), "module", "file", "name", "inline")
+        home = F.nullif(F.regexp_replace(F.regexp_replace("file", r"(^|/)(lib|main|mod)\.rs$", ""), r"\.rs$", ""), F.lit(""))
+        asked = said.where("not inline").select("child", F.concat_ws(" in ", "name", "file").alias("said"), F.array(F.concat_ws("/", home, F.concat("name", F.lit(".rs"))), F.concat_ws("/", home, F.concat("name", F.lit("/mod.rs")))).alias("candidates"))
+        hit = imports.first_probe(asked, listed, "child")
+        if lost := asked.join(hit, "child", "left_anti").select("said").first():
+            raise ValueError(f"no file for module {lost['said']}")
+        inside = said.where("inline").select(F.col("child").alias("module"), "file", "inline").distinct()
+        front = checkpoint(hit.select(F.col("child").alias("module"), F.col("path").alias("file"), F.lit(False).alias("inline")).join(known.select("file"), "file", "left_anti").select("module", "file", "inline"))
+        known = checkpoint(known.unionByName(inside).unionByName(front))
+    return known
+
+
+def rust_crate(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(files of the crate under their modules' names, its inline modules: path, file). References from an inline module count as its file's."""
+    found = rust_modules(files, root)
+    return files.drop("module").join(found.where("not inline").select("file", "module"), "file").select(*files.columns), found.where("inline").select(F.col("module").alias("path"), "file")
+
+
+def module_edges(files: DataFrame, go_module: str | None = None, inline: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, modules): imports resolved to the tree's own modules by their longest known prefix, those of TypeScript by the files that they may mean.
+
+    ``go_module``: the import path of a Go tree's root; ``inline``: further modules (path, file)."""
     modules = files.select(F.col("module").alias("path"), "file")
+    modules = modules if inline is None else modules.unionByName(inline)
     found = extract(files, "imports").withColumn("key", F.monotonically_increasing_id())
     found = found.withColumn("name", F.explode_outer("names"))
     home = F.split("module", "::")
@@ -94,13 +141,10 @@ def module_edges(files: DataFrame, go_module: str | None = None) -> tuple[DataFr
     package = F.slice(home, 1, F.greatest(F.size(home) - up, F.lit(0)))
     python = F.when(F.col("level") > 0, F.concat(package, "segments")).otherwise(F.col("segments"))
     python = F.when(F.col("kind") == "from", F.concat(python, F.array("name"))).otherwise(python)
-    steps = F.filter("segments", lambda s: s != ".")
-    ups = F.size(F.filter(steps, lambda s: s == ".."))
-    ts = F.concat(F.slice(home, 1, F.greatest(F.size(home) - 1 - ups, F.lit(0))), F.transform(F.filter(steps, lambda s: s != ".."), lambda s: F.regexp_replace(s, r"\.[cm]?[jt]sx?$", "")), F.array("name"))
     head = F.element_at("segments", 1)
-    rust = F.when(head == "self", F.concat(home, F.slice("segments", 2, F.size("segments")))).when(head == "super", F.concat(F.slice(home, 1, F.greatest(F.size(home) - 1, F.lit(1))), F.slice("segments", 2, F.size("segments")))).otherwise(F.col("segments"))
+    rust = F.when(head == "self", F.concat(home, F.slice("segments", 2, F.size("segments")))).when(head == "super", F.concat(F.slice(home, 1, F.greatest(F.size(home) - 1, F.lit(1))), F.slice("segments", 2, F.size("segments")))).when(head == "crate", F.concat(F.slice(home, 1, 1), F.slice("segments", 2, F.size("segments")))).otherwise(F.col("segments"))
     lang = paths.language(F.col("file"))
-    whole = F.when(lang == "python", python).when(lang == "typescript", F.when(head.isin(".", ".."), ts)).when(lang == "rust", rust).otherwise(F.col("segments"))
+    whole = F.when(lang == "python", python).when(lang == "typescript", F.when(head.isin(".", "..") & (F.size("segments") > 1), F.col("segments"))).when(lang == "rust", rust).otherwise(F.col("segments"))
     refs = checkpoint(found.withColumn("segments", F.filter(whole, lambda s: s.isNotNull() & (s != ""))).withColumn("key", F.xxhash64("key", "name")))
     # a Go import is the tree's own if it lies below the tree's import path, and then names a folder
     above = F.array(*map(F.lit, go_module.split("/"))) if go_module else None
@@ -108,15 +152,19 @@ def module_edges(files: DataFrame, go_module: str | None = None) -> tuple[DataFr
     rest = F.lit("") if above is None else F.array_join(F.slice("segments", F.size(above) + 1, F.size("segments")), "::")
     go = refs.where((lang == "go") & inside).select("key", F.col("name").alias("symbol"), rest.alias("module")).join(modules.select(F.col("path").alias("module")).distinct(), "module")
     go = go.select("key", "module", "symbol")
-    hit = imports.longest_prefix(refs.where(lang != "go").select("key", "segments"), modules.select(F.col("path").alias("module")), "key")
-    resolved = hit.unionByName(go).withColumnRenamed("module", "to")
+    # a TypeScript import is the first file there is among those that it may mean
+    ts = refs.where((lang == "typescript") & (F.size("segments") > 0))
+    probed = imports.first_probe(ts.select("key", ts_candidates(F.col("file"), F.col("segments")).alias("candidates")), files.select(F.col("file").alias("path")), "key")
+    probed = probed.join(modules.select(F.col("file").alias("path"), F.col("path").alias("module")), "path").join(ts.select("key", F.coalesce("name", F.lit("*")).alias("symbol")), "key").select("key", "module", "symbol")
+    hit = imports.longest_prefix(refs.where(~lang.isin("go", "typescript")).select("key", "segments"), modules.select(F.col("path").alias("module")), "key")
+    resolved = hit.unionByName(go).unionByName(probed).withColumnRenamed("module", "to")
     kind = F.when(F.col("kind").isin(*coupling.KINDS), F.col("kind")).otherwise("use")
     edges = refs.select("key", F.col("module").alias("from"), kind.alias("kind")).join(resolved, "key").select("from", "to", F.when(F.col("symbol") == "", F.col("to")).otherwise(F.col("symbol")).alias("symbol"), "kind")
     return checkpoint(coupling.normalised(edges)), modules
 
 
-def coupled(files: DataFrame, go_module: str | None = None) -> dict[str, DataFrame]:
-    edges, modules = module_edges(files, go_module)
+def coupled(files: DataFrame, go_module: str | None = None, inline: DataFrame | None = None) -> dict[str, DataFrame]:
+    edges, modules = module_edges(files, go_module, inline)
     return {"modules": coupling.ranked(coupling.module_metrics(edges, modules)), "edges": coupling.ordered(edges), "pairs": coupling.pairs(edges).orderBy(F.desc("shared_symbols"), "a", "b"), "cycles": coupling.cycles(edges).orderBy(F.desc("size"), "members")}
 
 
@@ -130,7 +178,7 @@ def entered(files: DataFrame, entries: list[str], go_module: str | None = None)
     return files.join(reached.withColumnRenamed("node", "module"), "module", "left_semi").select(*files.columns)
 
 
-def context_spans(files: DataFrame, entries: list[str] | None = None, go_module: str | None = None) -> DataFrame:
+def context_spans(files: DataFrame, entries: list[str] | None = None, go_module: str | None = None, inline: DataFrame | None = None) -> DataFrame:
     """With entry globs, of the modules that imports reach from them only."""
-    edges, modules = module_edges(entered(files, entries, go_module) if entries else files, go_module)
+    edges, modules = module_edges(entered(files, entries, go_module) if entries else files, go_module, inline)
     return coupling.context_spans(edges, modules).orderBy(F.desc("transitive"), F.desc("files"), F.desc("direct"), "path")

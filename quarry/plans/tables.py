@@ -466,10 +466,10 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents.groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-_PARTS = """b AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS types, list_sort(list(DISTINCT p_name)) AS names, list_sort(list(DISTINCT p_size)) AS sizes FROM part GROUP BY 1)"""
+_PARTS = """b AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS types, list_sort(list(DISTINCT p_name)) AS names, list_sort(list(DISTINCT p_size)) AS sizes, list_distinct(list_concat(list(p_name), list(CAST(p_size AS VARCHAR)))) AS words FROM part GROUP BY 1)"""
 
 
-@query(f"""WITH {_PARTS}, j AS (SELECT x.p_brand AS a, y.p_brand AS b, len(list_intersect(x.names, y.names)) AS ni, len(list_distinct(list_concat(x.names, y.names))) AS nu, len(list_intersect(x.types, y.types)) AS ti, len(list_distinct(list_concat(x.types, y.types))) AS tu,
+@query(f"""WITH {_PARTS}, j AS (SELECT x.p_brand AS a, y.p_brand AS b, len(list_intersect(x.words, y.words)) AS ni, len(list_distinct(list_concat(x.words, y.words))) AS nu, len(list_intersect(x.types, y.types)) AS ti, len(list_distinct(list_concat(x.types, y.types))) AS tu,
   len(list_intersect(x.sizes, y.sizes)) AS si, len(list_distinct(list_concat(x.sizes, y.sizes))) AS su, len(x.sizes) AS sx, len(y.sizes) AS sy FROM b x JOIN b y ON x.p_brand < y.p_brand)
  SELECT a, b, round(0.25 * ni / nu + 0.10 * (1.0 - abs(sx - sy) / greatest(sx, sy)) + 0.05 * si / su + 0.45 * ti / tu + 0.10 + 0.05, 6) AS score FROM j""")
 def signature_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

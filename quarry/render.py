@@ -7,7 +7,9 @@ import json
 from pyspark.sql import DataFrame
 
 #: Left out of JSON where they are null or, as said, 0; all other nulls are written.
-OPTIONAL = {"instability", "since", "reuse", "trait_name", "signature_similarity", "inert_method_count"}
+OPTIONAL = {"instability", "since", "reuse", "trait_name", "signature_similarity", "type_overlap", "identifier_overlap", "inert_method_count"}
+#: Parts of one row, which are objects in JSON.
+SINGLE = ("summary", "statistics")
 
 
 def plain(value: object) -> object:
@@ -17,8 +19,9 @@ def plain(value: object) -> object:
 
 
 def to_json(parts: dict[str, DataFrame | object]) -> str:
-    """One object, pretty-printed, with one line end. DataFrames become lists in their order."""
-    return json.dumps({k: [plain(r) for r in v.toLocalIterator()] if isinstance(v, DataFrame) else v for k, v in parts.items()}, indent=2, ensure_ascii=False) + "\n"
+    """One object, pretty-printed, with one line end. DataFrames become lists in their order, or an object if they have one row by their nature."""
+    part = lambda k, v: v if not isinstance(v, DataFrame) else plain(v.first()) if k in SINGLE else [plain(r) for r in v.toLocalIterator()]
+    return json.dumps({k: part(k, v) for k, v in parts.items()}, indent=2, ensure_ascii=False) + "\n"
 
 
 def number(value: float | None, digits: int = 2) -> str:

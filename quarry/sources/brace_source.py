@@ -637,6 +637,18 @@ def rust_uses(items: list[Item]) -> Iterator[tuple[list[str], str, int]]:
             yield from rust_uses(x.items)
 
 
+def rust_mods(items: list[Item], parent: tuple[str, ...] = ()) -> Iterator[tuple[list[str], str, bool, int]]:
+    """(inline modules around it, name, whether its items follow, line) of all module declarations outside functions."""
+    for i, x in enumerate(items):
+        if x.text == "mod" and x.kind == "name" and i + 2 < len(items) and items[i + 1].kind == "name":
+            name, after = items[i + 1].text, items[i + 2]
+            if is_group(after, "{"):
+                yield list(parent), name, True, x.line
+                yield from rust_mods(after.items, (*parent, name))
+            elif after.text == ";":
+                yield list(parent), name, False, x.line
+
+
 def ts_imports(items: list[Item]) -> Iterator[tuple[str, list[tuple[str, str]], int]]:
     """(specifier, (exported, alias) pairs, line) of imports and re-exports."""
     for i, x in enumerate(items):
@@ -714,6 +726,8 @@ def _shift(items: list[Item], by: int) -> None:
 
 def rust(kind: str, source: str, module: str) -> list[tuple]:
     items = parse(source, "rust")
+    if kind == "mods":
+        return list(rust_mods(items))
     found = list(rust_uses(items))
     crate = module.split("::")[0]
     whole = lambda p: [crate, *p[1:]] if p[0] == "crate" else p
@@ -752,5 +766,5 @@ def typescript(kind: str, source: str, module: str) -> list[tuple]:
             for part in spec.split("/"):
                 at = at[:-1] if part == ".." else at if part == "." else [*at, re.sub(r"\.[cm]?[jt]sx?$", "", part)]
             seen += [{"alias": alias, "target": "::".join(at if exported == "*" else [*at, exported]), "exported": exported} for exported, alias in names]
-    imports = [(module, 0, spec.split("/"), [a for _, a in names], "import", n) for spec, names, n in found]
+    imports = [(module, 0, spec.split("/"), [e for e, _ in names] or ["*"], "import", n) for spec, names, n in found]
     return _rows(kind, "typescript", items, module, list(ts_functions(items, module)), imports, seen)

@@ -20,6 +20,7 @@ SCHEMAS = {
     "wrappers": "file string, name string, start_line int, end_line int, callee string, adapters array<string>, statement_count int",
     "calls": "file string, caller_qualified_name string, caller_module string, caller_owner string, callee_name string, callee_path array<string>, receiver string, imports array<struct<alias:string,target:string,exported:string>>, line int",
     "imports": "file string, module string, level int, segments array<string>, names array<string>, kind string, line int",
+    "mods": "file string, parent array<string>, name string, inline boolean, line int",
     "parsed": "file string, ok boolean",
 }
 

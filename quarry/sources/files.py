@@ -53,6 +53,7 @@ class IgnoreRules:
 def walk(root: str, every: bool = False) -> list[str]:
     """Supported files below a root, sorted; hidden and ignored ones are left out, unless ``every``. A file is its own tree."""
     if os.path.isfile(root):
+        read_source(root)  # a file that was asked for by name has to be readable
         return [root]
     if not os.path.isdir(root):
         raise FileNotFoundError(root)
@@ -84,10 +85,13 @@ def read_tree(spark: SparkSession, root: str, only_tests: bool = False, exclude_
     The tree has to lie where all executors can read it. If the root itself looks like tests, all its files are tests."""
     if only_tests and exclude_tests:
         raise ValueError("only_tests and exclude_tests exclude each other")
-    found = walk(root)
-    base = root if os.path.isdir(root) else ""
-    listed = spark.createDataFrame([(p, os.path.relpath(p, base).replace(os.sep, "/") if base else p) for p in found], SCHEMA)
-    texts = listed.mapInPandas(_read, SCHEMA + ", source string").withColumn("file", F.col("display_path")).drop("display_path")
+    root = os.path.normpath(root)
+    known: dict[str, tuple[str, str] | None] = {}
+    homes = [(p, package(os.path.dirname(os.path.abspath(p)), known) if p.endswith(".rs") else None) for p in walk(root)]
+    rows = [(p, home and home[0], os.path.relpath(p, inside).replace(os.sep, "/") if home and os.path.abspath(p).startswith((inside := os.path.join(home[1], "src")) + os.sep) else None) for p, home in homes]
+    listed = spark.createDataFrame(rows, "file string, crate string, inside string")
+    listed = listed.withColumn("display_path", paths.relative(F.col("file"), root) if os.path.isdir(root) else F.col("file"))
+    texts = listed.mapInPandas(_read, "file string, crate string, inside string, display_path string, source string").withColumn("file", F.col("display_path")).drop("display_path")
     return described(texts, _is_test(root), only_tests, exclude_tests, exclude)
 
 
@@ -100,6 +104,9 @@ def described(texts: DataFrame, all_tests: bool = False, only_tests: bool = Fals
     """``texts`` (file, source) with lang, module and is_test_path, filtered by paths before any text is parsed."""
     out = texts.withColumn("lang", paths.language(F.col("file"))).where("lang is not null")
     out = out.withColumn("is_test_path", F.lit(True) if all_tests else paths.looks_like_test(F.col("file"))).withColumn("module", paths.module_path(F.col("file"), F.col("lang")))
+    if "crate" in texts.columns:  # Rust files of a package: its name, and the way below its ``src``
+        own = F.regexp_replace(paths.module_path(F.coalesce("inside", "file"), F.lit("rust")), F.lit("^crate"), F.col("crate"))
+        out = out.withColumn("module", F.when(F.col("crate").isNotNull(), own).otherwise(F.col("module")))
     if exclude:
         out = out.where(~paths.excluded(F.col("file"), list(exclude)))
     if only_tests or exclude_tests:
@@ -107,6 +114,20 @@ def described(texts: DataFrame, all_tests: bool = False, only_tests: bool = Fals
     return out.select("file", "lang", "module", "is_test_path", "source")
 
 
+class UnsupportedExtension(ValueError):
+    """A file of no known language."""
+
+
+def read_source(path: str) -> tuple[str, str]:
+    """A file's language and text. An unknown extension is an UnsupportedExtension, what cannot be read as UTF-8 an OSError."""
+    if (lang := paths.LANGUAGES.get(path.rpartition(".")[2]) if "." in os.path.basename(path) else None) is None:
+        raise UnsupportedExtension(path)
+    try:
+        return lang, Path(path).read_text(encoding="utf-8")
+    except UnicodeDecodeError as error:
+        raise OSError(f"{path}: {error}") from error
+
+
 def crate_root(path: str) -> str | None:
     """A Rust file itself, or a folder's library or program."""
     if os.path.isfile(path):
@@ -114,19 +135,18 @@ def crate_root(path: str) -> str | None:
     return next((p for n in ("lib.rs", "main.rs") if os.path.isfile(p := os.path.join(path, "src", n))), None)
 
 
-def package_name(path: str) -> str:
-    """The name of the nearest manifest above a path, with underscores; ``crate`` without one."""
+def package(folder: str, known: dict[str, tuple[str, str] | None]) -> tuple[str, str] | None:
+    """The name, with underscores, and the folder of the nearest manifest with a package's name; ``known`` keeps what was found for each folder."""
     import tomllib
 
-    for folder in Path(path).resolve().parents if os.path.isfile(path) else [Path(path).resolve(), *Path(path).resolve().parents]:
-        if (manifest := folder / "Cargo.toml").is_file():
-            try:
-                name = tomllib.loads(manifest.read_text()).get("package", {}).get("name")
-            except (OSError, tomllib.TOMLDecodeError):
-                name = None
-            if name:
-                return name.replace("-", "_")
-    return "crate"
+    if folder not in known:
+        try:
+            name = tomllib.loads((Path(folder) / "Cargo.toml").read_text(encoding="utf-8")).get("package", {}).get("name")
+        except (OSError, UnicodeDecodeError, tomllib.TOMLDecodeError):
+            name = None
+        above = os.path.dirname(folder)
+        known[folder] = (name.replace("-", "_"), folder) if name else None if above == folder else package(above, known)
+    return known[folder]
 
 
 def go_module(path: str) -> str | None:

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import cli, render
-from quarry.plans import analyses
-from quarry.sources import brace_source, files, git, python_source
+from quarry.operators import similarity
+from quarry.plans import analyses, reports
+from quarry.sources import brace_source, facts, files, git, python_source
 from quarry.streaming import hooks
 
 
@@ -74,7 +75,7 @@ def tree(tmp_path):
     (tmp_path / "pkg/helper.py").write_text("def helper(xs):\n" + same)
     (tmp_path / "pkg/main.py").write_text("from .helper import helper\n\ndef copy(xs):\n" + same + "\ndef local():\n    return 1\n\ndef caller():\n    local()\n    return helper([1])\n")
     (tmp_path / "pkg/broken.py").write_text("def (:\n")
-    (tmp_path / "tests/test_x.py").write_text("def test_x():\n    pass\n")
+    (tmp_path / "tests/test_x.py").write_text("def test_x():\n    assert True\n")
     (tmp_path / ".gitignore").write_text("skipped/\n*.gen.py\n")
     (tmp_path / "skipped").mkdir()
     (tmp_path / "skipped/a.py").write_text("x = 1\n")
@@ -100,13 +101,105 @@ def test_analyses(spark, tree):
 
 def test_reports(spark, tree):
     parts = cli.run(spark, cli.arguments(["complexity", str(tree)]))
-    assert json.loads(render.to_json(parts))["functions"][0]["cognitive"] == 3
+    found = json.loads(render.to_json(parts))
+    assert (found["file_count"], found["function_count"]) == (3, 5) and found["root"] == str(tree) and found["summary"]
+    assert [(f["file"], f["function_count"], [x["name"] for x in f["functions"]]) for f in found["files"]] == [("pkg/helper.py", 1, ["helper"]), ("pkg/main.py", 3, ["copy", "local", "caller"]), ("tests/test_x.py", 1, ["test_x"])]
+    assert found["files"][0]["functions"][0]["cognitive"] == 3
     assert render.to_json(parts).endswith("}\n") and "| file |" in render.to_markdown("x", parts)
 
 
+def test_report_counts(spark, tree):
+    of = lambda *a: json.loads(render.to_json(cli.run(spark, cli.arguments([a[0], str(tree), *a[1:]]))))
+    graph = of("function-graph")
+    assert graph["language"] == "python" and graph["node_count"] == len(graph["nodes"]) == 5 and graph["edge_count"] == len(graph["edges"])
+    assert graph["groups"] == [{"group": "pkg", "size": 4}, {"group": "tests", "size": 1}]
+    coupled = of("coupling")
+    assert (coupled["module_count"], coupled["edge_count"], coupled["cycle_count"]) == (5, 1, 0)
+    assert of("context-span")["module_count"] == 5 and of("wrapper")["wrapper_count"] == 0 and (of("cohesion")["file_count"], of("cohesion")["unit_count"]) == (1, 1)
+    similar = of("similarity", "--statistics")
+    assert (similar["function_count"], similar["cluster_count"], similar["threshold"], similar["min_lines"]) == (2, 1, 0.85, 5)
+    (cluster,) = similar["clusters"]
+    assert cluster["size"] == 2 and [f["name"] for f in cluster["functions"]] == ["helper", "copy"]
+    assert [(p["a"]["name"], p["b"]["name"], p["similarity"]) for p in cluster["pairs"]] == [("helper", "copy", pytest.approx(1.0))] and "type_overlap" not in cluster["pairs"][0]
+    assert similar["statistics"] == {"candidate_pairs": 1, "exact_pairs": 1, "size_pairs": 0, "label_pairs": 0, "arity_pairs": 0, "shingle_pairs": 0, "scored_pairs": 0}
+
+
+def test_report_to_a_file(spark, tree, tmp_path):
+    assert cli.main(["function-graph", str(tree), "--output", str(tmp_path / "graph.json")]) == 0
+    assert json.loads((tmp_path / "graph.json").read_text())["node_count"] == 5
+
+
+def test_labels_and_groups(spark):
+    of = lambda *langs: reports.language_label(spark.createDataFrame([(x,) for x in langs], "lang string")).first()["language"]
+    assert [of(), of("go", "go"), of("go", "rust")] == ["unknown", "go", "mixed"]
+    paths = spark.createDataFrame([(x,) for x in ("crates/a/x.rs", "crates/a/y.rs", "crates/b/x.rs", "web/x.ts", "alone.rs", "crates")], "file string")
+    assert [tuple(r) for r in reports.group_sizes(paths).collect()] == [("a", 2), ("alone.rs", 1), ("b", 1), ("crates", 1), ("web", 1)]
+
+
+def test_pairs_of_a_cluster_are_ordered(spark):
+    functions = spark.createDataFrame([(i, "f.py", f"f{i}", i, i + 1, False) for i in range(4)], "idx long, file string, name string, start_line int, end_line int, is_test boolean")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (0, 2, 0.9), (0, 1, 0.95), (2, 3, 0.99)], "i long, j long, similarity double")
+    clusters = spark.createDataFrame([(0, [0, 1, 2], 0.9, 0.95)], "cluster_id int, members array<long>, min_similarity double, max_similarity double")
+    (row,) = reports.cluster_views(functions, pairs, clusters).collect()
+    assert [(p["a"]["name"], p["b"]["name"]) for p in row["pairs"]] == [("f0", "f1"), ("f0", "f2"), ("f1", "f2")] and row["size"] == 3
+
+
+def test_bounds_are_counted(spark):
+    trees = [["A", "B"], ["A", "B"], ["A", "C"], ["A"] + ["B"] * 30]
+    rows = [(i, {"labels": t, "sizes": [len(t)] + [1] * (len(t) - 1)}, None, False) for i, t in enumerate(trees)]
+    found = spark.createDataFrame(rows, f"idx long, tree {facts.TREE}, signature {facts.SIGNATURE}, is_test boolean")
+    counted = similarity.statistics(found).first().asDict()
+    assert counted["candidate_pairs"] == 6 and counted["exact_pairs"] == 1 and counted["size_pairs"] == 3
+    assert sum(v for k, v in counted.items() if k != "candidate_pairs") == 6
+
+
+def test_sources_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "a.py").write_bytes(b"\xff\xfe")
+    (tmp_path / "b.py").write_text("x = 1\n")
+    with pytest.raises(files.UnsupportedExtension):
+        files.read_tree(spark, str(tmp_path / "a.txt"))
+    with pytest.raises(OSError):
+        files.read_tree(spark, str(tmp_path / "a.py"))
+    with pytest.raises(FileNotFoundError):
+        files.read_tree(spark, str(tmp_path / "none"))
+    assert files.read_source(str(tmp_path / "b.py")) == ("python", "x = 1\n")
+
+
+def written(folder, texts):
+    for path, text in texts.items():
+        (folder / path).parent.mkdir(parents=True, exist_ok=True)
+        (folder / path).write_text(text)
+
+
+def test_rust_module_tree(spark, tmp_path):
+    written(tmp_path, {
+        "Cargo.toml": '[package]\nname = "my-tool"\n', "src/lib.rs": "mod net;\nmod flat;\nmod inner {\n  pub mod deep { pub fn f() {} }\n}\nuse crate::flat::x;\n", "src/net/mod.rs": "pub mod tcp;\nuse crate::inner::deep::f;\n",
+        "src/net/tcp.rs": "use super::super::flat::x;\n", "src/flat.rs": "pub fn x() {}\n", "src/unused.rs": "use crate::flat::x;\n",
+    })
+    parts = cli.run(spark, cli.arguments(["coupling", str(tmp_path)]))
+    assert {r["path"] for r in parts["modules"].collect()} == {"crate", "crate::net", "crate::net::tcp", "crate::flat", "crate::inner", "crate::inner::deep"}
+    assert {("crate", "crate::flat", "x"), ("crate::net", "crate::inner::deep", "f")} <= {(r["from"], r["to"], r["symbol"]) for r in parts["edges"].collect()}
+    # other analyses name modules by the package, so that crates of one tree stay apart
+    assert {r["file"]: r["module"] for r in files.read_tree(spark, str(tmp_path)).collect()}["src/net/tcp.rs"] == "my_tool::net::tcp"
+    (tmp_path / "src/flat.rs").write_text("mod lost;\npub fn x() {}\n")
+    with pytest.raises(ValueError, match="lost"):
+        cli.run(spark, cli.arguments(["coupling", str(tmp_path)]))
+
+
+def test_typescript_imports_are_probed(spark):
+    texts = {
+        "src/main.ts": "import { a as b } from './util';\nimport d from './both';\nimport './side.js?raw';\nimport * as n from '../lib';\nimport { z } from './none';\nimport { q } from '../../out';\nimport { w } from './data.json';\n",
+        "src/util/index.ts": "export const a = 1;\n", "src/both.ts": "export default 1;\n", "src/both.js": "module.exports = 1;\n", "src/side.js": "1;\n", "lib/index.jsx": "export * from '../src/util/index';\n", "out.ts": "export const q = 1;\n",
+    }
+    found = files.described(spark.createDataFrame(list(texts.items()), "file string, source string"))
+    edges = {(r["from"], r["to"], r["symbol"]) for r in analyses.coupled(found)["edges"].collect()}
+    assert edges == {("src::main", "src::util::index", "a"), ("src::main", "src::both", "default"), ("src::main", "src::side", "*"), ("src::main", "lib::index", "*"), ("lib::index", "src::util::index", "*")}
+
+
 def test_json_is_whole_and_markdown_is_cut(spark, tree):
-    of = lambda *more: cli.run(spark, cli.arguments(["complexity", str(tree), "--top", "1", *more]))["functions"].count()
-    assert of("--format", "md") == 1 and of() > 1
+    of = lambda *more: cli.run(spark, cli.arguments(["complexity", str(tree), "--top", "1", *more]))
+    assert of("--format", "md")["functions"].count() == 1 and of()["function_count"] > 1
 
 
 def test_git_sources(spark, tree):
