@@ -70,12 +70,9 @@ def coefficients(n: int) -> list[tuple[int, int]]:
 
 
 def minhash(x: Column, n: int) -> Column:
-    """n minima of hashes of the numbers in ``x``; of none, the prime."""
-
-    def least(a: int, b: int) -> Column:
-        return F.coalesce(F.array_min(F.transform(x, lambda v: (v * a + b) % PRIME)), F.lit(PRIME).cast("long"))
-
-    return F.array(*[least(a, b) for a, b in coefficients(n)])
+    """n minima of hashes of the numbers in ``x``; of none, the prime. One expression over an array of coefficients, so plans stay small."""
+    known = F.expr("array(" + ", ".join(f"named_struct('a', {a}L, 'b', {b}L)" for a, b in coefficients(n)) + ")")
+    return F.transform(known, lambda c: F.coalesce(F.array_min(F.transform(x, lambda v: (v * c["a"] + c["b"]) % PRIME)), F.lit(PRIME).cast("long")))
 
 
 def signed(functions: DataFrame, labels: Column, n: int) -> DataFrame:
@@ -100,7 +97,10 @@ def band_pairs(banded: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(functions: DataFrame, opts: Options) -> DataFrame:
-    """(i, j): all pairs of few functions, and the pairs of agreeing bands of many. More than ``max_pairs`` is an error."""
+    """(i, j), i < j: all pairs of few functions, and the pairs of agreeing bands of many. More than ``max_pairs`` is an error.
+
+    Functions with the same labels agree in all bands, so bands are joined for different label sequences only; pairs are counted from the sizes
+    of these classes before any is made, and each is made once."""
     n = functions.count()
     if n < opts.all_pairs_below:
         if n * (n - 1) // 2 > opts.max_pairs:
@@ -108,10 +108,18 @@ def candidate_pairs(functions: DataFrame, opts: Options) -> DataFrame:
         ids = functions.select(F.col("idx").alias("i"))
         return ids.join(ids.withColumnRenamed("i", "j"), F.col("i") < F.col("j"))
     rows = opts.hashes // opts.bands
-    found = band_pairs(checkpoint(bands(signed(functions, F.col("tree.labels"), rows * opts.bands), opts.bands, rows)))
-    if (count := found.count()) > opts.max_pairs:
+    members = functions.select("idx", F.md5(F.array_join("tree.labels", "\x1f")).alias("class"), F.col("tree.labels").alias("labels"))
+    classes = members.groupBy("class").agg(F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n"))  # labels are the same in a class
+    banded = checkpoint(bands(signed(classes.withColumnRenamed("class", "idx"), F.col("labels"), rows * opts.bands), opts.bands, rows))
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    near = band_pairs(banded).unionByName(sizes.where("n > 1").select(F.col("class").alias("i"), F.col("class").alias("j")))
+    near = near.join(sizes.select(F.col("class").alias("i"), F.col("n").alias("ni")), "i").join(sizes.select(F.col("class").alias("j"), F.col("n").alias("nj")), "j")
+    near = checkpoint(near.select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.when(F.col("i") == F.col("j"), F.expr("ni * (ni - 1) div 2")).otherwise(F.col("ni") * F.col("nj")).alias("pairs")))
+    if (count := near.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]) > opts.max_pairs:
         raise ValueError(f"{n} functions make {count} candidate pairs, more than {opts.max_pairs}")
-    return found
+    side = lambda i, c: members.select(F.col("idx").alias(i), F.col("class").alias(c))
+    made = near.select("ci", "cj").join(side("a", "ci"), "ci").join(side("b", "cj"), "cj").where("ci <> cj or a < b")
+    return made.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
 
 
 # bounds that no distance can beat

@@ -161,6 +161,22 @@ def test_bounds_never_drop_a_pair_that_reaches_the_threshold(spark):
     assert reach <= kept and len(kept) < len(pairs)
 
 
+def test_candidates_are_the_pairs_of_all_bands(spark):
+    import random
+
+    r = random.Random(3)
+    shapes = [[f"L{r.randrange(9)}" for _ in range(k % 30)] for k in range(70)] + [["A"] * 9 + [f"L{k}"] for k in range(3)]
+    trees = [(1000 - k, {"labels": shapes[k % len(shapes)], "sizes": [1] * len(shapes[k % len(shapes)])}) for k in range(260)]
+    frame = spark.createDataFrame(trees, "idx long, tree struct<labels:array<string>,sizes:array<int>>")
+    opts = similarity.Options()
+    rows = opts.hashes // opts.bands
+    plain = similarity.band_pairs(similarity.bands(similarity.signed(frame, F.col("tree.labels"), rows * opts.bands), opts.bands, rows))
+    found = [(row["i"], row["j"]) for row in similarity.candidate_pairs(frame, opts).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(row["i"], row["j"]) for row in plain.collect()}
+    with pytest.raises(ValueError, match=f"{len(found)} candidate pairs"):
+        similarity.candidate_pairs(frame, similarity.Options(max_pairs=len(found) - 1))
+
+
 def test_near_copies_meet_in_a_band(spark):
     import random
 
