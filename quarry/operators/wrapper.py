@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import last_segment
@@ -12,12 +12,21 @@ def reuse(wrappers: DataFrame, calls: DataFrame) -> DataFrame:
     """Per wrapper (file, name): call_sites, unique_callers, same_file_only.
 
     ``calls``: file, caller, callee. Calls meet wrappers by the last segment of their names; those from a caller of the wrapper's own full
-    name, in any file, do not count. Callers are told apart by file and name; all unknown callers of a file are one. Without calls same_file_only is true."""
-    sites = calls.select(F.col("file").alias("call_file"), "caller", last_segment(F.col("callee")).alias("last"))
+    name, in any file, do not count. Callers are told apart by file and name; all unknown callers of a file are one. Without calls same_file_only is true.
+
+    Calls are added up per name, file and caller, and wrappers meet sums with one row per key, from which those of their own name are
+    taken away: a name that many wrappers and calls share makes no pairs."""
+    sites = calls.select(F.col("file").alias("call_file"), "caller", last_segment(F.col("callee")).alias("last")).where("last is not null")
+    sites = sites.groupBy("last", "call_file", "caller").agg(F.count(F.lit(1)).alias("n"))
     own = wrappers.select("file", "name", last_segment(F.col("name")).alias("last")).distinct()
-    met = own.join(sites.where("last is not null"), "last").where(F.col("caller").isNull() | (F.col("caller") != F.col("name")))
-    counted = met.groupBy("file", "name").agg(
-        F.count(F.lit(1)).alias("call_sites"), F.countDistinct(F.struct("call_file", "caller")).alias("unique_callers"), F.bool_and(F.col("call_file") == F.col("file")).alias("same_file_only")
-    )
-    out = own.drop("last").join(counted, ["file", "name"], "left")
-    return out.select("file", "name", F.coalesce("call_sites", F.lit(0)).alias("call_sites"), F.coalesce("unique_callers", F.lit(0)).alias("unique_callers"), F.coalesce("same_file_only", F.lit(True)).alias("same_file_only"))
+
+    def totals(mark: str, *keys: Column) -> DataFrame:
+        placed = F.sum(F.when(F.col("call_file").isNotNull(), F.col("n")))
+        return sites.groupBy("last", *keys).agg(F.sum("n").alias(f"{mark}_sites"), F.count(F.lit(1)).alias(f"{mark}_callers"), placed.alias(f"{mark}_placed"))
+
+    file, name = F.col("call_file").alias("file"), F.col("caller").alias("name")
+    met = own.join(totals("all"), "last", "left").join(totals("own", name), ["last", "name"], "left")
+    met = met.join(totals("here", file), ["last", "file"], "left").join(totals("self", file, name), ["last", "file", "name"], "left")
+    without = lambda whole, part: F.coalesce(whole, F.lit(0)) - F.coalesce(part, F.lit(0))
+    elsewhere = without("all_placed", "own_placed") - without("here_placed", "self_placed")
+    return met.select("file", "name", without("all_sites", "own_sites").alias("call_sites"), without("all_callers", "own_callers").alias("unique_callers"), (elsewhere == 0).alias("same_file_only"))
