@@ -191,3 +191,21 @@ def test_near_copies_meet_in_a_band(spark):
     frame = spark.createDataFrame(trees, "idx long, tree struct<labels:array<string>,sizes:array<int>>")
     found = {(row["i"], row["j"]) for row in similarity.candidate_pairs(frame, similarity.Options()).collect()}
     assert len(found & set(wanted)) >= 0.95 * len(wanted) and len(found) < 2000
+
+
+def test_signatures_hash_each_shingle_once(spark):
+    import hashlib
+
+    shapes = [None, [], ["a"], ["a", "b"], ["a", "b", "c"], ["a", "b", "c", "a", "b", "c", "d"], ["", "x", "", "y"]]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(shapes)] + [(4, shapes[4]), (4, ["z"])], "idx long, labels array<string>")
+    signed = similarity.signed(frame, F.col("labels"), 4)
+
+    def plain(labels):
+        runs = ["\x1f".join(labels[i : i + 3]) for i in range(max(len(labels) - 2, 1))] if labels else []
+        x = [int(hashlib.md5(run.encode()).hexdigest()[:8], 16) for run in runs]
+        return [min([(v * a + b) % similarity.PRIME for v in x], default=similarity.PRIME) for a, b in similarity.coefficients(4)]
+
+    assert sorted((r["idx"], r["signature"]) for r in signed.collect()) == sorted((r["idx"], plain(r["labels"])) for r in frame.collect())
+    # a lambda over coefficients would hold the hashes, and make them for each coefficient
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and "lambdafunction" not in plan
