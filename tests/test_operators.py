@@ -198,14 +198,45 @@ def test_signatures_hash_each_shingle_once(spark):
 
     shapes = [None, [], ["a"], ["a", "b"], ["a", "b", "c"], ["a", "b", "c", "a", "b", "c", "d"], ["", "x", "", "y"]]
     frame = spark.createDataFrame([(k, x) for k, x in enumerate(shapes)] + [(4, shapes[4]), (4, ["z"])], "idx long, labels array<string>")
-    signed = similarity.signed(frame, F.col("labels"), 4)
 
-    def plain(labels):
+    def plain(labels, k):
         runs = ["\x1f".join(labels[i : i + 3]) for i in range(max(len(labels) - 2, 1))] if labels else []
         x = [int(hashlib.md5(run.encode()).hexdigest()[:8], 16) for run in runs]
-        return [min([(v * a + b) % similarity.PRIME for v in x], default=similarity.PRIME) for a, b in similarity.coefficients(4)]
+        return [min([(v * a + b) % similarity.PRIME for v in x], default=similarity.PRIME) for a, b in similarity.coefficients(k)]
 
-    assert sorted((r["idx"], r["signature"]) for r in signed.collect()) == sorted((r["idx"], plain(r["labels"])) for r in frame.collect())
-    # a lambda over coefficients would hold the hashes, and make them for each coefficient
-    plan = signed._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("md5(") == 1 and "lambdafunction" not in plan
+    for k in (4, similarity.AGGREGATED + 1):
+        signed = similarity.signed(frame, F.col("labels"), k)
+        assert sorted((r["idx"], r["signature"]) for r in signed.collect()) == sorted((r["idx"], plain(r["labels"], k)) for r in frame.collect())
+        # merged with the minima, the hashes would be made once per coefficient
+        plan = signed._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") == 1 and not any("md5(" in line and str(similarity.PRIME) in line for line in plan.splitlines())
+
+
+def test_large_trees_are_aligned_by_few_matches(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+
+    def tree(deep):
+        inner = [n(f"g{k:02}", *[n(f"w{x:02}", *([n("z"), n("y", n("x"))] if deep and x % 9 == 0 else [])) for x in range(40) if r.random() < 0.9]) for k in range(20) if r.random() < 0.95]
+        return n("R", *inner)
+
+    def plain(a, b, rename, delete, insert):
+        """By the recursion itself."""
+        size = lambda t: 1 + sum(map(size, t[1]))
+        row = [0.0]
+        for y in b[1]:
+            row.append(row[-1] + size(y) * insert)
+        for x in a[1]:
+            out = [row[0] + size(x) * delete]
+            for k, y in enumerate(b[1]):
+                out.append(min(row[k + 1] + size(x) * delete, out[-1] + size(y) * insert, row[k] + plain(x, y, rename, delete, insert)))
+            row = out
+        return row[-1] + (a[0] != b[0]) * rename
+
+    made, leaves = [], similarity._align_leaves
+    monkeypatch.setattr(similarity, "_align_leaves", lambda pairs, *rest: made.append(len(pairs)) or leaves(pairs, *rest))
+    for deep, costs in ((False, (0.3, 1.0, 1.0)), (True, (0.3, 1, 2))):
+        a, b = tree(deep), tree(deep)
+        assert similarity.tree_distance(*encode(a), *encode(b), *costs) == pytest.approx(plain(a, b, *costs))
+    assert sum(made) < 250  # of some 400 for the first pair alone
