@@ -78,6 +78,33 @@ def test_wrapper_reuse(spark):
     assert found == {"render": (3, 2, False), "lonely": (0, 0, True)}
 
 
+def test_wrapper_reuse_by_rows(spark):
+    """Null and empty files, unknown callers, full names that share a last segment, many files: against a reading by rows. Calls are made once, in as many parts as asked for."""
+    names, files = ["a::x", "b::x", "x", "y", "a::y"], ["f", "g", "", None]
+    wrappers = [(f, n) for f in files[:3] for n in names[:4]] + [(None, "a::x"), ("f", "lonely")]
+    calls = [(files[i * 7 % 4], [None, "", "main", *names][i * 5 % 8], ["x", "c::x", "y", None, "z"][i * i % 5]) for i in range(40)] + [("g", "y", "y"), (None, "y", "y"), ("f", "a::x", "q::w")]
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    frame = spark.createDataFrame(calls, "file string, caller string, callee string")
+    out = wrapper.reuse(spark.createDataFrame(wrappers, "file string, name string"), frame.mapInArrow(count, frame.schema), 7)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    expected = []
+    for f, n in wrappers:
+        met = [c for c in calls if c[2] is not None and c[2].split("::")[-1] == n.split("::")[-1] and c[1] != n]
+        expected.append((f, n, len(met), len({c[:2] for c in met}), f is None and not any(c[0] is not None for c in met) or f is not None and all(c[0] in (None, f) for c in met)))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, expected))
+    assert made.value == len(calls)
+
+
+def test_tasks_grow_with_rows(spark):
+    assert graph.task_count(spark) == 4 and graph.task_count(spark, 10) == 4 and graph.task_count(spark, 2_500_001) == 11
+
+
 CALL = "file string, caller_qualified_name string, caller_module string, caller_owner string, callee_name string, callee_path array<string>, receiver string, imports array<struct<alias:string,target:string,exported:string>>, line int"
 
 
