@@ -1,5 +1,7 @@
 """Operators against values worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,33 @@ def test_cohesion(spark):
     assert (found[2]["lcom96"], found[2]["component_count"], found[2]["inert_method_count"], found[2]["lcom4"]) == (None, 2, 1, 1)
 
 
+def test_cohesion_by_rows(spark, monkeypatch):
+    """Random units, null fields and a null unit against a reading by rows; methods without links do not take part in the search for components."""
+    dice = random.Random(5)
+    rows = [(u, m, f"m{m}", [dice.choice([*"abcdefgh", None]) for _ in range(dice.randrange(4))], [f"m{dice.randrange(9)}"] * dice.randrange(2)) for u in (1, 2, 3, None) for m in range(8)] + [(4, m, f"m{m}", [str(m)], []) for m in range(3)] + [(5, 0, "x", [], [])]
+    methods = spark.createDataFrame(rows, "unit_id long, method_idx int, name string, fields array<string>, calls array<string>")
+    searched = []
+    monkeypatch.setattr(cohesion, "components", lambda links: searched.extend(links.collect()) or graph.components(links))
+    found = {r["unit_id"]: tuple(r)[1:] for r in cohesion.cohesion(methods).collect()}
+    assert searched and all(r["src"] != r["dst"] for r in searched)
+    labels = {(r["unit_id"], r["method_idx"]): r["component"] for r in cohesion.method_components(methods.where("unit_id is not null")).collect()}
+    for u in (1, 2, 3, 4, 5):
+        own = {r[1]: r for r in rows if r[0] == u}
+        group = {m: m for m in own}
+        for _ in own:
+            for a in own:
+                for b in own:
+                    if {x for x in own[a][3] if x} & {x for x in own[b][3] if x} or own[b][2] in own[a][4]:
+                        group[a] = group[b] = min(group[a], group[b])
+        assert {m: labels[u, m] for m in own} == group
+        uses = [x for r in own.values() for x in set(r[3])]
+        inert = sum(not r[3] and not r[4] and list(group.values()).count(group[m]) == 1 for m, r in own.items())
+        lcom96 = (len(uses) / len(set(uses)) - len(own)) / (1.0 - len(own)) if uses and len(own) > 1 else None
+        parts = len(set(group.values()))
+        assert found[u] == (len(own), parts, inert, parts - inert, lcom96)
+    assert set(found) == {1, 2, 3, 4, 5}
+
+
 def test_wrapper_reuse(spark):
     wrappers = spark.createDataFrame([("wrap.rs", "render"), ("wrap.rs", "lonely")], ["file", "name"])
     calls = spark.createDataFrame([("caller.rs", "consumer", "render"), ("wrap.rs", "render", "render"), ("caller.rs", None, "render"), ("caller.rs", None, "render")], ["file", "caller", "callee"])
@@ -79,7 +108,7 @@ def test_wrapper_reuse(spark):
 
 
 def test_wrapper_reuse_by_rows(spark):
-    """Null and empty files, unknown callers, full names that share a last segment, many files: against a reading by rows. Calls are made once, in as many parts as asked for."""
+    """Null and empty files, unknown callers, full names that share a last segment, many files: against a reading by rows. Calls are made once, and their parts stay apart."""
     names, files = ["a::x", "b::x", "x", "y", "a::y"], ["f", "g", "", None]
     wrappers = [(f, n) for f in files[:3] for n in names[:4]] + [(None, "a::x"), ("f", "lonely")]
     calls = [(files[i * 7 % 4], [None, "", "main", *names][i * 5 % 8], ["x", "c::x", "y", None, "z"][i * i % 5]) for i in range(40)] + [("g", "y", "y"), (None, "y", "y"), ("f", "a::x", "q::w")]
@@ -91,7 +120,7 @@ def test_wrapper_reuse_by_rows(spark):
             yield b
 
     frame = spark.createDataFrame(calls, "file string, caller string, callee string")
-    out = wrapper.reuse(spark.createDataFrame(wrappers, "file string, name string"), frame.mapInArrow(count, frame.schema), 7)
+    out = wrapper.reuse(spark.createDataFrame(wrappers, "file string, name string"), frame.mapInArrow(count, frame.schema))
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     expected = []
     for f, n in wrappers:
